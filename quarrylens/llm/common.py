@@ -47,3 +47,16 @@ def to_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def parts_of(df: DataFrame) -> int:
     """Shuffle partitions as the session sets them."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: rows written once to the session's checkpoint folder, which all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None:  # a local session, as in tests
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="quarrylens-ckpt-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)

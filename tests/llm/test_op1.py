@@ -15,7 +15,7 @@ def test_rules_name_the_first_fault():
     r = LineRules()
     assert line_fault("A plain sentence.", 3, r) is None
     assert line_fault("No stop here", 3, r) == "punctuation"
-    assert line_fault("Home | About | Contact.", 5, r) == "navigation"
+    assert line_fault("Home › About › Contact.", 5, r) == "navigation"
     assert line_fault("Please accept cookies to go on.", 6, r) == "boilerplate"
 
 
