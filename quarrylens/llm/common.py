@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of bytes other than these six; the regular expression is the same set.
@@ -25,7 +26,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start, base = 0, 0
         while start < n:
