@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from . import op1_line_quality as op1
 from . import op4_sentencepiece as op4
+from . import op7_language_id as op7
 from . import op9_mixing as op9
 from . import op10_sharding as op10
 
 QUERIES = {
     "op1_line_quality": op1.op1_line_quality,
     "op4_sentencepiece": op4.op4_sentencepiece,
+    "op7_language_id": op7.op7_language_id,
     "op9_mixing": op9.op9_mixing,
     "op10_sharding": op10.op10_sharding,
 }
