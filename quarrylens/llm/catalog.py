@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op1_line_quality as op1
+from . import op2_additive_ann as op2
 from . import op3_toxicity as op3
 from . import op4_sentencepiece as op4
 from . import op7_language_id as op7
@@ -11,6 +12,7 @@ from . import op10_sharding as op10
 
 QUERIES = {
     "op1_line_quality": op1.op1_line_quality,
+    "op2_additive_ann": op2.op2_additive_ann,
     "op3_toxicity": op3.op3_toxicity,
     "op4_sentencepiece": op4.op4_sentencepiece,
     "op7_language_id": op7.op7_language_id,

@@ -68,7 +68,7 @@ def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int) -> tuple
 def _round(level: int, width: int, last: bool):
     """Round one chunk; rows that are settled get p null, the one that isn't keeps its fraction and the next level's chunk."""
 
-    def step(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(key, pdf):
         pdf = pdf.sort_values(["size", "doc_id"], na_position="first", kind="stable").reset_index(drop=True)
         seed = (int(key[0]) << 40) ^ (level << 34) ^ int(key[1])
         p, left = pivot(pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(np.float64), seed)
