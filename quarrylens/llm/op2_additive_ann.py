@@ -27,9 +27,9 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-STAGES, WORDS, BEAM = 8, 256, 8
+STAGES, WORDS, BEAM = 20, 256, 8
 SAMPLE = 16_384
-SHORTLIST = 200
+SHORTLIST = 300
 CODE_BLOCK, QUERY_BLOCK = 16_384, 512
 SEED = 5
 
@@ -74,7 +74,7 @@ class Codebooks:
         return np.ascontiguousarray(np.einsum("qd,mkd->mkq", q, self.words, optimize=True))
 
 
-def train(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 2, seed: int = SEED) -> Codebooks:
+def train(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 1, seed: int = SEED) -> Codebooks:
     """Residual k-means per stage, then `rounds` of beam-search coding and joint least squares."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
@@ -118,9 +118,8 @@ def top(scores: np.ndarray, most: int) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    v = F.col("embedding").cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -135,12 +134,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
     dim, n = sizes[0].d, sizes[0]["count"]
     rows = rows.filter(F.size("v") == dim)
     taught = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).select("v").toPandas()["v"]  # `sample` rows at most
-    x = np.stack(taught.to_list())
+    x = np.stack(taught.to_list()).astype(np.float64)
     shared = spark.sparkContext.broadcast(train(x / np.linalg.norm(x, axis=1, keepdims=True)))  # stages * words * dim numbers
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             norm = np.linalg.norm(x, axis=1)
             codes = shared.value.encode((x / norm[:, None]).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["vec_id", "code", "norm"])
@@ -185,7 +184,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
     by = Window.partitionBy("query_id")
     short = found.withColumn("r", F.row_number().over(by.orderBy(F.desc("near"), "vec_id"))).filter(F.col("r") <= shortlist).select("query_id", "vec_id")
     q = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = short.join(rows, "vec_id").join(q, "query_id").select("query_id", "vec_id", exact.alias("score"))
     return scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
