@@ -78,7 +78,7 @@ def train(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int =
     """Residual k-means per stage, then `rounds` of beam-search coding and joint least squares."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
-    words = max(1, min(words, len(x)))
+    words = max(1, min(words, len(x) // 8))
     books, rest = [], x.copy()
     for _ in range(stages):
         c = rest[rng.choice(len(rest), words, replace=False)].copy()
