@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Vectors are written as a norm and a sum of code words from `stages` full-dimensional codebooks: residual codebooks by
-k-means, refitted jointly by least squares, and codes by beam search. Queries meet the codes in blocks: a look-up
+k-means, refitted together by least squares, and codes by beam search. Queries meet the codes in blocks: a look-up
 table of inner products per query scores a block of codes, the best `shortlist` of each query are merged, and the
 original vectors rank them exactly, in double precision.
 
@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 from .common import table
 
 STAGES, WORDS, BEAM = 20, 256, 8
-SAMPLE = 16_384
+SAMPLE = 8_192
+MERGE = 64
 SHORTLIST = 300
 CODE_BLOCK, QUERY_BLOCK = 16_384, 512
 SEED = 5
@@ -38,32 +39,24 @@ SEED = 5
 class Codebooks:
     words: np.ndarray  # (stages, words, dim) float32
 
-    @property
-    def cross(self) -> np.ndarray:
-        return np.einsum("mkd,nld->mnkl", self.words, self.words)
-
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
-        """Codes by beam search over the stages: (rows, stages) uint8. The squared error is tracked by tables."""
-        m, k, _ = self.words.shape
+        """Codes by beam search over the stages: (rows, stages) uint8. Each beam carries its residual vector."""
+        m, k, dim = self.words.shape
         out = np.empty((len(x), m), np.uint8)
         sq = (self.words**2).sum(axis=2)
-        cross = self.cross
-        for a in range(0, len(x), 512):
-            dot = np.einsum("nd,mkd->nmk", x[a : a + 512], self.words, optimize=True)
-            n = len(dot)
-            err = np.zeros((n, 1), np.float32)
-            codes = np.zeros((n, 1, 0), np.int64)
+        for a in range(0, len(x), 256):
+            rest = x[a : a + 256, None]
+            n = len(rest)
+            codes = np.zeros((n, 1, 0), np.uint8)
             for j in range(m):
-                cost = np.repeat((sq[j] - 2 * dot[:, j])[:, None], codes.shape[1], axis=1)
-                for i in range(j):
-                    cost += 2 * cross[i, j][codes[:, :, i]]
-                cost += err[:, :, None]
+                cost = (sq[j] - 2 * (rest.reshape(-1, dim) @ self.words[j].T)).reshape(n, -1, k) + (rest**2).sum(axis=2)[:, :, None]
                 flat = cost.reshape(n, -1)
-                width = min(beam, flat.shape[1])
+                width = min(beam, flat.shape[1]) if j < m - 1 else 1
                 best = np.argpartition(flat, width - 1, axis=1)[:, :width]
-                err = np.take_along_axis(flat, best, 1)
-                codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], 1), (best % k)[:, :, None]], axis=2)
-            out[a : a + 512] = np.take_along_axis(codes, err.argmin(axis=1)[:, None, None], 1)[:, 0]
+                old, new = best // k, best % k
+                rest = np.take_along_axis(rest, old[:, :, None], 1) - self.words[j][new]
+                codes = np.concatenate([np.take_along_axis(codes, old[:, :, None], 1), new[:, :, None].astype(np.uint8)], axis=2)
+            out[a : a + 256] = codes[:, 0]
         return out
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -75,7 +68,7 @@ class Codebooks:
 
 
 def train(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int = 1, seed: int = SEED) -> Codebooks:
-    """Residual k-means per stage, then `rounds` of beam-search coding and joint least squares."""
+    """Residual k-means per stage, then `rounds` of beam-search coding and refitting of all codebooks."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     words = max(1, min(words, len(x) // 8))
@@ -94,17 +87,16 @@ def train(x: np.ndarray, stages: int = STAGES, words: int = WORDS, rounds: int =
         books.append(c)
     out = Codebooks(np.stack(books))
     for _ in range(rounds):
-        cols = out.encode(x).astype(np.int64) + words * np.arange(stages)
-        gram = np.zeros((stages * words, stages * words), np.float32)
-        for i in range(stages):
+        codes = out.encode(x)
+        rest = x - out.decode(codes)
+        for _ in range(4):  # least squares, one codebook at a time
             for j in range(stages):
-                np.add.at(gram, (cols[:, i], cols[:, j]), 1)
-        right = np.zeros((stages * words, x.shape[1]), np.float32)
-        for i in range(stages):
-            np.add.at(right, cols[:, i], x)
-        gram[np.diag_indices(len(gram))] += 0.1
-        right += 0.1 * out.words.reshape(stages * words, -1)  # unused words stay where they are
-        out = Codebooks(np.linalg.solve(gram, right).reshape(stages, words, -1).astype(np.float32))
+                n = np.bincount(codes[:, j], minlength=words)
+                sums = np.zeros_like(out.words[j])
+                np.add.at(sums, codes[:, j], rest)
+                step = sums / np.maximum(n, 1)[:, None]
+                out.words[j] += step
+                rest -= step[codes[:, j]]
     return out
 
 
@@ -153,26 +145,51 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
         q = np.stack(pdf["v"].to_list()).astype(np.float32)
         return pd.DataFrame({"qb": [key[0]], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "queries": [q.tobytes()]})
 
+    def best_of(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        keep = order[top(near[order], shortlist)]
+        keep = keep[np.isfinite(near[keep])]
+        return ids[keep], near[keep]
+
+    def pack_found(cb: int, qb: int, lists: dict) -> pd.DataFrame:
+        sizes = np.array([len(v) for v, _ in lists.values()], np.int64).tobytes()
+        ids, near = (b"".join(x[i].tobytes() for x in lists.values()) for i in range(2))
+        return pd.DataFrame({"qb": [qb], "cb": [cb], "query_ids": [np.array(list(lists), np.int64).tobytes()], "sizes": [sizes], "ids": [ids], "near": [near]})
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 ids, norms = np.frombuffer(r.ids, np.int64), np.frombuffer(r.norms, np.float64).astype(np.float32)
                 codes = np.ascontiguousarray(np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1).T)
                 query_ids, q = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.queries, np.float32).reshape(-1, dim)
-                out = []
+                lists = {}
                 for a in range(0, len(q), 64):
                     lut = shared.value.tables(q[a : a + 64])
                     s = lut[0].take(codes[0], axis=0)
                     for j in range(1, len(lut)):
                         s += lut[j].take(codes[j], axis=0)
                     s *= norms[:, None]
-                    for i, own in enumerate(query_ids[a : a + 64]):
-                        col = np.where(ids == own, -np.inf, s[:, i])
-                        best = top(col, shortlist)
-                        best = best[np.isfinite(col[best])]
-                        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "near": col[best].astype(np.float64)}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                    for i, own in enumerate(query_ids[a : a + 64].tolist()):
+                        lists[own] = best_of(ids, np.where(ids == own, -np.inf, s[:, i]).astype(np.float32))
+                yield pack_found(r.cb, r.qb, lists)
+
+    def merged(key, pdf):
+        """Best of the lists that a query got from several blocks of codes."""
+        lists: dict = {}
+        for r in pdf.sort_values("cb").itertuples(index=False):
+            ends = np.cumsum(np.frombuffer(r.sizes, np.int64))
+            parts = zip(np.split(np.frombuffer(r.ids, np.int64), ends[:-1]), np.split(np.frombuffer(r.near, np.float32), ends[:-1]), strict=True)
+            for own, (v, n) in zip(np.frombuffer(r.query_ids, np.int64).tolist(), parts, strict=True):
+                if own in lists:
+                    v, n = best_of(np.concatenate([lists[own][0], v]), np.concatenate([lists[own][1], n]))
+                lists[own] = v, n
+        return pack_found(int(key[1]), int(key[0]), lists)
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                own = np.repeat(np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.sizes, np.int64))
+                yield pd.DataFrame({"query_id": own, "vec_id": np.frombuffer(r.ids, np.int64)})
 
     c_blocks, q_blocks = max(1, -(-n // code_block)), max(1, -(-n // (every * query_block)))
     number = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
@@ -180,9 +197,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy(number(q_blocks).alias("qb")).applyInPandas(pack_queries, "qb int, query_ids binary, queries binary")
     codes = codes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    found = codes.join(queries, ["cb", "qb"]).select("ids", "codes", "norms", "query_ids", "queries").mapInPandas(scan, "query_id long, vec_id long, near double")
+    lists = "qb int, cb int, query_ids binary, sizes binary, ids binary, near binary"
+    found = codes.join(queries, ["cb", "qb"]).select("cb", "qb", "ids", "codes", "norms", "query_ids", "queries").mapInPandas(scan, lists)
+    while c_blocks > 1:  # a tree: no task holds the lists of more than MERGE blocks
+        c_blocks = -(-c_blocks // MERGE)
+        found = found.groupBy("qb", F.expr(f"cb div {MERGE}").cast("int").alias("to")).applyInPandas(merged, lists)
+    short = found.mapInPandas(unpack, "query_id long, vec_id long")
     by = Window.partitionBy("query_id")
-    short = found.withColumn("r", F.row_number().over(by.orderBy(F.desc("near"), "vec_id"))).filter(F.col("r") <= shortlist).select("query_id", "vec_id")
     q = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = short.join(rows, "vec_id").join(q, "query_id").select("query_id", "vec_id", exact.alias("score"))
