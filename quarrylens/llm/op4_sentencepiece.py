@@ -3,8 +3,8 @@
 The model's protobuf is read field by field; normaliser, metaspace marker, scores (Unigram) or score-ranked merges
 (BPE) and byte fallback are rebuilt as a `tokenizers.Tokenizer`. Where no piece holds a marker after another
 character, no merge or best path can cross the start of a run of markers, so a text is cut there exactly: each
-distinct segment is encoded once per worker, in multithreaded batches, and compared with the original library
-(`parity`). Decoding runs over the whole ids of each text (`round_trip`).
+distinct segment is encoded once per worker, in multithreaded batches, compared with the original library (`parity`)
+and decoded again (`round_trip`): both hold for a text where they hold for all its segments. `decode` reads whole texts.
 
 Defined results: a null or empty text has no tokens and round-trips; a text holding the marker character itself
 decodes to blanks there (round_trip false); repeated rows are encoded alike; columns other than doc_id and text are
@@ -18,6 +18,8 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SLICE = 1 << 20
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS, CACHE_CHARS = 1_500_000, 48 << 20
 DDL = "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
 
@@ -72,7 +74,7 @@ class PieceModel:
     remove_extra_whitespaces: bool = True
     escape_whitespaces: bool = True
 
-    @property
+    @cached_property
     def splits(self) -> bool:
         """No piece holds a marker after another character."""
         return self.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, UNUSED))
@@ -150,38 +152,54 @@ class Codec:
         self.model = parse_model(data)
         self.tok, self.normal = build(self.model)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if self.model.splits else (lambda s: [s])
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.same: list[bool] = []
         self.check = None
         if verify:
             import sentencepiece
 
             self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
             self.glued = [i for i, p in enumerate(self.model.pieces) if p[0] == MARK]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known segments: number by text; ids of all in one array, with where each begins; both verdicts."""
+        self.index: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.at = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.same, self.back = np.zeros(1 << 14, bool), np.zeros(1 << 14, bool)
 
     def _learn(self, segments: list[str]) -> None:
-        """Encode segments not met before, and compare with the original library."""
+        """Encode segments not met before, compare with the original library and decode them again."""
         if not segments:
             return
-        got = [e.ids for e in self.tok.encode_batch(segments, add_special_tokens=False)]
-        for s in segments:
-            self.index[s] = len(self.index)
-        self.ids += [np.array(x, np.int32) for x in got]
-        if self.check is None:
-            self.same += [True] * len(got)
-            return
+        got = [e.ids for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
+        n, m = len(self.index), len(segments)
+        while n + m + 1 > len(self.at):
+            self.at, self.same, self.back = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.same, self.back))
+        self.index.update(zip(segments, range(n, n + m), strict=True))
+        self.chars += sum(map(len, segments))
+        self.at[n + 1 : n + m + 1] = self.at[n] + np.cumsum(np.fromiter(map(len, got), np.int64, m))
+        while self.at[n + m] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.at[n] : self.at[n + m]] = np.fromiter((i for x in got for i in x), np.int32)
+        decoded = self.tok.decode_batch(got, skip_special_tokens=False)
+        prefix = self.model.add_dummy_prefix
+        self.back[n : n + m] = [d == (s[1:] if prefix and s[0] == MARK else s).replace(MARK, " ") for d, s in zip(decoded, segments, strict=True)]
+        self.same[n : n + m] = self._compare(segments, got) if self.check else True
+
+    def _compare(self, segments: list[str], got: list[list[int]]) -> list[bool]:
         # the library puts a marker of its own before each text: a segment that starts with one stands for itself
         whole = self.model.add_dummy_prefix and self.model.plain
         own = [s[1:] if whole and s.startswith(MARK) else s for s in segments]
         want = self.check.encode([s.replace(MARK, " ") for s in own], num_threads=2)
+        same = []
         for s, o, a, b in zip(segments, own, got, want, strict=True):
             if whole and o and s is not o or not self.model.add_dummy_prefix:
-                self.same.append(a == b)
+                same.append(a == b)
             elif whole and s == MARK:
-                self.same.append(a == self.glued)
+                same.append(a == self.glued)
             else:  # a segment without its marker can't be handed to the library alone
-                self.same.append(self.tok.encode(MARK + s, add_special_tokens=False).ids == b if s else not a)
+                same.append(self.tok.encode(MARK + s, add_special_tokens=False).ids == b if s else not a)
+        return same
 
     def slices(self, text: str) -> Iterator[str]:
         """Normalised text in parts that start where a segment does."""
@@ -202,18 +220,22 @@ class Codec:
             yield text[at:end]
             at = end
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        out, fine = [], []
-        cut = [[self.cut(s) for s in self.slices(t)] for t in texts]
-        if len(self.index) > CACHE_SEGMENTS:
-            self.index, self.ids, self.same = {}, [], []
-        self._learn(list({s for parts in cut for p in parts for s in p if s not in self.index}))
-        get = self.index.__getitem__
-        for parts in cut:
-            at = [i for p in parts for i in map(get, p)]
-            out.append(np.concatenate([self.ids[i] for i in at]) if at else np.empty(0, np.int32))
-            fine.append(all(map(self.same.__getitem__, at)))
-        return out, fine
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, where each text's begin (one more: the end), and per text: as the library, decodes to itself."""
+        cut = [[s for part in self.slices(t) for s in self.cut(part)] for t in texts]
+        if len(self.index) > CACHE_SEGMENTS or self.chars > CACHE_CHARS:
+            self._forget()
+        known = self.index
+        self._learn(list({s for parts in cut for s in parts if s not in known}))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        k = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        sizes = self.at[k + 1] - self.at[k]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[k] - ends[:-1], sizes)]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        bad = np.concatenate([[[0, 0]], np.cumsum(np.column_stack([~self.same[k], ~self.back[k]]), axis=0)])
+        wrong = bad[first[1:]] - bad[first[:-1]]
+        return ids, ends[first], wrong[:, 0] == 0, (wrong[:, 1] == 0) & np.array([MARK not in t for t in texts], bool)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -228,15 +250,9 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, verify: bool = True) -
         codec = Codec(data.value, verify)
         for b in chunks(batches, "text", 1 << 20):
             texts = [t.decode("utf-8", "replace") for t in raw(b.column("text"))]
-            ids, fine = codec.encode(texts)
-            back = codec.decode(ids)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(ends, values),
-                    pa.array(fine, pa.bool_()), pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()),
-                ], schema=SCHEMA)
+            ids, starts, same, back = codec.encode(texts)
+            lists = pa.ListArray.from_arrays(starts.astype(np.int32), ids)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(starts)), lists, pa.array(same), pa.array(back)], schema=SCHEMA)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, DDL)
 
