@@ -33,6 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SLICE = 1 << 20
+RUN = 200
 CACHE_SEGMENTS, CACHE_CHARS = 1_500_000, 48 << 20
 DDL = "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
@@ -158,6 +159,7 @@ class Codec:
 
             self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
             self.glued = [i for i, p in enumerate(self.model.pieces) if p[0] == MARK]
+        self.bytes_of = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in self.model.pieces], np.int64)
         self._forget()
 
     def _forget(self) -> None:
@@ -169,28 +171,65 @@ class Codec:
 
     def _learn(self, segments: list[str]) -> None:
         """Encode segments not met before, compare with the original library and decode them again."""
-        if not segments:
-            return
-        got = [e.ids for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
+        joined = [s for s in segments if s[0] == MARK != s[-1]] if self.model.splits else []
+        if joined:
+            self._store(joined, *self._together(joined))
+        rest = [s for s in segments if s[0] != MARK or s[-1] == MARK] if joined else segments
+        if rest:
+            got = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+            decoded = self.tok.decode_batch(got, skip_special_tokens=False)
+            back = [d == self._plain(s) for d, s in zip(decoded, rest, strict=True)]
+            same = self._compare(rest, got) if self.check else [True] * len(got)
+            self._store(rest, np.fromiter((i for x in got for i in x), np.int32), np.cumsum(np.fromiter(map(len, got), np.int64, len(got))), same, back)
+
+    def _store(self, segments: list[str], ids: np.ndarray, ends: np.ndarray, same, back) -> None:
         n, m = len(self.index), len(segments)
         while n + m + 1 > len(self.at):
             self.at, self.same, self.back = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.same, self.back))
         self.index.update(zip(segments, range(n, n + m), strict=True))
         self.chars += sum(map(len, segments))
-        self.at[n + 1 : n + m + 1] = self.at[n] + np.cumsum(np.fromiter(map(len, got), np.int64, m))
+        self.at[n + 1 : n + m + 1] = self.at[n] + ends
         while self.at[n + m] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.at[n] : self.at[n + m]] = np.fromiter((i for x in got for i in x), np.int32)
-        decoded = self.tok.decode_batch(got, skip_special_tokens=False)
+        self.ids[self.at[n] : self.at[n + m]] = ids
+        self.same[n : n + m], self.back[n : n + m] = same, back
+
+    def _plain(self, segment: str) -> str:
+        return (segment[1:] if self.model.add_dummy_prefix and segment[0] == MARK else segment).replace(MARK, " ")
+
+    def _together(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments that start with a marker, encoded as running text: a cut before each is exact, so nothing changes.
+
+        Ids of all and where each segment's end, found by the bytes that the pieces stand for.
+        """
+        groups = [segments[i : i + RUN] for i in range(0, len(segments), RUN)]
+        texts = ["".join(g) for g in groups]
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(got), np.int32)
+        covered = np.cumsum(self.bytes_of[ids])
+        want = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
+        ends = np.searchsorted(covered, want) + 1
+        if not np.array_equal(covered[ends - 1], want):
+            raise ValueError("a piece reaches over the start of a segment")
+        back, same = np.ones(len(segments), bool), np.ones(len(segments), bool)
         prefix = self.model.add_dummy_prefix
-        self.back[n : n + m] = [d == (s[1:] if prefix and s[0] == MARK else s).replace(MARK, " ") for d, s in zip(decoded, segments, strict=True)]
-        self.same[n : n + m] = self._compare(segments, got) if self.check else True
+        plain = [t[prefix:].replace(MARK, " ") for t in texts]
+        lib = self.check.encode(plain, num_threads=1) if self.check and prefix and self.model.plain else None
+        for k, (x, d, t) in enumerate(zip(got, self.tok.decode_batch(got, skip_special_tokens=False), plain, strict=True)):
+            if d != t or lib is not None and lib[k] != x:  # one by one, to see which
+                one = [e.ids for e in self.tok.encode_batch_fast(groups[k], add_special_tokens=False)]
+                at = slice(k * RUN, k * RUN + len(one))
+                back[at] = [y == self._plain(s) for y, s in zip(self.tok.decode_batch(one, skip_special_tokens=False), groups[k], strict=True)]
+                same[at] = self._compare(groups[k], one) if self.check else True
+        if self.check and lib is None:
+            same[:] = self._compare(segments, [ids[a:z].tolist() for a, z in zip([0, *ends[:-1]], ends, strict=True)])
+        return ids, ends, same, back
 
     def _compare(self, segments: list[str], got: list[list[int]]) -> list[bool]:
         # the library puts a marker of its own before each text: a segment that starts with one stands for itself
         whole = self.model.add_dummy_prefix and self.model.plain
         own = [s[1:] if whole and s.startswith(MARK) else s for s in segments]
-        want = self.check.encode([s.replace(MARK, " ") for s in own], num_threads=2)
+        want = self.check.encode([s.replace(MARK, " ") for s in own], num_threads=1)
         same = []
         for s, o, a, b in zip(segments, own, got, want, strict=True):
             if whole and o and s is not o or not self.model.add_dummy_prefix:
