@@ -7,6 +7,7 @@ from . import op2_additive_ann as op2
 from . import op3_toxicity as op3
 from . import op4_sentencepiece as op4
 from . import op5_jaccard_join as op5
+from . import op6_suffix_dedup as op6
 from . import op7_language_id as op7
 from . import op9_mixing as op9
 from . import op10_sharding as op10
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_toxicity": op3.op3_toxicity,
     "op4_sentencepiece": op4.op4_sentencepiece,
     "op5_jaccard_join": op5.op5_jaccard_join,
+    "op6_suffix_dedup": op6.op6_suffix_dedup,
     "op7_language_id": op7.op7_language_id,
     "op9_mixing": op9.op9_mixing,
     "op10_sharding": op10.op10_sharding,

@@ -262,3 +262,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The document with the least doc_id of each class; same columns. Rows without doc_id stay."""
+    heads = near_duplicates(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__head"))
+    one = docs.join(heads, F.col("doc_id").cast("long") == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null"))

@@ -4,7 +4,7 @@ Sizes are words. Sources in code point order, null last, weigh 1, 2, 3, 1, ... a
 stops at `most` times its source's size and the excess is shared again by weight. Every document of a source then
 has the same expected number of copies, a whole part plus a fraction. Two fractions at a time are paired and words
 are moved from one to the other at random, so that each document keeps its expectation, until one of the two is
-integral. Chunks of a source are rounded side by side; the one fraction that each chunk leaves goes up a reduction
+integral; larger documents come first, so that what stays open is small. Chunks of a source are rounded side by side; the one fraction that each chunk leaves goes up a reduction
 tree, and the last one of a source is settled by a draw. A source so takes its target to within one document.
 
 Defined results: a null text has size 0; size-0 documents are taken 0 times; rows are told apart by (doc_id, size),
@@ -69,7 +69,7 @@ def _round(level: int, width: int, last: bool):
     """Round one chunk; rows that are settled get p null, the one that isn't keeps its fraction and the next level's chunk."""
 
     def step(key, pdf):
-        pdf = pdf.sort_values(["size", "doc_id"], na_position="first", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable").reset_index(drop=True)
         seed = (int(key[0]) << 40) ^ (level << 34) ^ int(key[1])
         p, left = pivot(pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(np.float64), seed)
         if last and left >= 0:
@@ -121,3 +121,18 @@ def mix(docs: DataFrame, most: int = 3, chunk: int = CHUNK, fan_in: int = FAN_IN
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("copies")
+
+
+def repeat(docs: DataFrame, most: int = 3) -> DataFrame:
+    """Every document as many times as the mix takes it; same columns. Equal rows of (doc_id, size) are told apart by number."""
+    from pyspark.sql.window import Window
+
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__size", size)
+    own = own.withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__size").orderBy("text")))
+    taken = mix(docs, most).select(F.col("doc_id").alias("i"), F.col("size").alias("s"), "copies")
+    taken = taken.withColumn("k", F.row_number().over(Window.partitionBy("i", "s").orderBy("copies"))).filter("copies > 0")
+    both = own.join(taken, F.expr("__id <=> i and __size = s and __k = k"))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(c) for c in docs.columns])
+
+
