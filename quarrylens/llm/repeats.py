@@ -114,12 +114,14 @@ class Shape:
         at = np.arange(len(pos))
         text = np.searchsorted(s.starts, at, "right") - 1
         at = at[at + self.width <= self.ends(s)[text]] if len(pos) else at
+        if not len(at):
+            return at, at, at, at
         p = pos[at]
         new = np.ones(len(at), bool)
         new[1:] = (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        return text[at[first]] if len(at) else at, p[first], at[first], at[last]
+        return text[at[first]], p[first], at[first], at[last]
 
 
 def by_bucket(step: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
