@@ -9,6 +9,7 @@ from . import op4_sentencepiece as op4
 from . import op5_jaccard_join as op5
 from . import op6_suffix_dedup as op6
 from . import op7_language_id as op7
+from . import op8_debruijn_dedup as op8
 from . import op9_mixing as op9
 from . import op10_sharding as op10
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_jaccard_join": op5.op5_jaccard_join,
     "op6_suffix_dedup": op6.op6_suffix_dedup,
     "op7_language_id": op7.op7_language_id,
+    "op8_debruijn_dedup": op8.op8_debruijn_dedup,
     "op9_mixing": op9.op9_mixing,
     "op10_sharding": op10.op10_sharding,
 }
