@@ -1,11 +1,14 @@
-"""Named queries over the driver's tables and the SQL that checks them."""
+"""Named queries over the driver's tables and the SQL that checks them.
+
+Documents stand for source files, pages for paths, orders for classes with their lineitems as methods, and a graph of
+parts (successive parts of an order) for the import graph.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,11 +26,8 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query(
-    "module_metrics",
-    """SELECT source AS module, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars
-       FROM documents GROUP BY source""",
-)
-def module_metrics(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.groupBy(F.col("source").alias("module")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+from . import graph_queries, project_queries, text_queries  # noqa: E402, F401
