@@ -79,14 +79,15 @@ def suffix_order(matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, n
     """Order of byte strings (rows, zero-padded) and the bytes that each shares with the one before."""
     order, shared = multikey_sort(_tokens(matrix))
     lcp = np.zeros(len(order), np.int64)
-    a, b = matrix[order[:-1]], matrix[order[1:]]
     at = 8 * shared[1:]
     width = matrix.shape[1]
     lcp[1:] = np.minimum(at, width)
     near = np.flatnonzero(at < width)
-    cols = np.minimum(at[near, None] + np.arange(8), width - 1)
-    equal = np.take_along_axis(a[near], cols, 1) == np.take_along_axis(b[near], cols, 1)
-    lcp[1:][near] = np.minimum(at[near] + equal.cumprod(axis=1).sum(axis=1), width)
+    for r in range(0, len(near), 8192):
+        k = near[r : r + 8192]
+        cols = np.minimum(at[k, None] + np.arange(8), width - 1)
+        equal = matrix[order[k, None], cols] == matrix[order[k + 1][:, None], cols]
+        lcp[1:][k] = np.minimum(at[k] + equal.cumprod(axis=1).sum(axis=1), width)
     lcp[1:] = np.minimum(lcp[1:], np.minimum(lengths[order[:-1]], lengths[order[1:]]))
     return order, lcp
 
@@ -103,12 +104,14 @@ def repeated_windows(doc, dup, at, left, size, data) -> Iterator[tuple[int, int]
     buf = np.frombuffer(data, np.uint8)
     buf = np.concatenate([buf, np.zeros(WIDTH, np.uint8)])
     right_len = size - left
-    cols = np.arange(WIDTH)
-    right = np.where(cols < right_len[:, None], buf[np.minimum((begin + left)[:, None] + cols, len(buf) - 1)], 0)
     reach = WIDTH - GRAM
-    lcols = np.arange(max(1, reach))
-    before = np.where(lcols < left[:, None], buf[np.maximum((begin + left - 1)[:, None] - lcols, 0)], 0).astype(np.uint8)
-    r_order, r_lcp = suffix_order(right.astype(np.uint8), right_len)
+    right, before = np.zeros((n, WIDTH), np.uint8), np.zeros((n, reach), np.uint8)
+    cols, lcols = np.arange(WIDTH), np.arange(reach)
+    for r in range(0, n, 4096):  # the index matrices are wide
+        k = slice(r, r + 4096)
+        right[k] = np.where(cols < right_len[k, None], buf[np.minimum((begin + left)[k, None] + cols, len(buf) - 1)], 0)
+        before[k] = np.where(lcols < left[k, None], buf[np.maximum((begin + left - 1)[k, None] - lcols, 0)], 0)
+    r_order, r_lcp = suffix_order(right, right_len)
     l_order, l_lcp = suffix_order(before, left)
     least = np.maximum(0, WIDTH - right_len)  # offsets a of windows: least <= a <= left
     mine_r, mine_l = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -276,15 +279,15 @@ def spans_of(lists: list[bytes] | None, dup: int) -> np.ndarray:
     return np.column_stack([a, z])
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """The documents (d, dup, text) with `spans`, a list of binaries that spans_of reads; null where nothing goes."""
-    corpus = Corpus(docs)
-    buckets = 2 * corpus.parts
+def removed_spans(docs: DataFrame, *others: str) -> DataFrame:
+    """The documents (d, dup, text, and `rest` with other columns) with `spans`, binaries that spans_of reads; null where nothing goes."""
+    corpus = Corpus(docs, *others)
+    buckets = corpus.buckets
     splitters, hot = sample_splitters(docs, buckets)
     around = corpus.with_lists(corpus.repeated(SHAPE), "inner").select("d", "dup", "text", "marks")
     items = around.mapInArrow(_send(buckets, splitters, hot), _DDL)
     spans = items.repartition(corpus.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(_compare), "d long, spans binary")
-    return corpus.with_lists(spans.groupBy("d").agg(F.collect_list("spans").alias("spans")), "left").select("d", "dup", "text", "spans")
+    return corpus.with_lists(spans.groupBy("d").agg(F.collect_list("spans").alias("spans")), "left").select(*corpus.columns, "spans")
 
 
 def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
@@ -324,25 +327,25 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated strings, cut at whole characters; those left empty go. Same columns.
-
-    The other columns come back by doc_id and the row's number among those of its doc_id.
-    """
-    from pyspark.sql.window import Window
+    """The documents without their repeated strings, cut at whole characters; those left empty go. Same columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    spans = removed_spans(docs, *others) if others else removed_spans(docs)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", CHUNK):
-            out = []
+            out, keep = [], []
             for u, t, lists in zip(b.column("dup").to_pylist(), raw(b.column("text")), b.column("spans").to_pylist(), strict=True):
                 out.append(kept_bytes(t, whole_characters(t, spans_of(lists, u))).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("dup"), pa.array(out, pa.string()), pa.array([bool(t) for t in raw(b.column("text"))])], ["d", "dup", "new_text", "had"])
-
-    new = removed_spans(docs).mapInArrow(step, "d long, dup int, new_text string, had boolean").withColumnRenamed("d", "__d").withColumnRenamed("dup", "__dup")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__dup", F.row_number().over(Window.partitionBy("__d").orderBy(text)) - 1)
-    joined = rest.drop("text").join(new, ["__d", "__dup"]).filter("not had or new_text <> ''")
-    columns = [F.col("new_text").alias("text") if c == "text" else F.length("new_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+                keep.append(bool(out[-1]) or not t)
+            i = b.schema.get_field_index("text")
+            b = b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type)).filter(pa.array(keep, pa.bool_()))
+            yield b.select([x for x in b.schema.names if x != "spans"])
+
+    new = spans.mapInArrow(step, spans.drop("spans").schema)
+    whole = {"doc_id": F.when(F.col("d") != NO_ID, F.col("d")).cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    if "n_chars" in others:
+        whole["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return new.select(*[(whole[c] if c in whole else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

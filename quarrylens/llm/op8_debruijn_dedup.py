@@ -226,7 +226,7 @@ def glue(lists: list[bytes] | None, dup: int) -> np.ndarray:
 
 def _joined(docs: DataFrame) -> DataFrame:
     corpus = Corpus(docs)
-    buckets = 2 * corpus.parts
+    buckets = corpus.buckets
     hot = hot_anchors(docs, buckets)
     around = corpus.with_lists(corpus.repeated(SHAPE), "inner").select("d", "dup", "text", "marks")
     edges = around.mapInArrow(_send(buckets, hot), _DDL)

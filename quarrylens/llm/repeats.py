@@ -27,6 +27,7 @@ from .textnp import gram_hashes, join_texts, mix, word_hashes, words
 NO_ID = -(1 << 63)
 CHUNK = 2 << 20
 PIECE = 1 << 18
+BUCKET_BYTES = 16 << 20
 _T32 = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -163,14 +164,19 @@ def per_text(doc: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
 class Corpus:
     """Documents, shuffled once by doc_id; `dup` numbers the rows of one doc_id in the order of their texts."""
 
-    def __init__(self, docs: DataFrame):
-        d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    def __init__(self, docs: DataFrame, *others: str):
+        """`others`: columns that stay with their rows, as the struct `rest`."""
+        rest = [F.struct(*[F.col(c) for c in others]).alias("rest")] if others else []
+        d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
         self.parts = parts_of(docs)
+        self.columns = ["d", "dup", "text", *(["rest"] if others else [])]
+        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        self.buckets = max(8, total // BUCKET_BYTES)  # sized by the texts, so that a bucket fits a task at any scale
         self.rows = d.repartition(self.parts, "d").withColumn("dup", F.row_number().over(Window.partitionBy("d").orderBy("text")) - 1)
 
     def repeated(self, shape: Shape) -> DataFrame:
         """d and marks: dup << 44 | position of the anchors whose gram occurs again, a binary of 64-bit numbers."""
-        buckets = 2 * self.parts
+        buckets = self.buckets
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches, "text", CHUNK):
@@ -226,13 +232,13 @@ class Corpus:
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], ["d", "marks"])
 
-        sent = self.rows.select("d", "dup", "text").mapInArrow(send, "bucket int, own long, doc binary, mark binary, key binary, many binary")
+        sent = self.rows.select(*self.columns).drop("rest").mapInArrow(send, "bucket int, own long, doc binary, mark binary, key binary, many binary")
         got = sent.repartition(self.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(reply), "d long, marks binary")
         return got.groupBy("d").agg(F.collect_list("marks").alias("marks"))
 
     def with_lists(self, lists: DataFrame, how: str) -> DataFrame:
         """The documents joined with one list for each doc_id; the texts stay where they are."""
-        return self.rows.select("d", "dup", "text").join(lists.hint("shuffle_merge"), "d", how)
+        return self.rows.select(*self.columns).join(lists.hint("shuffle_merge"), "d", how)
 
 
 _ROW = pa.schema([("bucket", pa.int32()), ("own", pa.int64()), ("doc", pa.binary()), ("mark", pa.binary()), ("key", pa.binary()), ("many", pa.binary())])
