@@ -194,16 +194,25 @@ def _bucket(_, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, edge: np.ndarray, source: np.ndarray) -> None:
-    """Compare the words of edges with the words at their sources, byte for byte; a word pair is compared once."""
-    pairs = np.unique(np.concatenate([np.column_stack([edge + i, source + i]) for i in (0, WIDTH - 1)] + [np.column_stack([edge + i, source + i]) for i in range(1, WIDTH - 1)]), axis=0) if len(edge) else np.empty((0, 2), np.int64)
-    a, b = pairs[:, 0], pairs[:, 1]
+    """Compare the words of edges with the words at their sources, byte for byte, run by run of successive edges."""
+    if not len(edge):
+        return
+    o = np.argsort(edge, kind="stable")
+    edge, source = edge[o], source[o]
+    new = np.ones(len(edge), bool)
+    new[1:] = (edge[1:] != edge[:-1] + 1) | (source[1:] != source[:-1] + 1)
+    first = np.flatnonzero(new)
+    words_ = np.diff(np.append(first, len(edge))) + WIDTH - 1
+    step = np.arange(int(words_.sum())) - np.repeat(np.cumsum(words_) - words_, words_)
+    a, b = np.repeat(edge[first], words_) + step, np.repeat(source[first], words_) + step
     n = hi[a] - lo[a]
     if not np.array_equal(n, hi[b] - lo[b]):
         raise ValueError("two different windows have one hash")
-    at = np.repeat(np.cumsum(n) - n, n)
-    step = np.arange(int(n.sum())) - at
-    if not np.array_equal(data[np.repeat(lo[a], n) + step], data[np.repeat(lo[b], n) + step]):
-        raise ValueError("two different windows have one hash")
+    for r in range(0, len(a), 1 << 16):
+        k = slice(r, r + (1 << 16))
+        step = np.arange(int(n[k].sum())) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+        if not np.array_equal(data[np.repeat(lo[a[k]], n[k]) + step], data[np.repeat(lo[b[k]], n[k]) + step]):
+            raise ValueError("two different windows have one hash")
 
 
 def glue(lists: list[bytes] | None, dup: int) -> np.ndarray:
