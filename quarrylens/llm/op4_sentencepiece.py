@@ -34,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SLICE = 1 << 20
 RUN = 200
-CACHE_SEGMENTS, CACHE_CHARS = 1_500_000, 48 << 20
+CACHE_SEGMENTS, CACHE_CHARS = 600_000, 24 << 20
 DDL = "doc_id long, n_tokens long, ids array<int>, parity boolean, round_trip boolean"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("parity", pa.bool_()), ("round_trip", pa.bool_())])
 

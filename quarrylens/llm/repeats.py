@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, parts_of, raw
+from .common import chunks, parts_of, raw, trim
 from .textnp import gram_hashes, join_texts, mix, word_hashes, words
 
 NO_ID = -(1 << 63)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 PIECE = 1 << 18
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _T32 = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -139,10 +139,13 @@ def by_bucket(step: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatc
                 if last is not None and col[a] != last:
                     yield from step(last, held)
                     held = []
+                    trim()
                 last = int(col[a])
                 held.append(b.slice(a, z - a))
         if last is not None:
             yield from step(last, held)
+        held.clear()
+        trim()
 
     return run
 
