@@ -34,6 +34,7 @@ WIDTH, GRAM = 13, 5
 SHAPE = Shape(WIDTH, GRAM, by_word=True)
 SAMPLE_DOCS = 2000
 HOT_SHARE = 32
+BUCKET_BYTES = 2 << 20
 EDGES, PATHS, HASHED = 0, 1, 2
 _COLS = ("doc", "dup", "at", "left", "size", "source")
 _HEAD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(c, pa.binary()) for c in (*_COLS, "data")]])
@@ -234,7 +235,7 @@ def glue(lists: list[bytes] | None, dup: int) -> np.ndarray:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    corpus = Corpus(docs)
+    corpus = Corpus(docs, bucket_bytes=BUCKET_BYTES)
     buckets = corpus.buckets
     hot = hot_anchors(docs, buckets)
     around = corpus.with_lists(corpus.repeated(SHAPE), "inner").select("d", "dup", "text", "marks")

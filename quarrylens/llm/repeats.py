@@ -27,7 +27,7 @@ from .textnp import gram_hashes, join_texts, mix, word_hashes, words
 NO_ID = -(1 << 63)
 CHUNK = 1 << 20
 PIECE = 1 << 18
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 _T32 = np.random.default_rng(31).integers(0, 1 << 32, 256, dtype=np.uint32)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -167,14 +167,14 @@ def per_text(doc: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
 class Corpus:
     """Documents, shuffled once by doc_id; `dup` numbers the rows of one doc_id in the order of their texts."""
 
-    def __init__(self, docs: DataFrame, *others: str):
+    def __init__(self, docs: DataFrame, *others: str, bucket_bytes: int = BUCKET_BYTES):
         """`others`: columns that stay with their rows, as the struct `rest`."""
         rest = [F.struct(*[F.col(c) for c in others]).alias("rest")] if others else []
         d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
         self.parts = parts_of(docs)
         self.columns = ["d", "dup", "text", *(["rest"] if others else [])]
         total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-        self.buckets = max(8, total // BUCKET_BYTES)  # sized by the texts, so that a bucket fits a task at any scale
+        self.buckets = max(8, total // bucket_bytes)  # sized by the texts, so that a bucket fits a task at any scale
         self.rows = d.repartition(self.parts, "d").withColumn("dup", F.row_number().over(Window.partitionBy("d").orderBy("text")) - 1)
 
     def repeated(self, shape: Shape) -> DataFrame:
