@@ -38,6 +38,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
     trim()
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """Lower the session's Arrow batches to `rows` rows: texts are long, and Spark counts batches by rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def trim() -> None:
     """Hand freed memory back to the system: Python workers live on between stages."""
     pa.default_memory_pool().release_unused()

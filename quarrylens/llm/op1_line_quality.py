@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, chunks, raw, table, to_batch
+from .common import BLANKS, chunks, raw, small_batches, table, to_batch
 
 SYMBOLS = "#*$%&|<>"
 CLOSERS = "\"'”’»)]"
@@ -150,7 +150,7 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             rows, _ = judge(raw(b.column("text")), rules)
             yield to_batch(SCHEMA, b.column("doc_id"), *map(list, zip(*rows, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, DDL)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, DDL)
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -165,7 +165,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             b = b.set_column(i, b.schema.field(i), pa.array(cleaned, b.schema.field(i).type))
             yield b.filter(mask)
 
-    out = docs.mapInArrow(step, schema)
+    out = small_batches(docs).mapInArrow(step, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw, table
+from .common import chunks, raw, small_batches, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, verify: bool = True) -
             lists = pa.ListArray.from_arrays(starts.astype(np.int32), ids)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(starts)), lists, pa.array(same), pa.array(back)], schema=SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, DDL)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, DDL)
 
 
 def decode(coded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, raw, table
+from .common import checkpointed, chunks, raw, small_batches, table
 from .components import components
 from .textnp import gram_hashes, inside_texts, join_texts, mix, word_hashes, words
 
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
     """doc_id, a 128-bit print of the shingle set (f1, f2), its size n, and the band hashes."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 2 << 20):
+        for b in chunks(batches, "text", 1 << 20):
             g, starts = shingle_sets(raw(b.column("text")))
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(g + np.uint64(1)))])
             again = np.concatenate([[np.uint64(0)], np.cumsum(mix(g ^ np.uint64(0x5555555555555555)))])
@@ -217,7 +217,7 @@ def _emit(group, key, held) -> pa.RecordBatch:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches, "text", 2 << 20):
+    for b in chunks(batches, "text", 1 << 20):
         g, starts = shingle_sets(raw(b.column("text")))
         blobs = [g[a:z].tobytes() for a, z in zip(starts, starts[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "blocks", "block", "doc_id", "weight")), pa.array(blobs, pa.binary())], ["comp", "blocks", "block", "doc_id", "weight", "grams"])
@@ -226,7 +226,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9998, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, copy_of, class_id, n_links of every row."""
     banding = choose_banding(threshold, recall)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sk = checkpointed(sketches(docs, banding))
     sets = sk.filter("doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = checkpointed(sets)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, parts_of, raw, trim
+from .common import chunks, parts_of, raw, small_batches, trim
 from .textnp import gram_hashes, join_texts, mix, word_hashes, words
 
 NO_ID = -(1 << 63)
@@ -171,7 +171,7 @@ class Corpus:
         """`others`: columns that stay with their rows, as the struct `rest`."""
         rest = [F.struct(*[F.col(c) for c in others]).alias("rest")] if others else []
         d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
-        self.parts = parts_of(docs)
+        self.parts = parts_of(small_batches(docs))
         self.columns = ["d", "dup", "text", *(["rest"] if others else [])]
         total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         self.buckets = max(8, total // bucket_bytes)  # sized by the texts, so that a bucket fits a task at any scale
