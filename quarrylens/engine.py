@@ -141,7 +141,7 @@ class Analysis:
 
     def diagnostics(self, open_files: DataFrame) -> DataFrame:
         """Findings for open files (path)."""
-        ring = self.cycles.select(F.monotonically_increasing_id().alias("cycle_id"), F.posexplode("cycle").alias("pos", "file_id"))
+        ring = self.cycles.select(F.xxhash64("cycle").alias("cycle_id"), F.posexplode("cycle").alias("pos", "file_id"))
         ring = ring.join(self.files.select("file_id", "path"), "file_id").select("cycle_id", "pos", "path")
         return G.findings(self.files, self.classes, self.file_metrics, ring, open_files)
 

@@ -56,7 +56,7 @@ def target_module(module_name: Column, module: Column, kind: Column, level: Colu
         whole = F.when(base == "", module).when(module == "", base).otherwise(F.concat(base, F.lit("."), module))
     else:
         base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level, F.lit(0)).cast("int")), ".")
-        whole = F.when(F.size(parts) < level, module).when(module == "", base).otherwise(F.concat(base, F.lit("."), module))
+        whole = F.when(F.size(parts) < level, module).when(base == "", F.lit(None)).when(module == "", base).otherwise(F.concat(base, F.lit("."), module))
     return F.when(kind == "Relative", whole).otherwise(module)
 
 

@@ -100,7 +100,7 @@ _JS_REQUIRE = re.compile(r"^[ \t]*(?:(?:const|let|var)\s+(\w+|\{[^}]*\})\s*=\s*)
 _JS_CLASS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)([^{]*)\{", re.M)
 _JS_FUNC = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(async\s+)?function\s*\*?\s*(\w+)\s*(?:<[^>]*>)?\(", re.M)
 _JS_ARROW = re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(async\s+)?(?:function\s*\*?\s*\w*\s*)?(\(|\w+\s*=>)", re.M)
-_JS_METHOD = re.compile(r"^[ \t]*((?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*)(#?\w+)\s*(?:<[^>]*>)?\(", re.M)
+_JS_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*((?:(?:public|private|protected|static|async|get|set|readonly|override)\s+)*)(#?\w+)\s*(?:<[^>]*>)?\(", re.M)
 _JS_FIELD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|readonly|declare)\s+)*(#?\w+)[?!]?\s*(?::\s*([^=;\n]+))?(?:=\s*([^;\n]+))?;", re.M)
 _JSX = re.compile(r"<\s*(?:[A-Za-z][\w.]*[\s/>]|>)")
 _WORDS = {"if", "for", "while", "switch", "catch", "return", "function"}
@@ -186,7 +186,7 @@ def javascript(text: str) -> dict:
 
 _RS_USE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", re.M)
 _RS_TYPE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(struct|enum|trait|union)\s+(\w+)", re.M)
-_RS_FN = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+(\w+)\s*(?:<[^({]*>)?\s*\(", re.M)
+_RS_FN = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+(\w+)\s*(?:<[^({]*>)?\s*\(", re.M)
 _RS_IMPL = re.compile(r"^[ \t]*(?:unsafe\s+)?impl\b\s*(?:<[^{]*?>\s*(?=\w))?([^{;]*)\{", re.M)
 _RS_CONST = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(\w+)\s*:\s*([^=;]+)(?:=\s*([^;]+))?;", re.M)
 _RS_MOD = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;", re.M)
@@ -255,7 +255,7 @@ def rust(text: str) -> dict:
 _GO_IMPORT = re.compile(r"^import\s+(?:(\w+|\.|_)\s+)?(\")|^import\s*(\()", re.M)
 _GO_TYPE = re.compile(r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface|[^\n{]+)", re.M)
 _GO_FUNC = re.compile(r"^func\s+(?:\(\s*(?:\w+\s+)?(\*?\s*\w+)[^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(", re.M)
-_GO_VALUE = re.compile(r"^(?:const|var)\s+(\w[\w\s,]*?)(?:\s+([\w.*\[\]]+))?\s*(?:=\s*([^\n]+))?$", re.M)
+_GO_VALUE = re.compile(r"^(?:const|var)\s+(\w+(?:[ \t]*,[ \t]*\w+)*)(?:[ \t]+([\w.*\[\]]+))?\s*(?:=\s*([^\n]+))?$", re.M)
 _GO_GROUP = re.compile(r"^(const|var)\s*(\()", re.M)
 
 
@@ -309,7 +309,7 @@ def go(text: str) -> dict:
             out["constants"].append(M.constant(name, s.line(m.start(1)), m[2], s.text[m.start(3) : m.end(3)].strip() if m[3] else None))
     for m in s.find(_GO_GROUP):
         end = s.close(m.start(2), "()")
-        for k in re.compile(r"^[ \t]+(\w[\w, ]*?)(?:[ \t]+([\w.*\[\]]+))?[ \t]*(?:=[ \t]*([^\n]+))?$", re.M).finditer(s.masked, m.end(), end):
+        for k in re.compile(r"^[ \t]+(\w+(?:[ \t]*,[ \t]*\w+)*)(?:[ \t]+([\w.*\[\]]+))?[ \t]*(?:=[ \t]*([^\n]+))?$", re.M).finditer(s.masked, m.end(), end):
             for name in re.split(r"[\s,]+", k[1].strip()):
                 out["constants"].append(M.constant(name, s.line(k.start(1)), k[2], s.text[k.start(3) : k.end(3)].strip() if k[3] else None))
     return out
@@ -318,7 +318,7 @@ def go(text: str) -> dict:
 # Java
 
 _JAVA_TYPE = re.compile(r"^[ \t]*((?:(?:public|protected|private|abstract|final|static|sealed|non-sealed|strictfp)\s+)*)(class|interface|enum|record)\s+(\w+)([^{;]*)\{", re.M)
-_JAVA_METHOD = re.compile(r"^[ \t]*((?:@\w+(?:\([^)]*\))?\s+)*)((?:(?:public|protected|private|abstract|final|static|synchronized|native|default)\s+)*)(?:<[^>]+>\s+)?(?:([\w.]+(?:<[^;(){}]*>)?(?:\[\])*)\s+)?(\w+)\s*\(", re.M)
+_JAVA_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*((?:@\w+(?:\([^)]*\))?\s+)*)((?:(?:public|protected|private|abstract|final|static|synchronized|native|default)\s+)*)(?:<[^>]+>\s+)?(?:([\w.]+(?:<[^;(){}]*>)?(?:\[\])*)\s+)?(\w+)\s*\(", re.M)
 _JAVA_FIELD = re.compile(r"^[ \t]*(?:(?:public|protected|private|final|static|transient|volatile)\s+)+([\w.]+(?:<[^;(){}]*>)?(?:\[\])*)\s+(\w+)\s*(?:=\s*([^;]+))?;", re.M)
 
 
@@ -373,11 +373,11 @@ def java(text: str) -> dict:
 # C and C++
 
 _C_INCLUDE = re.compile(r"^[ \t]*#[ \t]*include[ \t]*([<\"])([^>\"\n]+)[>\"]", re.M)
-_C_FUNC = re.compile(r"^[ \t]*((?:[\w:<>,*&~\[\] \t]|\boperator\b[^\s\w(]+)+?[\s*&])?((?:\w+::)*~?\w+|(?:\w+::)*operator\s*[^\s\w(]+)[ \t]*\(", re.M)
-_C_TYPE = re.compile(r"^[ \t]*(typedef\s+)?(struct|enum class|enum struct|enum|union|class)\s+(\w+)?\s*(?:final\s*)?(?::\s*([^{;]+))?\{", re.M)
+_C_FUNC = re.compile(r"(?:^|(?<=[{};]))[ \t]*((?:[\w:<>,*&~\[\] \t]|\boperator\b[^\s\w(]+)+?[\s*&])?((?:\w+::)*~?\w+|(?:\w+::)*operator\s*[^\s\w(]+)[ \t]*\(", re.M)
+_C_TYPE = re.compile(r"(?:^|(?<=[{};]))[ \t]*(typedef\s+)?(struct|enum class|enum struct|enum|union|class)\s+(\w+)?\s*(?:final\s*)?(?::\s*([^{;]+))?\{", re.M)
 _C_TYPEDEF = re.compile(r"^[ \t]*typedef\s+([^;{}]+?)\s*\b(\w+)\s*;", re.M)
 _C_GLOBAL = re.compile(r"^[ \t]*((?:(?:static|const|extern|volatile|unsigned|signed|long|short|constexpr|inline)\s+)*[A-Za-z_][\w:<>]*(?:\s*\*+)?)\s+\**(\w+)(?:\[[^\]]*\])*\s*(?:=\s*([^;{]+|\{[^;]*\}))?;", re.M)
-_NAMESPACE = re.compile(r"^[ \t]*(?:inline\s+)?namespace\s+([\w:]+)\s*\{", re.M)
+_NAMESPACE = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:inline\s+)?namespace\s+([\w:]+)\s*\{", re.M)
 _NOT_NAMES = {"if", "for", "while", "switch", "return", "sizeof", "catch", "else", "do", "new", "delete", "throw", "defined", "alignas", "decltype", "static_assert"}
 
 
