@@ -66,6 +66,12 @@ def _grow(start: DataFrame, step) -> DataFrame:
         known = known.unionByName(frontier)
 
 
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """Each file takes the largest colour among its own and those of the files that lead to it."""
+    best = edges.join(colours, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("m"))
+    return colours.join(best, "v", "left").select("v", F.greatest("c", F.coalesce("m", "c")).alias("c"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(file_id, component) of files on a cycle with another file: strongly connected components of two or more.
 
@@ -85,9 +91,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         nodes = left.select(F.col("src").alias("v")).unionByName(left.select(F.col("dst").alias("v"))).distinct()
         colours, changed = cut(nodes.withColumn("c", F.col("v"))), 1
         while changed:
-            best = left.join(colours, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("m"))
-            new = cut(colours.join(best, "v", "left").select("v", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("up")))
-            changed = new.filter("up").count()
+            new = _spread(left, _spread(left, colours))  # two steps for each write
+            new = cut(new.join(colours.withColumnRenamed("c", "old"), "v"))
+            changed = new.filter("c > old").count()
             colours = new.select("v", "c")
         inside = cut(
             left.join(colours.withColumnsRenamed({"v": "src", "c": "cs"}), "src").join(colours.withColumnsRenamed({"v": "dst", "c": "cd"}), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c"))

@@ -68,11 +68,20 @@ def write_search(a: Analysis, path: str) -> None:
         json.dump([r.asDict() for r in rows.toLocalIterator()], f, ensure_ascii=False, indent=2)
 
 
-def _put(root: str, rel: str, title: str, body: str, project: str) -> None:
+def load_template(folder: str | None) -> Template:
+    """Page template `page.html` of a folder of one's own, with $title, $project, $body and $up; else the built-in one."""
+    path = os.path.join(folder, "page.html") if folder else ""
+    if not os.path.exists(path):
+        return _PAGE
+    with open(path, encoding="utf-8") as f:
+        return Template(f.read())
+
+
+def _put(root: str, rel: str, title: str, body: str, project: str, page: Template = _PAGE) -> None:
     path = os.path.join(root, rel)
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        f.write(_PAGE.substitute(title=html.escape(title), project=html.escape(project), body=body, up="../" * rel.count("/")))
+        f.write(page.safe_substitute(title=html.escape(title), project=html.escape(project), body=body, up="../" * rel.count("/")))
 
 
 def _list(items) -> str:
@@ -95,9 +104,9 @@ def class_pages(a: Analysis) -> DataFrame:
     return a.classes.join(of, "file_id").join(m, "class_id", "left").withColumns({"slug": S.slugify("name"), "module_slug": S.slugify("module")})
 
 
-def write_site(a: Analysis, root: str) -> int:
+def write_site(a: Analysis, root: str, templates: str | None = None) -> int:
     """Index, module and class pages, search index and diagrams; the number of pages."""
-    esc, name, pages = html.escape, a.config.project.name, 1
+    esc, name, pages, page = html.escape, a.config.project.name, 1, load_template(templates)
     for d in ("assets/diagrams", "modules"):
         os.makedirs(os.path.join(root, d), exist_ok=True)
     for file, content in (("style.css", _STYLE), ("search.js", _SEARCH)):
@@ -108,15 +117,15 @@ def write_site(a: Analysis, root: str) -> int:
         links.append(f'<a href="modules/{m.slug}/index.html">{esc(m.module)}</a> ({m.file_count} files, {m.module_type})')
         body = f"<h1>{esc(m.module)}</h1><p>{m.module_type}, {m.file_count} files</p><h2>Files</h2>" + _list([f"<code>{esc(x.path)}</code> {esc(x.doc or '')}" for x in m.files or []])
         body += "<h2>Classes</h2>" + _list([f"<b>{esc(x.name)}</b> {esc(x.doc or '')}" for x in m.classes or []]) + "<h2>Functions</h2>" + _list([f"<code>{esc(x.signature)}</code>" for x in m.functions or []])
-        _put(root, f"modules/{m.slug}/index.html", m.module, body, name)
+        _put(root, f"modules/{m.slug}/index.html", m.module, body, name, page)
         pages += 1
     for c in class_pages(a).toLocalIterator():
         body = f"<h1>class {esc(c.name)}</h1><p>{esc(', '.join(c.bases or []))}</p><p>{esc(c.docstring or '')}</p><h2>Methods</h2>" + _list([f"<code>{esc(x.signature)}</code> {esc(x.doc or '')}" for x in c.methods or []])
-        _put(root, f"modules/{c.module_slug}/{c.slug}.html", c.name, body, name)
+        _put(root, f"modules/{c.module_slug}/{c.slug}.html", c.name, body, name, page)
         pages += 1
     s = a.stats.first()
     rows = "".join(f"<tr><th>{k}</th><td>{v}</td></tr>" for k, v in (("Files", s.files), ("Classes", s.classes), ("Functions", s.functions), ("Lines of code", s.code_lines)))
-    _put(root, "index.html", name, f"<h1>{esc(name)}</h1><table>{rows}</table><h2>Modules</h2>" + _list(links), name)
+    _put(root, "index.html", name, f"<h1>{esc(name)}</h1><table>{rows}</table><h2>Modules</h2>" + _list(links), name, page)
     write_search(a, os.path.join(root, "search.json"))
     if a.config.diagrams.enabled:
         write_diagrams(a, os.path.join(root, "assets", "diagrams"))

@@ -152,6 +152,10 @@ def test_reports(analysis, tmp_path):
     assert mmd.startswith("graph TB\n") and "app --> models_item" in mmd
     assert "Item <|-- Plain" in (tmp_path / "site/assets/diagrams/classes.mmd").read_text()
     assert "bad.py" in report.console_summary(analysis)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/page.html").write_text("<own>$title</own>")
+    report.write_site(analysis, str(tmp_path / "own"), str(tmp_path / "t"))
+    assert (tmp_path / "own/modules/models/item.html").read_text() == "<own>Item</own>"
 
 
 def test_export(analysis):
