@@ -12,7 +12,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     one = np.ones(1, np.uint64)
@@ -23,7 +23,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64, for i up to n at least."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    return _powers(1 << max(18, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return w_start, w_end, np.searchsorted(w_start, starts)
 
 
-def word_hashes(data: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, piece: int = 1 << 17) -> np.ndarray:
     """Hash of every word; worked through in pieces of the buffer, cut between words."""
     out, i, n = np.empty(len(w_start), np.uint64), 0, len(w_start)
     while i < n:
