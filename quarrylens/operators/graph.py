@@ -72,11 +72,51 @@ def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
     return colours.join(best, "v", "left").select("v", F.greatest("c", F.coalesce("m", "c")).alias("c"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Up to so many edges what trimming leaves is solved in one task; beyond, by colouring over the cluster.
+LOCAL_EDGES = 200_000
+
+
+def _local_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected components by two depth-first passes, the second over turned edges."""
+    ahead: dict[int, list[int]] = {}
+    behind: dict[int, list[int]] = {}
+    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+        ahead.setdefault(a, []).append(b)
+        behind.setdefault(b, []).append(a)
+    done, order = set(), []
+    for root in sorted({*ahead, *behind}):
+        if root in done:
+            continue
+        done.add(root)
+        todo = [(root, iter(ahead.get(root, ())))]
+        while todo:
+            node, rest = todo[-1]
+            nxt = next((x for x in rest if x not in done), None)
+            if nxt is None:
+                order.append(node)
+                todo.pop()
+            else:
+                done.add(nxt)
+                todo.append((nxt, iter(ahead.get(nxt, ()))))
+    comp: dict[int, int] = {}
+    for root in reversed(order):
+        if root in comp:
+            continue
+        comp[root], todo = root, [root]
+        while todo:
+            for x in behind.get(todo.pop(), ()):
+                if x not in comp:
+                    comp[x] = root
+                    todo.append(x)
+    return pd.DataFrame({"v": list(comp), "c": list(comp.values())})
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(file_id, component) of files on a cycle with another file: strongly connected components of two or more.
 
-    Trim files without a way in or out; colour every file with the largest id that reaches it; what the colour's root
-    can be reached from, within the colour, is a component. Repeat on the rest.
+    Trim files without a way in or out. If few edges are left (they are counted), one task solves them. Else colour
+    every file with the largest id that reaches it; what the colour's root can be reached from, within the colour, is a
+    component; repeat on the rest.
     """
     left = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     found = None
@@ -88,6 +128,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
             left = cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
         if not n:
             break
+        if n <= local_edges:
+            few = left.select(F.col("src").cast("long"), F.col("dst").cast("long")).groupBy(F.lit(0)).applyInPandas(_local_components, "v long, c long")
+            found = few if found is None else found.unionByName(few)
+            break
         nodes = left.select(F.col("src").alias("v")).unionByName(left.select(F.col("dst").alias("v"))).distinct()
         colours, changed = cut(nodes.withColumn("c", F.col("v"))), 1
         while changed:
