@@ -129,7 +129,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
         if not n:
             break
         if n <= local_edges:
-            few = left.select(F.col("src").cast("long"), F.col("dst").cast("long")).groupBy(F.lit(0)).applyInPandas(_local_components, "v long, c long")
+            few = left.select(F.lit(0).alias("all"), F.col("src").cast("long"), F.col("dst").cast("long")).groupBy("all").applyInPandas(_local_components, "v long, c long")
             found = few if found is None else found.unionByName(few)
             break
         nodes = left.select(F.col("src").alias("v")).unionByName(left.select(F.col("dst").alias("v"))).distinct()
