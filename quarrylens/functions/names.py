@@ -40,6 +40,7 @@ REFLECTION = ("getattr", "setattr", "hasattr", "delattr", "type", "isinstance",
 EVAL_EXEC = ("eval", "exec", "compile")
 DYNAMIC_ATTR = ("vars", "globals", "locals", "__dict__", "__getattr__", "__setattr__")
 RISK_WEIGHTS = {"eval_exec": 25, "dynamic_import": 15, "reflection": 10, "dynamic_attr": 5}
+# Thresholds of diagnostics, content types by extension, kinds of symbols by name.
 HIGH_COMPLEXITY, MANY_FUNCTIONS = 20, 15
 MIME = {
     "html": "text/html; charset=utf-8", "htm": "text/html; charset=utf-8", "css": "text/css; charset=utf-8", "js": "application/javascript; charset=utf-8",

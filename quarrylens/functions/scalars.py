@@ -279,7 +279,7 @@ def glob_match(pattern: str, s: C) -> Column:
     return col(s) == pattern
 
 
-# explanations
+# explanations: the sentences and prompts are fixed values
 
 
 def _plural(n: Column, word: str, many: str) -> Column:

@@ -1,4 +1,7 @@
-"""Findings about open files: cycles, missing documentation, high complexity, many functions."""
+"""Findings about open files: cycles, missing documentation, high complexity, many functions.
+
+Codes, severities and messages are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Diagram text as rows: (part, key, line), to be joined in the order of part and key."""
+"""Diagram text as rows: (part, key, line), to be joined in the order of part and key.
+
+The line formats of Mermaid and DOT output are fixed values.
+"""
 
 from __future__ import annotations
 
