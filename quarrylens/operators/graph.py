@@ -154,44 +154,88 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     return found.join(size, "c").select(F.col("v").cast("long").alias("file_id"), F.col("component").cast("long").alias("component"))
 
 
+#: Components of up to so many edges are searched in one task each; larger ones over the cluster, with the same result.
+LOCAL_CYCLE_EDGES = 2_000
+
+
+def _parents(root: int, ahead: dict[int, list[int]]) -> dict[int, int]:
+    """Breadth-first tree; of several files one step nearer to the root the least is the parent."""
+    parent, level = {root: root}, [root]
+    while level:
+        new = {}
+        for a in sorted(level):
+            for b in ahead.get(a, ()):
+                if b not in parent:
+                    new.setdefault(b, a)
+        parent |= new
+        level = list(new)
+    return parent
+
+
 def _cycles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One cycle for each back edge of a depth-first search over ascending ids, turned to start at its least id."""
-    out: dict[int, list[int]] = {}
-    for a, b in sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)):
-        out.setdefault(a, []).append(b)
-    state, cycles = dict.fromkeys(out, 0), set()
-    for root in sorted(out):
-        if state[root]:
-            continue
-        path, todo = [root], [iter(out[root])]
-        place = {root: 0}
-        state[root] = 1
-        while todo:
-            nxt = next(todo[-1], None)
-            if nxt is None:
-                todo.pop()
-                done = path.pop()
-                state[done] = 2
-                del place[done]
-            elif state.get(nxt, 2) == 1:
-                ring = path[place[nxt] :]
-                k = ring.index(min(ring))
-                cycles.add(tuple(ring[k:] + ring[:k]))
-            elif state.get(nxt, 2) == 0:
-                state[nxt] = 1
-                place[nxt] = len(path)
-                path.append(nxt)
-                todo.append(iter(out[nxt]))
-    rows = sorted(c for c in cycles if len(c) > 1)
-    return pd.DataFrame({"component": [int(pdf["component"].iloc[0])] * len(rows), "cycle": [list(c) for c in rows]})
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """(component, cycle): canonical import cycles, found inside each strongly connected component."""
+    """The cycles of one component, as cycles() has them."""
+    root, ahead, behind = int(pdf["component"].iloc[0]), {}, {}
+    pairs = sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
+    for a, b in pairs:
+        ahead.setdefault(a, []).append(b)
+        behind.setdefault(b, []).append(a)
+    down, up = _parents(root, ahead), _parents(root, behind)
+
+    def path(tree: dict[int, int], x: int) -> list[int]:
+        nodes = [x]
+        while nodes[-1] != root:
+            nodes.append(tree[nodes[-1]])
+        return nodes
+
+    rings = set()
+    for a, b in pairs:
+        out, back = path(down, a)[::-1], path(up, b)
+        place = {x: i for i, x in enumerate(out)}
+        k = next(i for i, x in enumerate(back) if x in place)
+        ring = back[: k + 1] + out[place[back[k]] + 1 :]
+        k = ring.index(min(ring))
+        rings.add(tuple(ring[k:] + ring[:k]))
+    return pd.DataFrame({"component": [root] * len(rings), "cycle": [list(c) for c in sorted(rings)]})
+
+
+def _tree(inner: DataFrame, name: str) -> DataFrame:
+    """(v, <name>): the files from the component's least one to v, level by level over all components at once."""
+    seen = frontier = cut(inner.select(F.col("component").alias("v"), F.array("component").alias(name)).distinct())
+    while True:
+        step = inner.join(frontier, F.col("src") == F.col("v")).select("src", F.col("dst").alias("v"), name).join(seen.select("v"), "v", "left_anti")
+        frontier = cut(step.groupBy("v").agg(F.min_by(name, "src").alias(name)).select("v", F.concat(name, F.array("v")).alias(name)))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def _spread_cycles(inner: DataFrame) -> DataFrame:
+    """As _cycles, by joins: no task holds a component."""
+    turned = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "component")
+    out, up = _tree(inner, "out").withColumnRenamed("v", "src"), _tree(turned, "up").withColumnRenamed("v", "dst")
+    both = inner.join(out, "src").join(up, "dst").select("component", "out", F.reverse("up").alias("back"))
+    at = lambda xs, x: F.array_position(xs, x).cast("int")
+    meet = both.withColumn("x", F.element_at(F.filter("back", lambda x: F.array_contains("out", x)), 1))
+    ring = meet.select("component", F.concat(F.slice("back", F.lit(1), at("back", F.col("x"))), F.slice("out", at("out", F.col("x")) + 1, F.size("out"))).alias("ring"))
+    k = at("ring", F.array_min("ring"))
+    return ring.select("component", F.concat(F.slice("ring", k, F.size("ring")), F.slice("ring", F.lit(1), k - 1)).alias("cycle")).distinct()
+
+
+def cycles(edges: DataFrame, local_edges: int = LOCAL_CYCLE_EDGES) -> DataFrame:
+    """(component, cycle): canonical import cycles, one for each import inside a strongly connected component.
+
+    The import a -> b is closed by the breadth-first path from b to the component's least file and on from there to a,
+    cut short where the two first meet. Cycles start at their least id; equal ones are given once. So every import that
+    is on a cycle is in one of the result, and there are at most as many cycles as imports.
+    """
     comp = strong_components(edges)
     side = lambda k: comp.select(F.col("file_id").alias(k), F.col("component").alias(f"c_{k}"))
     inner = edges.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst and src <> dst")
-    return inner.select("src", "dst", F.col("c_src").alias("component")).groupBy("component").applyInPandas(_cycles, "component long, cycle array<long>")
+    inner = cut(inner.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("c_src").alias("component")))
+    large = cut(inner.groupBy("component").count().filter(F.col("count") > local_edges).select("component"))
+    those = F.broadcast(large)  # a row for each local_edges edges at most; no component is gathered to be split off
+    few = inner.join(those, "component", "left_anti").groupBy("component").applyInPandas(_cycles, "component long, cycle array<long>")
+    return few if large.isEmpty() else few.unionByName(_spread_cycles(inner.join(those, "component", "left_semi").select("src", "dst", "component")))
 
 
 def module_edges(edges: DataFrame, module_of: DataFrame) -> DataFrame:
