@@ -68,3 +68,7 @@ def test_cycles_have_every_cyclic_import(spark, local):
 def test_canonical_cycles_of_all_orders(spark, sf, duck):
     pairs = duck.execute(f"SELECT DISTINCT src, dst FROM ({EDGES})").fetchall()
     assert_cycles(pairs, [list(map(int, r.cycle.split("->"))) for r in QUERIES["canonical_cycles"](spark, sf).collect()])
+
+
+def test_import_edges_of_all_orders(spark, sf, duck):
+    check(spark, sf, duck, "import_edges", ("a.l_orderkey % 10 = 0 AND ", ""))
