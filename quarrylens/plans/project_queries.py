@@ -260,7 +260,7 @@ def diagnostics(spark, sf_dir):
     f = read(spark, sf_dir, "orders").select(k.alias("file_id"), F.concat(F.lit("src/o"), k, F.lit(".py")).alias("path"), F.when(st == "F", "  ").when(st == "O", F.col("o_orderpriority")).alias("docstring"))
     c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit("p"), "l_partkey").alias("name"), F.col("l_linenumber").alias("line_start"), F.when(F.col("l_returnflag") != "R", "doc").alias("docstring"))
     m = f.select("file_id", (F.col("file_id") % 40).alias("complexity"), (F.col("file_id") % 25).alias("function_count"))
-    ring = f.filter("file_id < 300").select(F.expr("file_id div 3").alias("cycle_id"), F.col("file_id").alias("pos"), "path")
+    ring = f.select(F.expr("file_id div 3").alias("cycle_id"), F.col("file_id").alias("pos"), "path")
     out = G.findings(f, c, m, ring, f.filter("file_id % 2 = 0"))
     return out.withColumn("related", F.array_join("related", ","))
 

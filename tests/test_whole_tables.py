@@ -72,3 +72,7 @@ def test_canonical_cycles_of_all_orders(spark, sf, duck):
 
 def test_import_edges_of_all_orders(spark, sf, duck):
     check(spark, sf, duck, "import_edges", ("a.l_orderkey % 10 = 0 AND ", ""))
+
+
+def test_diagnostics_have_rings_of_all_orders(spark, sf, duck):
+    check(spark, sf, duck, "diagnostics", (" WHERE file_id < 300", ""))
