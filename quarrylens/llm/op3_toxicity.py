@@ -16,8 +16,9 @@ are not learned from. Whole texts are read, in bounded batches, and scoring need
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -209,6 +210,33 @@ def _tokens(text: bytes) -> list[str]:
     return [b for b in (w.strip(EDGES) for w in text.decode("utf-8", "replace").lower().split()) if b]
 
 
+#: So many patterns are counted at once; more are counted in passes over ranges of their hashes.
+COUNTED = 2_000_000
+
+
+def _count(texts: list[bytes], patterns: Callable[[str], list[str]], least_docs: int, passes: int) -> tuple[Counter, Counter, int] | None:
+    """Rows and occurrences of the patterns in least_docs rows at least, and the number of words; None if a pass has too many patterns."""
+    all_docs, all_occ, n = Counter(), Counter(), 0
+    for k in range(passes):
+        docs, occ, n = Counter(), Counter(), 0
+        for t in texts:
+            words = _tokens(t)
+            n += len(words)
+            seen = set()
+            for w, c in Counter(words).items():
+                for p in patterns(w):
+                    if passes == 1 or zlib.crc32(p.encode()) % passes == k:
+                        occ[p] += c
+                        seen.add(p)
+            docs.update(seen)
+            if len(docs) > COUNTED:
+                return None
+        often = {p: c for p, c in docs.items() if c >= least_docs}
+        all_docs.update(often)
+        all_occ.update({p: occ[p] for p in often})
+    return all_docs, all_occ, n
+
+
 def learn_lexicon(bad: list[bytes], good: list[bytes], least_docs: int = 4, least_odds: float = 1.2) -> Lexicon:
     """Words and stems that mark toxic rows: log-odds of their rate among all words, in `least_docs` toxic rows at least.
 
@@ -218,20 +246,11 @@ def learn_lexicon(bad: list[bytes], good: list[bytes], least_docs: int = 4, leas
     def patterns(word: str) -> list[str]:
         return [word + "$"] + [word[:n] for n in range(STEM[0], min(STEM[1], len(word)) + 1)]
 
-    docs, occ_bad, n_bad = Counter(), Counter(), 0
-    for t in bad:
-        words = _tokens(t)
-        n_bad += len(words)
-        seen = set()
-        for w, c in Counter(words).items():
-            for p in patterns(w):
-                occ_bad[p] += c
-                seen.add(p)
-        docs.update(seen)
-        if len(docs) > 2_000_000:  # patterns of one row can't reach least_docs soon
-            docs = Counter({p: c for p, c in docs.items() if c > 1})
-            occ_bad = Counter({p: occ_bad[p] for p in docs})
-    open_ = {p for p, c in docs.items() if c >= least_docs}
+    passes = 1
+    while (counted := _count(bad, patterns, least_docs, passes)) is None:
+        passes *= 2
+    docs, occ_bad, n_bad = counted
+    open_ = set(docs)
     occ_good, docs_good, n_good = Counter(), Counter(), 0
     for t in good:
         words = _tokens(t)

@@ -57,3 +57,13 @@ def test_edges(spark):
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert got[0].score == got[1].score < got[2].score == got[3].score and got[4].score < 0.3
     assert op3.score(docs.limit(0), none).count() == 0
+
+
+def test_counts_are_exact_in_passes(monkeypatch):
+    rich = " ".join(f"{j * 2654435761 % 2**40:010x}" for j in range(500_000))
+    bad = [f"{'grubface ' * 100_000}{rich}".encode()] + [b"grubface " * 100_000] * 3  # met in four rows, over 2,000,000 patterns in the first
+    good = [b"quiet words of the day " * 20] * 8
+    whole = op3.learn_lexicon(bad, good)
+    assert "grubface" in whole.exact and whole == op3.learn_lexicon(bad[::-1], good)
+    monkeypatch.setattr(op3, "COUNTED", 10**9, raising=False)
+    assert op3.learn_lexicon(bad, good) == whole
