@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer maps each word to a class: insult or threat (with a weight), target, negation, reported speech,
+A lexicon look-up maps each word to a class: insult or threat (with a weight), target, negation, reported speech,
 or plain, and marks clause ends. Target, negation and reported-speech transducers rewrite insults and threats that
-stand in their reach ("you ... idiot", "not an idiot", "he said: idiot"). The four are composed into one machine;
-its output labels are summed per document, clause by clause, and a logistic model turns the sums into a score.
+stand in their reach ("you ... idiot", "not an idiot", "he said: idiot"). These three are composed into one machine,
+which reads the classes that the lexicon, a look-up of single words, gives; its output labels are summed per document, clause by clause, and a logistic model turns the sums into a score.
 
 Insult words and word stems and their weights are learned from labelled rows on the learning side of the split (at
 most `per_label` rows of each label, smallest hashes first): half of them give the lexicon, the other half the
