@@ -49,10 +49,12 @@ def transitive_imports(edges: DataFrame, starts: DataFrame, max_depth: int) -> D
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, F.col("file_id") == F.col("src")).select("start", F.col("dst").alias("file_id")).distinct()
-        frontier = cut(step.join(seen, ["start", "file_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+        new = step.join(seen, ["start", "file_id"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth < max_depth:  # the last level, the largest, is read once only and not written here
+            new = frontier = cut(new)
+            if frontier.isEmpty():
+                break
+        seen = seen.unionByName(new)
     return seen.filter("depth > 0")
 
 

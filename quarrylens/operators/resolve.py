@@ -22,18 +22,18 @@ def classify(imports: DataFrame, files: DataFrame, stdlib: Iterable[str] = N.STD
     imports: file_id, path (of the importing file), module, kind, level, ...; files: path of all known files. Order of
     the rules: relative, standard library, known third party, local (`x.py`, else `x/__init__.py`), third party.
     """
-    own = imports.withColumn("__n", F.monotonically_increasing_id())
     parts = F.split(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/")
     parts = F.filter(parts, lambda x: x != "")
     up = F.greatest(F.coalesce("level", F.lit(1)) - 1, F.lit(0))
     base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0)).cast("int")), "/")
     as_path = F.replace("module", F.lit("."), F.lit("/"))
     relative = F.col("kind") == "Relative"
-    own = own.withColumn("__rel", relative).withColumn("__path", F.when(relative, _target(base, as_path)).otherwise(as_path))
-    tries = own.select("__n", F.posexplode(F.array(F.concat("__path", F.lit(".py")), F.concat("__path", F.lit("/__init__.py")))).alias("k", "cand"))
-    known = files.select(F.col("path").alias("cand")).distinct()
-    hits = tries.join(known, "cand").groupBy("__n").agg(F.min_by("cand", "k").alias("found"))
-    out = own.join(hits, "__n", "left")
+    own = imports.withColumn("__rel", relative).withColumn("__path", F.when(relative, _target(base, as_path)).otherwise(as_path))
+    known = files.select("path").distinct()
+    side = lambda name: known.select(F.col("path").alias(name))
+    out = own.join(side("__file"), F.concat("__path", F.lit(".py")) == F.col("__file"), "left")
+    out = out.join(side("__package"), F.concat("__path", F.lit("/__init__.py")) == F.col("__package"), "left")
+    out = out.withColumn("found", F.coalesce("__file", "__package"))
     third = list(third_party)
     std = S.is_stdlib("module", stdlib)
     known_third = S.top_level("module").isin(*third) if third else F.lit(False)

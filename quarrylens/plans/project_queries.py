@@ -69,25 +69,25 @@ def module_page_stats(spark, sf_dir):
     return M.module_page_stats(d.select("module", "file_id"), times(3), times(5))
 
 
-# imports: each page imports the page whose number follows, by its path, a standard module, or something relative
-_IMPORTS = f"""{PATHS_SQL}, f AS (SELECT page_id AS file_id, base || CASE WHEN page_id % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path, base FROM paths),
-nx AS (SELECT page_id, lead(replace(base, '/', '.')) OVER (ORDER BY page_id) AS dotted, string_split(lead(base) OVER (ORDER BY page_id), '/')[-1] AS leaf FROM paths WHERE NOT contains(base, '..')),
-i AS (SELECT file_id, path, CASE WHEN file_id % 5 = 0 THEN 'os.path' WHEN file_id % 5 = 1 THEN 'numpy.linalg' WHEN file_id % 5 = 2 THEN leaf ELSE replace(base, '/', '.') END AS module,
-  CASE WHEN file_id % 5 = 2 THEN 'Relative' ELSE 'From' END AS kind, 1 + file_id % 2 AS level FROM f JOIN nx ON page_id = file_id WHERE dotted IS NOT NULL)"""
+# imports: each page imports the page of the next number by its path, a standard module, a third-party one, or something relative
+_IMPORTS = f"""{PATHS_SQL}, f AS (SELECT page_id AS file_id, replace(base, '.', '_') || CASE WHEN page_id % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path, replace(base, '.', '_') AS base FROM paths),
+i AS (SELECT f.file_id, f.path, CASE WHEN f.file_id % 5 = 0 THEN 'os.path' WHEN f.file_id % 5 = 1 THEN 'numpy.linalg' WHEN f.file_id % 5 = 2 THEN string_split(CASE WHEN f.file_id % 3 = 0 THEN f.base ELSE n.base END, '/')[-1] ELSE replace(n.base, '/', '.') END AS module,
+  CASE WHEN f.file_id % 5 = 2 THEN 'Relative' ELSE 'From' END AS kind, 1 + f.file_id % 2 AS level FROM f JOIN f n ON n.file_id = f.file_id + 1)"""
 
 
 def page_files(spark, sf_dir):
-    p = paths(spark, sf_dir)
+    base = F.replace("base", F.lit("."), F.lit("_"))
+    p = paths(spark, sf_dir).select("page_id", base.alias("base"))
     return p.select(F.col("page_id").alias("file_id"), F.concat("base", F.when(F.col("page_id") % 2 == 0, ".py").otherwise("/__init__.py")).alias("path"), "base")
 
 
 def page_imports(spark, sf_dir):
-    w = Window.orderBy("page_id")
-    nx = paths(spark, sf_dir).select("page_id", F.lead("base").over(w).alias("next")).filter("next is not null")
+    f = page_files(spark, sf_dir)
+    nx = f.select((F.col("file_id") - 1).alias("file_id"), F.col("base").alias("next"))
     k = F.col("file_id") % 5
-    leaf = F.element_at(F.split("next", "/"), -1)
-    module = F.when(k == 0, "os.path").when(k == 1, "numpy.linalg").when(k == 2, leaf).otherwise(F.replace("base", F.lit("/"), F.lit(".")))
-    return page_files(spark, sf_dir).join(nx, F.col("page_id") == F.col("file_id")).select(
+    leaf = F.element_at(F.split(F.when(F.col("file_id") % 3 == 0, F.col("base")).otherwise(F.col("next")), "/"), -1)
+    module = F.when(k == 0, "os.path").when(k == 1, "numpy.linalg").when(k == 2, leaf).otherwise(F.replace("next", F.lit("/"), F.lit(".")))
+    return f.join(nx, "file_id").select(
         "file_id", "path", module.alias("module"), F.when(k == 2, "Relative").otherwise("From").alias("kind"), (1 + F.col("file_id") % 2).cast("int").alias("level"))
 
 
@@ -114,7 +114,7 @@ def import_metrics(spark, sf_dir):
     return M.import_metrics(R.classify(page_imports(spark, sf_dir), page_files(spark, sf_dir)))
 
 
-@query("import_edges", "SELECT a.l_partkey AS src, b.p_partkey AS dst FROM lineitem a JOIN part b ON b.p_partkey = a.l_suppkey WHERE a.l_orderkey % 10 = 0 AND a.l_partkey <> b.p_partkey AND b.p_partkey = (SELECT max(p_partkey) FROM part c WHERE c.p_partkey = b.p_partkey)")
+@query("import_edges", "SELECT a.l_partkey AS src, b.p_partkey AS dst FROM lineitem a JOIN part b ON b.p_partkey = a.l_suppkey WHERE a.l_partkey <> b.p_partkey AND b.p_partkey = (SELECT max(p_partkey) FROM part c WHERE c.p_partkey = b.p_partkey)")
 def import_edges(spark, sf_dir):
     f = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("pkg.m"), "p_partkey").alias("module_name"), F.concat(F.lit("pkg/m"), "p_partkey", F.lit(".py")).alias("path"))
     i = read(spark, sf_dir, "lineitem").select(
@@ -248,8 +248,8 @@ def hover_text(spark, sf_dir):
 
 # diagnostics: orders are files; open ones have an even key; rings of three successive orders are cycles
 @query("diagnostics", """WITH f AS (SELECT o_orderkey AS file_id, 'src/o' || o_orderkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN '  ' WHEN o_orderstatus = 'O' THEN o_orderpriority END AS doc, (o_orderkey % 40)::BIGINT AS cx, (o_orderkey % 25)::BIGINT AS fc FROM orders),
-op AS (SELECT path FROM f WHERE file_id % 2 = 0), rg AS (SELECT file_id // 3 AS cid, string_agg('o' || file_id || '.py', ' -> ' ORDER BY file_id) AS d, list(path ORDER BY file_id) AS ps FROM f WHERE file_id < 300 GROUP BY 1),
-fd AS (SELECT f.path, 'ERROR' AS severity, 'circular-dependency' AS code, 0 AS line, 'Circular dependency detected: ' || d AS message, array_to_string(list_filter(ps, lambda x: x <> f.path), ',') AS related FROM f JOIN rg ON cid = file_id // 3 WHERE file_id < 300
+op AS (SELECT path FROM f WHERE file_id % 2 = 0), rg AS (SELECT file_id // 3 AS cid, string_agg('o' || file_id || '.py', ' -> ' ORDER BY file_id) AS d, list(path ORDER BY file_id) AS ps FROM f GROUP BY 1),
+fd AS (SELECT f.path, 'ERROR' AS severity, 'circular-dependency' AS code, 0 AS line, 'Circular dependency detected: ' || d AS message, array_to_string(list_filter(ps, lambda x: x <> f.path), ',') AS related FROM f JOIN rg ON cid = file_id // 3
  UNION ALL SELECT path, 'HINT', 'missing-module-docs', 0, 'Module is missing documentation', '' FROM f WHERE trim(coalesce(doc, '')) = ''
  UNION ALL SELECT path, 'HINT', 'missing-class-docs', greatest(l_linenumber - 1, 0), 'Class ''p' || l_partkey || ''' is missing documentation', '' FROM lineitem JOIN f ON file_id = l_orderkey WHERE l_returnflag = 'R'
  UNION ALL SELECT path, 'WARNING', 'high-complexity', 0, 'High complexity detected (complexity: ' || cx || ', threshold: 20). Consider splitting this module.', '' FROM f WHERE cx > 20
