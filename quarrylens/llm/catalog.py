@@ -27,4 +27,5 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_quality": op1.oracle(),
+    "op5_jaccard_join": op5.oracle(),
 }

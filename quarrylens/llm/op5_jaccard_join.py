@@ -1,16 +1,20 @@
 """N-gram Jaccard join by MinHash banding.
 
 A document is the set of its 5-word shingles. Band and row counts are chosen for a target recall at the threshold.
-Documents with equal sets collapse to one representative; representatives are grouped by band hash, and every group
-that the bands connect is verified on full shingle sets: pairs at or above the threshold are links.
+Rows with equal sets collapse to one representative: the row with the least (doc_id, hash of its text). These are
+shuffled on their band hashes and verified on full shingle sets: pairs at or above the threshold are links. Groups
+that bands connect are verified whole if they fit a block (BLOCK_DOCS, BLOCK_SHINGLES); in larger ones only the pairs
+that share a band meet, in the group of that band, cut into blocks, and count in the first band that they share. Each
+pair of blocks is a task of its own that keeps counts and a spanning forest only: pairs are never written out.
+Representatives without a band neighbour never travel.
 
 The result has one row per document: `class_id` (least doc_id of its class: documents connected by links),
 `copy_of` (least doc_id with the same shingle set) and `n_links` (documents that it is linked to, copies counted).
-Pairs are never written out. Connected groups that are large are cut into blocks; each pair of blocks is a task of
-its own that keeps counts and a spanning forest only. Representatives without a band neighbour never travel.
 
 Defined results: a text of one to four words is one shingle, the whole; texts without words (null, empty, blank) are
-equal sets; a null doc_id gets null class and no links; repeated rows are copies of each other.
+equal sets; a null doc_id gets null class and no links; repeated rows are copies of each other; rows of one doc_id with
+different texts are documents of their own (two classes may then have one class_id); other columns are ignored, `keep_one` hands
+them on whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, chunks, raw, small_batches, table
-from .components import components
+from .components import components, spread_join
 from .textnp import gram_hashes, inside_texts, join_texts, mix, word_hashes, words
 
 SHINGLE = 5
@@ -101,11 +105,21 @@ def band_hashes(g: np.ndarray, starts: np.ndarray, banding: Banding) -> np.ndarr
     return out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_LEAST = -(1 << 63)
+
+
+def _row_key():
+    """doc_id and a 128-bit hash of the text as 24 bytes that sort like doc_id."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(_LEAST))), 16, "0")), F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _doc_of(key: str):
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_LEAST))
 
 
 def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
-    """doc_id, a 128-bit print of the shingle set (f1, f2), its size n, and the band hashes."""
+    """doc_id, the row's key, a 128-bit print of the shingle set (f1, f2), its size n, and the band hashes."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", 1 << 20):
@@ -116,9 +130,11 @@ def sketches(docs: DataFrame, banding: Banding) -> DataFrame:
             keys = band_hashes(g, starts, banding)
             f = [(t[starts[1:]] - t[starts[:-1]]).view(np.int64) for t in (total, again)]
             offsets = np.arange(len(n) + 1, dtype=np.int32) * banding.bands
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, f), pa.array(n), pa.ListArray.from_arrays(offsets, keys.view(np.int64).ravel())], schema=_SKETCH)
+            lists = pa.ListArray.from_arrays(offsets, keys.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *map(pa.array, f), pa.array(n), lists], schema=_SKETCH)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(step, "doc_id long, f1 long, f2 long, n long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", _row_key().alias("key"), "text").mapInArrow(step, "doc_id long, key binary, f1 long, f2 long, n long, keys array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -167,33 +183,43 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    def group(key, ids, weights, blocks, sets):
-        _, i, j = key
+    """Rows sorted by (grp, i, j) into links and roots of each of these pairs of blocks."""
+
+    def group(key: tuple, weights: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j, band = key
         yes = linked(sets, threshold)
         if i != j:  # inside a block, the pair (i, i) decides
             yes &= blocks[:, None] != blocks[None]
-        root = np.arange(len(ids))
-        for a in range(len(ids)):  # labels sink to the least doc_id: ids are in order
-            near = np.flatnonzero(yes[a])
-            roots = {_find(root, x) for x in (a, *near)}
+        for earlier in range(band):  # counted there
+            yes &= bands[:, earlier, None] != bands[None, :, earlier]
+        root = np.arange(len(sets))
+        for a in range(len(sets)):  # labels sink to the least representative: they are in order
+            roots = {_find(root, x) for x in (a, *np.flatnonzero(yes[a]))}
             least = min(roots)
             for r in roots:
                 root[r] = least
-        return yes @ weights, np.array([ids[_find(root, x)] for x in range(len(ids))])
+        return yes @ weights, np.array([_find(root, x) for x in range(len(sets))])
+
+    def emit(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda r: r[0])
+        reps = [r[0] for r in held]
+        weights, blocks = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
+        links, roots = group(key, weights, blocks, np.array([r[3] for r in held], np.int64), [np.frombuffer(r[4], np.uint64) for r in held])
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array([reps[k] for k in roots]), pa.array(links), pa.array([key[3] >= 0] * len(reps))], schema=_LINKS)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for b in batches:
-            k = list(zip(b.column("comp").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist(), strict=True))
-            rows = list(zip(b.column("doc_id").to_pylist(), b.column("weight").to_pylist(), b.column("block").to_pylist(), b.column("grams").to_pylist(), strict=True))
+            k = zip(*(b.column(c).to_pylist() for c in ("grp", "i", "j", "band")), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("rep", "weight", "block", "keys", "grams")), strict=True)
             for key, row in zip(k, rows, strict=True):
                 if key != last and held:
-                    yield _emit(group, last, held)
+                    yield emit(last, held)
                     held = []
                 last = key
                 held.append(row)
         if held:
-            yield _emit(group, last, held)
+            yield emit(last, held)
 
     return step
 
@@ -205,57 +231,73 @@ def _find(root: np.ndarray, x: int) -> int:
     return int(x)
 
 
-_LINKS = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("cut", pa.bool_())])
-
-
-def _emit(group, key, held) -> pa.RecordBatch:
-    held.sort(key=lambda r: r[0])
-    ids, weights, blocks = (np.array([r[k] for r in held], np.int64) for k in range(3))
-    sets = [np.frombuffer(r[3], np.uint64) for r in held]
-    links, roots = group(key, ids, weights, blocks, sets)
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots), pa.array(links), pa.array([key[1] >= 0 and key[2] > 0] * len(ids))], schema=_LINKS)
+_LINKS = pa.schema([("rep", pa.binary()), ("root", pa.binary()), ("links", pa.int64()), ("cut", pa.bool_())])
+_DEST = "array<struct<grp: binary, band: int, blocks: int>>"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, "text", 1 << 20):
         g, starts = shingle_sets(raw(b.column("text")))
         blobs = [g[a:z].tobytes() for a, z in zip(starts, starts[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("comp", "blocks", "block", "doc_id", "weight")), pa.array(blobs, pa.binary())], ["comp", "blocks", "block", "doc_id", "weight", "grams"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "weight", "keys", "dest")), pa.array(blobs, pa.binary())], ["rep", "weight", "keys", "dest", "grams"])
+
+
+def _members(reps: DataFrame, block_docs: int, block_shingles: int) -> DataFrame | None:
+    """rep, weight, band keys and the groups to be verified in of every representative that a band connects to another; None without any."""
+    keyed = reps.filter("n > 0").select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    per_key = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1")
+    shared = checkpointed(spread_join(keyed, per_key, "key", "c", keyed.count()))
+    total = shared.count()
+    if not total:
+        return None
+    groups = components(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    own = checkpointed(groups.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(reps.select("rep", F.col("copies").alias("weight"), "n", "keys"), "rep"))
+    size = checkpointed(own.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("comp", "m", ((F.col("m") > block_docs) | (F.col("s") > block_shingles)).alias("large")))
+    own = spread_join(own.drop("n"), size, "comp", "m", total)
+    dest = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("grp", "band", "blocks"), strict=True)])
+    few = own.filter("not large").select("rep", "weight", "keys", F.array(dest(F.col("comp"), F.lit(-1), F.lit(1))).cast(_DEST).alias("dest"))
+    if size.filter("large").isEmpty():
+        return few
+    many = own.filter("large").select("rep", "weight", "keys")
+    blocks = F.greatest(F.ceil(F.col("c") / block_docs), F.ceil(F.col("s") / block_shingles))
+    to = shared.join(many.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list(dest(F.unhex(F.hex("key")), F.col("band"), blocks)).alias("dest"))  # one for each band at most
+    return few.unionByName(many.join(to.select("rep", F.col("dest").cast(_DEST).alias("dest")), "rep"))
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, block_docs: int, block_shingles: int) -> tuple[DataFrame, DataFrame, int]:
+    """Sketches of all rows; f1, f2, rep, root, copies, n_links of each distinct set; and the number of rows."""
+    banding = choose_banding(threshold, recall)
+    docs = small_batches(docs)
+    sk = checkpointed(sketches(docs, banding))
+    sets = sk.filter("doc_id is not null").groupBy("f1", "f2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = checkpointed(sets)
+    rows = sk.count()
+    own = lambda links, root: reps.select("f1", "f2", "rep", root, "copies", (links + F.col("copies") - 1).alias("n_links"))
+    members = _members(reps, block_docs, block_shingles)
+    if members is None:
+        return sk, own(F.lit(0).cast("long"), F.col("rep").alias("root")), rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").select(_row_key().alias("rep"), "text")
+    texts = texts.join(members, "rep").dropDuplicates(["rep"])  # rows with one key have one text
+    grams = texts.select("rep", "weight", "keys", "dest", "text").mapInArrow(_grams, f"rep binary, weight long, keys array<long>, dest {_DEST}, grams binary")
+    grams = grams.select("rep", "weight", "keys", "grams", F.explode("dest").alias("d")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("d.blocks")).cast("int"))
+    pairs = grams.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("d.blocks") - 1))).select(
+        F.col("d.grp").alias("grp"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.col("d.band").alias("band"), "block", "rep", "weight", "keys", "grams")
+    pairs = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    found = checkpointed(pairs.mapInArrow(_verify(threshold), "rep binary, root binary, links long, cut boolean"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    over = found.filter("cut").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    if not over.isEmpty():  # classes that reach over bands and blocks
+        top = components(over).select(F.col("node").alias("rep"), F.col("root").alias("top"))
+        links = links.join(top, "rep", "left").select("rep", "links", F.coalesce("top", "root").alias("root"))
+    reps = reps.join(links, "rep", "left")
+    return sk, own(F.coalesce("links", F.lit(0)), F.coalesce("root", "rep").alias("root")), rows
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9998, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, copy_of, class_id, n_links of every row."""
-    banding = choose_banding(threshold, recall)
-    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sk = checkpointed(sketches(docs, banding))
-    sets = sk.filter("doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = checkpointed(sets)
-    keyed = reps.filter("n > 0").select("rep", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c")).filter("c > 1")
-    edges = keyed.join(least, "key").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("comp"))
-    members = groups.join(reps.select("rep", "copies", "n"), "rep")
-    size = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    blocks = size.select("comp", F.greatest(F.ceil(F.col("m") / block_docs), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
-    members = members.join(blocks, "comp").select("comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("doc_id"), F.col("copies").alias("weight"))
-    # a rep's text may stand in several rows: one of them is enough, they have equal sets
-    texts = docs.join(members, "doc_id").dropDuplicates(["doc_id"])
-    grams = texts.select("comp", "blocks", "block", "doc_id", "weight", "text").mapInArrow(_grams, "comp long, blocks int, block int, doc_id long, weight long, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = grams.select("*", other.alias("o")).select(
-        "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "weight", "grams")
-    pairs = pairs.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = checkpointed(pairs.mapInArrow(_verify(threshold), "doc_id long, root long, links long, cut boolean"))
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("cut").alias("cut"))
-    if found.filter("cut").isEmpty():
-        roots = links.select("doc_id", "links", F.col("root").alias("class_id"))
-    else:  # classes that reach over blocks
-        over = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-        over = over.withColumnRenamed("node", "doc_id").withColumnRenamed("root", "top")
-        roots = links.join(over, "doc_id", "left").select("doc_id", "links", F.coalesce("top", "doc_id").alias("class_id"))
-    classes = reps.select("f1", "f2", "rep", "copies").join(roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
-        "f1", "f2", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = sk.select("doc_id", "f1", "f2").filter("doc_id is not null").join(classes, ["f1", "f2"]).select("doc_id", "copy_of", "class_id", "n_links")
+    sk, sets, rows = _classes(docs, threshold, recall, block_docs, block_shingles)
+    classes = sets.select(F.struct("f1", "f2").alias("f"), _doc_of("rep").alias("copy_of"), _doc_of("root").alias("class_id"), "n_links", "copies")
+    known = spread_join(sk.filter("doc_id is not null").select(F.struct("f1", "f2").alias("f"), "doc_id", "key"), classes, "f", "copies", rows).select("doc_id", "copy_of", "class_id", "n_links")
     none = sk.filter("doc_id is null").select("doc_id", *[F.lit(None if c != "n_links" else 0).cast("long").alias(c) for c in ("copy_of", "class_id", "n_links")])
     return known.unionByName(none)
 
@@ -265,7 +307,29 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The document with the least doc_id of each class; same columns. Rows without doc_id stay."""
-    heads = near_duplicates(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__head"))
-    one = docs.join(heads, F.col("doc_id").cast("long") == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One document of each class, the one with the least (doc_id, hash of the text); same columns. Rows without doc_id stay."""
+    _, sets, _ = _classes(docs.select("doc_id", "text"), threshold, 0.9998, BLOCK_DOCS, BLOCK_SHINGLES)
+    heads = sets.filter("rep = root").select(F.col("rep").alias("key"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = rows.filter("doc_id is not null").select("whole", _row_key().alias("key"))
+    one = keyed.join(heads, "key", "left_semi").dropDuplicates(["key"]).select("whole")
+    return one.unionByName(rows.filter("doc_id is null").select("whole")).select(*[F.col("whole")[c].alias(c) for c in docs.columns])
+
+
+def oracle(threshold_tenths: int = 8) -> str:
+    """The same in SQL, all pairs of sets that share a shingle."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id::BIGINT AS doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+  ELSE list_sort(list_distinct(list_transform(generate_series(1, len(ws) - {SHINGLE - 1}), lambda i: array_to_string(list_slice(ws, i, i + {SHINGLE - 1}), ' ')))) END AS g FROM d),
+sets AS (SELECT g, min(doc_id) AS rep, count(*) AS copies, row_number() OVER (ORDER BY min(doc_id), g) AS k FROM s WHERE doc_id IS NOT NULL GROUP BY g),
+grams AS (SELECT k, len(g) AS n, unnest(g) AS gram FROM sets),
+meets AS (SELECT a.k AS a, b.k AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT a, b FROM meets WHERE 10 * c >= {threshold_tenths} * (na + nb - c)),
+reach(a, b) AS (SELECT k, k FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a AS k, (SELECT rep FROM sets WHERE sets.k = min(reach.b)) AS class_id FROM reach GROUP BY a),
+n AS (SELECT l.a AS k, sum(x.copies) AS n FROM links l JOIN sets x ON x.k = l.b GROUP BY l.a)
+SELECT s.doc_id, rep AS copy_of, class_id, CASE WHEN s.doc_id IS NULL THEN 0 ELSE (coalesce(n.n, 0) + copies - 1)::BIGINT END AS n_links
+FROM s LEFT JOIN sets ON sets.g = s.g AND s.doc_id IS NOT NULL LEFT JOIN class ON class.k = sets.k LEFT JOIN n ON n.k = sets.k"""

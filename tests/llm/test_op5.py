@@ -97,3 +97,35 @@ def test_edges(spark):
     assert [(r.doc_id, r.class_id, r.n_links) for r in got] == [(None, None, 0), (1, 1, 1), (1, 1, 1)]
     assert op5.near_duplicates(df.limit(0)).count() == 0
     assert np.isclose(op5.Banding(3, 2).recall(0.5), 1 - 0.75**3)
+
+
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y")]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], DDL).repartition(3)
+        got = sorted((r.doc_id, r.class_id, r.n_links) for r in op5.near_duplicates(df).collect())
+        assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+        kept = sorted((r.doc_id, r.text) for r in op5.keep_one(df).collect())
+        assert kept == [(1, a), (1, b)]
+
+
+def test_keep_one_hands_on_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (None, "a b", 7, 8, 9)], "doc_id long, text string, __head int, key int, `a.b` int")
+    got = op5.keep_one(df)
+    assert got.columns == df.columns and sorted(r["a.b"] for r in got.collect()) == [3, 9]
+
+
+def test_negative_ids_and_least_id_first(spark):
+    assert run(spark, [-5, 3, -(1 << 63), (1 << 63) - 1], ["q w e r t y"] * 4) == {i: (-(1 << 63), 3) for i in (-5, 3, -(1 << 63), (1 << 63) - 1)}
+
+
+def test_hot_keys_are_spread(spark):
+    from quarrylens.llm.components import spread_join
+
+    many = spark.range(5000).selectExpr("case when id < 4000 then 0 else id end as k", "id as v")
+    one = many.groupBy("k").count().selectExpr("k", "count as n")
+    assert sorted(r.v for r in spread_join(many, one, "k", "n", 5000).collect()) == list(range(5000))
+    hub = spark.createDataFrame([(0, i) for i in range(1, 3000)], "a long, b long")
+    assert {r.root for r in components(hub).collect()} == {0}
