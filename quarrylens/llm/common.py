@@ -68,12 +68,19 @@ def parts_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def renamed(docs: DataFrame, *known: str) -> DataFrame:
+    """The documents with every column but the known ones under a name of its own, so that no name clashes or needs quotes."""
+    return docs.toDF(*[c if c in known else f"other_{i}" for i, c in enumerate(docs.columns)])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows written once to the session's checkpoint folder, which all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:  # a local session, as in tests
+        if shared is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             shared = tempfile.mkdtemp(prefix="quarrylens-ckpt-")

@@ -2,12 +2,13 @@
 
 Documents with equal texts form a group. Groups go, largest first, to the shard where the dot product of the group's
 shares of bytes, tokens and rows with the shard's residual capacity is highest. A group that would fill more than
-half a shard in any of the three is cut into pieces of at most about that size, else no near equal sizes exist.
+half a shard in any of the three is cut into pieces of about 1/PIECES of a shard, else no near equal sizes exist.
 Pieces above 1/256 of a shard (at most 3 * 256 * shards of them) are placed on the driver; the others are dealt by
 hash over packers that each fill their share of the residual capacities, side by side. The law is `bytes`.
 
 Defined results: a null text counts as empty (0 bytes plus ROW_BYTES, crc32 0) and is in the group of empty texts;
-repeated rows are rows of their own; a null doc_id sorts first in its shard; an empty table gives an empty result.
+repeated rows are rows of their own, and rows of a hot group spread also if they share a doc_id or have none; an empty
+table gives an empty result; other columns are ignored.
 Texts never leave the first scan: only their sizes and digests are shuffled. Slots are counted in chunks of a shard,
 so no task holds a whole shard.
 """
@@ -30,6 +31,8 @@ WEIGHTS = np.array([16.0, 1.0, 1.0])
 FINE = 256
 PACKER_ROWS = 200_000
 CHUNK_ROWS = 50_000
+REPEATED = 100_000
+PIECES = 8
 
 
 def place(items: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -64,7 +67,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in DIMS]
     d = checkpointed(
         docs.select(
-            F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("g"), F.crc32(text).alias("text_crc32"),
+            F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("g"), F.crc32(text).alias("text_crc32"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("bytes"), F.regexp_count(text, F.lit(WORD_RE)).cast("long").alias("tokens"), F.lit(1).cast("long").alias("rows"))
     )
     total = d.agg(*sums).first()
@@ -73,12 +76,18 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cap = {c: max(total[c], 1) / shards for c in DIMS}
     groups = d.groupBy("g").agg(*sums)
     # groups above half a shard in one of three sums: 6 * shards of them at most
-    big = groups.select("g", F.greatest(*[F.ceil(2 * F.col(c) / cap[c]) for c in DIMS]).alias("pieces")).filter("pieces > 1").collect()
+    share = F.greatest(*[F.col(c) / cap[c] for c in DIMS])
+    big = groups.filter(share > 0.5).select("g", F.ceil(PIECES * share).alias("pieces")).collect()
     if big:
-        names = spark.createDataFrame([(r.g, r.pieces) for r in big], "g binary, pieces long")
-        d = d.join(F.broadcast(names), "g", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
+        names = F.broadcast(spark.createDataFrame([(r.g, r.pieces) for r in big], "g binary, pieces long"))
+        # doc_ids with many rows in such groups, REPEATED of them at most: their rows are told apart by number, as are those without doc_id
+        most = max(64, total["rows"] // REPEATED)
+        ids = F.broadcast(d.join(names, "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("many")).filter(F.col("many") > most))
+        d = d.join(names, "g", "left").join(ids, "doc_id", "left")
+        d = d.withColumn("again", F.when(F.col("pieces").isNotNull() & (F.col("doc_id").isNull() | F.col("many").isNotNull()), F.col("row")))
+        d = d.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", "again"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces", "many")
     else:
-        d = d.withColumn("piece", F.lit(0))
+        d = d.withColumn("piece", F.lit(0)).withColumn("again", F.lit(None).cast("long"))
     atoms = d.groupBy("g", "piece").agg(*sums)
     coarse = F.greatest(*[F.col(c) / cap[c] for c in DIMS]) * FINE >= 1
     # above 1/FINE of a shard in one of three sums: 3 * FINE * shards rows at most
@@ -94,7 +103,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         where = where.unionByName(spark.createDataFrame(rows, "g binary, piece int, shard int"))
     chunks = max(1, -(-total["rows"] // (CHUNK_ROWS * shards)))
     out = checkpointed(
-        d.join(where, ["g", "piece"]).select("doc_id", "bytes", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "g"), F.lit(chunks)).alias("chunk"))
+        d.join(where, ["g", "piece"]).select("doc_id", "bytes", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "g", "again"), F.lit(chunks)).alias("chunk"))
     )
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = out.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, chunks, raw, small_batches, table, to_batch
+from .common import BLANKS, chunks, raw, renamed, small_batches, table, to_batch
 
 SYMBOLS = "#*$%&|<>"
 CLOSERS = "\"'”’»)]"
@@ -155,7 +155,8 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, without their failed lines: same columns, `n_chars` counted anew where present."""
-    schema = docs.schema
+    own, names = renamed(docs, "doc_id", "text", "n_chars"), docs.columns
+    schema = own.schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
@@ -165,8 +166,9 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             b = b.set_column(i, b.schema.field(i), pa.array(cleaned, b.schema.field(i).type))
             yield b.filter(mask)
 
-    out = small_batches(docs).mapInArrow(step, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = small_batches(own).mapInArrow(step, schema)
+    out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.toDF(*names)
 
 
 def op1_line_quality(spark, sf_dir: str) -> DataFrame:

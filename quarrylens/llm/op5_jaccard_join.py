@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, raw, small_batches, table
+from .common import checkpointed, chunks, raw, renamed, small_batches, table
 from .components import components, spread_join
 from .textnp import gram_hashes, inside_texts, join_texts, mix, word_hashes, words
 
@@ -308,13 +308,13 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One document of each class, the one with the least (doc_id, hash of the text); same columns. Rows without doc_id stay."""
+    names, docs = docs.columns, renamed(docs, "doc_id", "text")
     _, sets, _ = _classes(docs.select("doc_id", "text"), threshold, 0.9998, BLOCK_DOCS, BLOCK_SHINGLES)
     heads = sets.filter("rep = root").select(F.col("rep").alias("key"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.filter("doc_id is not null").select("whole", _row_key().alias("key"))
     one = keyed.join(heads, "key", "left_semi").dropDuplicates(["key"]).select("whole")
-    return one.unionByName(rows.filter("doc_id is null").select("whole")).select(*[F.col("whole")[c].alias(c) for c in docs.columns])
+    return one.unionByName(rows.filter("doc_id is null").select("whole")).select("whole.*").toDF(*names)
 
 
 def oracle(threshold_tenths: int = 8) -> str:

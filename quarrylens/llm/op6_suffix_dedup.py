@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw, table
+from .common import chunks, raw, renamed, table
 from .repeats import CHUNK, NO_ID, Corpus, Shape, by_bucket, column, marked, per_text
 
 WIDTH, GRAM = 100, 16
@@ -328,6 +328,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents without their repeated strings, cut at whole characters; those left empty go. Same columns."""
+    names, docs = docs.columns, renamed(docs, "doc_id", "text", "n_chars")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     spans = removed_spans(docs, *others) if others else removed_spans(docs)
 
@@ -345,7 +346,7 @@ def clean(docs: DataFrame) -> DataFrame:
     whole = {"doc_id": F.when(F.col("d") != NO_ID, F.col("d")).cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     if "n_chars" in others:
         whole["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return new.select(*[(whole[c] if c in whole else F.col("rest")[c]).alias(c) for c in docs.columns])
+    return new.select(*[(whole[c] if c in whole else F.col("rest")[c]).alias(c) for c in docs.columns]).toDF(*names)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

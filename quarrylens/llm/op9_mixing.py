@@ -7,40 +7,55 @@ are moved from one to the other at random, so that each document keeps its expec
 integral; larger documents come first, so that what stays open is small. Chunks of a source are rounded side by side; the one fraction that each chunk leaves goes up a reduction
 tree, and the last one of a source is settled by a draw. A source so takes its target to within one document.
 
+The table of sources stays in Spark: it is numbered by range partitions, and the shares follow from sums by weight,
+as many rounds as targets reach their limit. Documents meet it by a join that splits hot sources.
+
 Defined results: a null text has size 0; size-0 documents are taken 0 times; rows are told apart by (doc_id, size),
-equal rows are interchangeable, a null doc_id sorts first; an empty table gives an empty result. Only (doc_id,
-source index, size) is shuffled, in chunks of about CHUNK rows by hash, so a source with most of the rows spreads
-over many tasks. One row per source comes to the driver.
+equal rows are interchangeable, a null doc_id sorts first; an empty table gives an empty result; other columns are ignored.
+Only (doc_id, source index, size) is shuffled, in chunks of about CHUNK rows by hash, so a source with most of the
+rows spreads over many tasks. `repeat` hands on all columns whatever their names; rows that are equal in all of them
+are counted together.
 """
 
 from __future__ import annotations
 
-import math
-from fractions import Fraction
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, table
+from ..operators.entities import number
+from .common import WORD_RE, checkpointed, renamed, table
+from .components import spread_join
 
-CHUNK = 8192
+CHUNK = 2048
 FAN_IN = 64
 CYCLE = (1, 2, 3)
-_DDL = "doc_id long, src int, size long, chunk long, copies int, p double"
+_COLS = ["doc_id", "row", "src", "size", "chunk", "copies", "p"]
+_DDL = "doc_id long, row binary, src long, size long, chunk long, copies int, p double"
+
 
+def water_fill(sources: DataFrame, most: int = 3) -> DataFrame:
+    """`target` (double) of sources (s: size, w: weight): sum(s) shared by weight, none above `most` times its size.
 
-def water_fill(sizes: list[int], weights: list[int], most: int = 3) -> list[Fraction]:
-    """Targets that share sum(sizes) by weight, none above `most` times its size."""
-    total, capped = Fraction(sum(sizes)), {i for i, s in enumerate(sizes) if s == 0}
+    Targets that reach the limit are fixed and the rest is shared again, until none is above. Sums are exact.
+    """
+    total = sources.agg(F.sum("s")).first()[0] or 0
+    done = F.col("s") == 0
+    count = None
     while True:
-        left = total - sum(most * sizes[i] for i in capped)
-        w = sum(x for i, x in enumerate(weights) if i not in capped)
-        over = {i for i in range(len(sizes)) if i not in capped and left * weights[i] > most * sizes[i] * w}
-        if not over:
-            return [Fraction(most * sizes[i]) if i in capped else left * weights[i] / w for i in range(len(sizes))]
-        capped |= over
+        row = sources.agg(F.sum(F.when(done, F.col("s"))), F.sum(F.when(~done, F.col("w"))), F.count(F.when(done, 1))).first()
+        left, weights = total - most * int(row[0] or 0), int(row[1] or 0)
+        if row[2] == count or not weights:
+            break
+        count = row[2]
+        # left * w > most * s * weights, in integers of up to 38 digits
+        over = F.lit(Decimal(left)).cast("decimal(38,0)") * F.col("w").cast("decimal(4,0)") > F.col("s").cast("decimal(19,0)") * F.lit(Decimal(most * weights)).cast("decimal(19,0)")
+        done = over | (F.col("s") == 0)  # the share of the others only grows, so what was above stays above
+    share = F.lit(float(left)) * F.col("w") / F.lit(float(max(weights, 1)))
+    return sources.withColumn("target", F.when(done, (F.col("s") * most).cast("double")).otherwise(share))
 
 
 def pivot(ids: np.ndarray, sizes: np.ndarray, p: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
@@ -69,7 +84,7 @@ def _round(level: int, width: int, last: bool):
     """Round one chunk; rows that are settled get p null, the one that isn't keeps its fraction and the next level's chunk."""
 
     def step(key, pdf):
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], na_position="first", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
         seed = (int(key[0]) << 40) ^ (level << 34) ^ int(key[1])
         p, left = pivot(pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(np.float64), seed)
         if last and left >= 0:
@@ -79,60 +94,62 @@ def _round(level: int, width: int, last: bool):
         pdf["copies"] = pdf["copies"] + np.where(settled, np.rint(p), 0).astype(int)
         pdf["p"] = pd.Series(p).mask(settled)
         pdf["chunk"] = pdf["chunk"] // width
-        return pdf[["doc_id", "src", "size", "chunk", "copies", "p"]]
+        return pdf[_COLS]
 
     return step
 
 
-def mix(docs: DataFrame, most: int = 3, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every row."""
-    spark = docs.sparkSession
+def _sources(sized: DataFrame, most: int, chunk: int) -> DataFrame:
+    """One row for each source: key, source, src (its number), source_size, target, base and f (copies: whole part and fraction), n, chunks."""
+    own = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("s"), F.count("*").alias("n"))
+    ranked = checkpointed(number(own, "src", F.col("source").isNull(), F.col("source")))
+    weight = F.element_at(F.array(*[F.lit(c) for c in CYCLE]), (F.col("src") % len(CYCLE) + 1).cast("int"))
+    filled = water_fill(ranked.withColumn("w", weight), most)
+    rate = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0)
+    return filled.select(
+        "key", "source", "src", F.col("s").alias("source_size"), "target", F.floor(rate).cast("int").alias("base"), (rate - F.floor(rate)).alias("f"), "n",
+        F.ceil(F.col("n") / chunk).alias("chunks"))
+
+
+def mix(docs: DataFrame, most: int = 3, chunk: int = CHUNK, fan_in: int = FAN_IN, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row, and `row`, a binary column that also tells rows apart."""
     sized = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
-    stats = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    stats.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    targets = water_fill([r.s for r in stats], [CYCLE[i % len(CYCLE)] for i in range(len(stats))], most)
-    rows = []
-    for i, (r, t) in enumerate(zip(stats, targets, strict=True)):
-        rate = t / r.s if r.s else Fraction(0)
-        rows.append((i, r.source, r.s, float(t), math.floor(rate), float(rate - math.floor(rate)), -(-r.n // chunk)))
-    sources = spark.createDataFrame(rows, "src int, source string, source_size long, target double, base int, f double, chunks long")
-    # one row per source, as collected above
-    level = (
-        sized.join(F.broadcast(sources), sized.source.eqNullSafe(sources.source))
-        .select(
-            "doc_id", "src", "size", F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")).alias("chunk"),
-            F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"), F.when(F.col("size") > 0, F.col("f")).otherwise(0.0).alias("p"))
-    )
-    done, k, widest = [], 0, max([r[-1] for r in rows], default=1)
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.lit(None).cast("binary")).alias("row"), F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
+    sized = checkpointed(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))))
+    sources = checkpointed(_sources(sized, most, chunk))
+    totals = sources.agg(F.sum("n"), F.max("chunks")).first()
+    part = sources.select("key", "src", "base", "f", "n", "chunks")
+    level = spread_join(sized.drop("source"), part, "key", "n", totals[0] or 0).select(
+        "doc_id", "row", "src", "size", F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")).alias("chunk"),
+        F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"), F.when(F.col("size") > 0, F.col("f")).otherwise(0.0).alias("p"))
+    taken, k, widest = None, 0, totals[1] or 1
     while True:
         last = widest <= 1
         out = level.groupBy("src", "chunk").applyInPandas(_round(k, fan_in, last), _DDL)
-        done.append(out.filter("p is null"))
+        settled = out.filter("p is null").select("doc_id", "row", "src", "size", "copies")
+        taken = settled if taken is None else taken.unionByName(settled)
         if last:
             break
         level, widest, k = out.filter("p is not null"), -(-widest // fan_in), k + 1
-    taken = done[0]
-    for d in done[1:]:
-        taken = taken.unionByName(d)
-    return taken.join(F.broadcast(sources), "src").select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    facts = sources.select("src", "source", "source_size", "target", "n")
+    return spread_join(taken, facts, "src", "n", totals[0] or 0).select(
+        "doc_id", "row", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("copies")
+    return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("copies", "row")
 
 
 def repeat(docs: DataFrame, most: int = 3) -> DataFrame:
-    """Every document as many times as the mix takes it; same columns. Equal rows of (doc_id, size) are told apart by number."""
-    from pyspark.sql.window import Window
-
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__size", size)
-    own = own.withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__size").orderBy("text")))
-    taken = mix(docs, most).select(F.col("doc_id").alias("i"), F.col("size").alias("s"), "copies")
-    taken = taken.withColumn("k", F.row_number().over(Window.partitionBy("i", "s").orderBy("copies"))).filter("copies > 0")
-    both = own.join(taken, F.expr("__id <=> i and __size = s and __k = k"))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(c) for c in docs.columns])
-
-
+    """Every document as many times as the mix takes it; same columns.
+
+    A hash of all columns names a row; of rows that are equal in all of them one stands for all and takes their copies.
+    """
+    own = renamed(docs, "doc_id", "text", "source")
+    others = [c for c in own.columns if c != "text"]
+    own = own.withColumn("__row", F.unhex(F.md5(F.concat(F.coalesce(F.md5(F.col("text").cast("string")), F.lit("-")), F.to_json(F.struct(*others))))))
+    taken = mix(own, most, row="__row").groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
+    one = own.select(F.col("__row").alias("row"), F.struct(*[c for c in own.columns if c != "__row"]).alias("whole")).dropDuplicates(["row"])
+    both = one.join(taken.hint("shuffle_merge"), "row")
+    return both.select("whole", F.explode(F.sequence(F.lit(1), "copies"))).select("whole.*").toDF(*docs.columns)

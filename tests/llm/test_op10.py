@@ -50,3 +50,11 @@ def test_edges_and_hot_group(spark):
     r = next(r for r in got if r.doc_id == 9008)
     assert r["size"] == 1008 and r.text_crc32 == zlib.crc32(b"long " * 200)
     assert shard(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_hot_text_without_doc_ids_or_with_one(spark):
+    rows = [(None, "same text here " * 10, None, None, None, "x")] * 3000 + [(4, "another text " * 10, None, None, None, "x")] * 3000
+    rows += [(i, f"text {i}", None, None, None, "x") for i in range(1000)]
+    got = shard(spark.createDataFrame(rows, DDL)).collect()
+    size, _ = facts(got)
+    assert len(got) == 7000 and max(size.values()) - min(size.values()) < 0.1 * np.mean(list(size.values()))

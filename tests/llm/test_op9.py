@@ -4,16 +4,30 @@ from fractions import Fraction
 
 import numpy as np
 
-from quarrylens.llm.op9_mixing import mix, pivot, water_fill
+from quarrylens.llm.op9_mixing import mix, pivot, repeat, water_fill
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size string"
 
 
-def test_water_fill():
-    assert water_fill([10, 10, 10], [1, 2, 3]) == [5, 10, 15]
-    t = water_fill([1, 100, 100], [3, 1, 2])
-    assert t[0] == 3 and sum(t) == 201 and t[2] == 2 * t[1]
-    assert water_fill([0, 5], [1, 2]) == [0, Fraction(5)] and water_fill([], []) == []
+def fractions_fill(sizes, weights, most=3):
+    total, capped = Fraction(sum(sizes)), {i for i, s in enumerate(sizes) if s == 0}
+    while True:
+        left = total - sum(most * sizes[i] for i in capped)
+        w = sum(x for i, x in enumerate(weights) if i not in capped)
+        over = {i for i in range(len(sizes)) if i not in capped and left * weights[i] > most * sizes[i] * w}
+        if not over:
+            return [float(most * sizes[i]) if i in capped else float(left * weights[i] / w) for i in range(len(sizes))]
+        capped |= over
+
+
+def test_water_fill(spark):
+    rng = np.random.default_rng(3)
+    cases = [([10, 10, 10], [1, 2, 3]), ([1, 100, 100], [3, 1, 2]), ([0, 5], [1, 2]), ([], []), ([0, 0], [1, 2])]
+    cases += [(rng.integers(0, 10 ** int(rng.integers(1, 8)), 40).tolist(), [1 + i % 3 for i in range(40)]) for _ in range(3)]
+    for sizes, weights in cases:
+        df = spark.createDataFrame([(i, s, w) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "i int, s long, w int")
+        got = [r.target for r in sorted(water_fill(df).collect())]
+        assert np.allclose(got, fractions_fill(sizes, weights), rtol=1e-12)
 
 
 def test_pivot_keeps_the_words_and_the_expectation():
@@ -55,3 +69,22 @@ def test_edges(spark):
     by = check(got, 1)
     assert len(got) == 6 and by[None][0].source_size == 2
     assert mix(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_repeat_hands_on_columns_of_any_name(spark):
+    ddl = "doc_id long, text string, source string, s int, k int, i int, copies int, `a.b` int, Text string"
+    rows = [(n % 7, f"a b c {n % 7}", "x" if n % 7 else None, n % 7, 0, 0, 0, 5, "q") for n in range(40)]
+    df = spark.createDataFrame(rows, ddl)
+    got, want = repeat(df), sum(r.copies for r in mix(df.toDF(*df.columns[:-1], "other")).collect())
+    assert got.columns == df.columns and got.count() == want and set(map(tuple, got.collect())) <= set(rows)
+
+
+def test_columns_that_draws_do_not_touch(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    sql = r"""SELECT doc_id, size, sum(size) OVER (PARTITION BY source) AS source_size FROM
+      (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents)"""
+    got = mix(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "size", "source_size").collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, int(c)) for a, b, c in con.execute(sql.replace("\\\\", "\\")).fetchall())

@@ -60,3 +60,12 @@ def test_stages_stand_nulls_and_empty_tables(spark):
             assert all(len(r) == 5 for r in out)
         assert cp.encoding(spark, docs, "").count() == len(data)
     assert op6.clean(docs).columns == docs.columns
+
+
+def test_stages_hand_on_columns_of_any_name(spark):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, d int, text_ int, Doc_ID int, rest int, spans int, row int"
+    rows = [(i, f"Line {i} has quite some words to read, {i * 7} of them or {i * 3} more.", "en", "a", 9, 1, 2, 3, 4, 5, 6, 7) for i in range(12)]
+    docs = spark.createDataFrame(rows, ddl)
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and all(tuple(r)[5:] == (1, 2, 3, 4, 5, 6, 7) for r in out.collect())
