@@ -8,9 +8,13 @@ original vectors rank them exactly, in double precision.
 Training takes at most `sample` vectors, smallest hashes first; every vector is indexed. The stated queries meet all
 rows, in blocks of bounded size joined on the pair of block numbers.
 
+Vectors are scaled by their largest component before norms are taken, and scores are kept in double precision, so that
+very large and very small components neither overflow nor vanish. Rows are numbered in the written copy that all steps read.
+
 Defined results: vectors that are null, zero, of another length than the most frequent one, or hold null or non-finite
-components take no part, nor do rows without vec_id; rows with one vec_id count once (the smallest array); equal
-scores go to the smaller vec_id; a query with fewer candidates than `k` gets them all; empty tables give no rows.
+components take no part, nor do rows without vec_id; rows with one vec_id are rows of their own, as queries (each has
+its own ranks) and as candidates of each other; equal scores go to the smaller vec_id; a query with fewer candidates
+than `k` gets them all; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import checkpointed, table
 
 STAGES, WORDS, BEAM = 20, 256, 8
 SAMPLE = 8_192
@@ -110,9 +114,19 @@ def top(scores: np.ndarray, most: int) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
+    """row (a number), vec_id, v of the vectors that take part."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
+    return checkpointed(rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)))
+
+
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and the norms (at most the largest double); each is scaled by its largest component first."""
+    most = np.abs(x).max(axis=1)
+    x = x / most[:, None]
+    norm = np.linalg.norm(x, axis=1)
+    with np.errstate(over="ignore"):
+        return x / norm[:, None], np.minimum(norm * most, np.finfo(np.float64).max)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = SHORTLIST, sample: int = SAMPLE, code_block: int = CODE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -125,30 +139,29 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
         return spark.createDataFrame([], ddl)
     dim, n = sizes[0].d, sizes[0]["count"]
     rows = rows.filter(F.size("v") == dim)
-    taught = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).select("v").toPandas()["v"]  # `sample` rows at most
+    taught = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id", "v").limit(sample).select("v").toPandas()["v"]  # `sample` rows at most
     x = np.stack(taught.to_list()).astype(np.float64)
-    shared = spark.sparkContext.broadcast(train(x / np.linalg.norm(x, axis=1, keepdims=True)))  # stages * words * dim numbers
+    shared = spark.sparkContext.broadcast(train(unit(x)[0]))  # stages * words * dim numbers
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            codes = shared.value.encode((x / norm[:, None]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["vec_id", "code", "norm"])
+            x, norm = unit(x)
+            codes = shared.value.encode(x.astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["row", "vec_id", "code", "norm"])
 
     def pack_codes(key, pdf):
-        pdf = pdf.sort_values("vec_id")
-        ids = pdf["vec_id"].to_numpy(np.int64).tobytes()
-        return pd.DataFrame({"cb": [key[0]], "ids": [ids], "codes": [b"".join(pdf["code"])], "norms": [pdf["norm"].to_numpy(np.float64).tobytes()]})
+        pdf = pdf.sort_values(["vec_id", "row"])
+        return pd.DataFrame({"cb": [key[0]], "ids": [_pairs(pdf)], "codes": [b"".join(pdf["code"])], "norms": [pdf["norm"].to_numpy(np.float64).tobytes()]})
 
     def pack_queries(key, pdf):
-        q = np.stack(pdf["v"].to_list()).astype(np.float32)
-        return pd.DataFrame({"qb": [key[0]], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "queries": [q.tobytes()]})
+        q = unit(np.stack(pdf["v"].to_list()).astype(np.float64))[0].astype(np.float32)  # a query's length changes no order
+        return pd.DataFrame({"qb": [key[0]], "query_ids": [pdf["row"].to_numpy(np.int64).tobytes()], "queries": [q.tobytes()]})
 
     def best_of(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(ids, kind="stable")
+        """The best of rows (vec_id, row), of equals those with smaller ids."""
+        order = np.lexsort((ids[:, 1], ids[:, 0]))
         keep = order[top(near[order], shortlist)]
-        keep = keep[np.isfinite(near[keep])]
         return ids[keep], near[keep]
 
     def pack_found(cb: int, qb: int, lists: dict) -> pd.DataFrame:
@@ -159,7 +172,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                ids, norms = np.frombuffer(r.ids, np.int64), np.frombuffer(r.norms, np.float64).astype(np.float32)
+                ids, norms = np.frombuffer(r.ids, np.int64).reshape(-1, 2), np.frombuffer(r.norms, np.float64)
                 codes = np.ascontiguousarray(np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1).T)
                 query_ids, q = np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.queries, np.float32).reshape(-1, dim)
                 lists = {}
@@ -168,9 +181,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
                     s = lut[0].take(codes[0], axis=0)
                     for j in range(1, len(lut)):
                         s += lut[j].take(codes[j], axis=0)
-                    s *= norms[:, None]
+                    s = np.nan_to_num(s * norms[:, None])
                     for i, own in enumerate(query_ids[a : a + 64].tolist()):
-                        lists[own] = best_of(ids, np.where(ids == own, -np.inf, s[:, i]).astype(np.float32))
+                        other = ids[:, 1] != own
+                        lists[own] = best_of(ids, s[:, i]) if other.all() else best_of(ids[other], s[other, i])
                 yield pack_found(r.cb, r.qb, lists)
 
     def merged(key, pdf):
@@ -178,7 +192,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
         lists: dict = {}
         for r in pdf.sort_values("cb").itertuples(index=False):
             ends = np.cumsum(np.frombuffer(r.sizes, np.int64))
-            parts = zip(np.split(np.frombuffer(r.ids, np.int64), ends[:-1]), np.split(np.frombuffer(r.near, np.float32), ends[:-1]), strict=True)
+            parts = zip(np.split(np.frombuffer(r.ids, np.int64).reshape(-1, 2), ends[:-1]), np.split(np.frombuffer(r.near, np.float64), ends[:-1]), strict=True)
             for own, (v, n) in zip(np.frombuffer(r.query_ids, np.int64).tolist(), parts, strict=True):
                 if own in lists:
                     v, n = best_of(np.concatenate([lists[own][0], v]), np.concatenate([lists[own][1], n]))
@@ -189,11 +203,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 own = np.repeat(np.frombuffer(r.query_ids, np.int64), np.frombuffer(r.sizes, np.int64))
-                yield pd.DataFrame({"query_id": own, "vec_id": np.frombuffer(r.ids, np.int64)})
+                yield pd.DataFrame({"query": own, "row": np.frombuffer(r.ids, np.int64)[1::2]})
 
     c_blocks, q_blocks = max(1, -(-n // code_block)), max(1, -(-n // (every * query_block)))
-    number = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    codes = rows.mapInArrow(encode, "vec_id long, code binary, norm double").groupBy(number(c_blocks).alias("cb")).applyInPandas(pack_codes, "cb int, ids binary, codes binary, norms binary")
+    number = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
+    codes = rows.mapInArrow(encode, "row long, vec_id long, code binary, norm double").groupBy(number(c_blocks).alias("cb")).applyInPandas(pack_codes, "cb int, ids binary, codes binary, norms binary")
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy(number(q_blocks).alias("qb")).applyInPandas(pack_queries, "qb int, query_ids binary, queries binary")
     codes = codes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
@@ -202,12 +216,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shortlist: int = S
     while c_blocks > 1:  # a tree: no task holds the lists of more than MERGE blocks
         c_blocks = -(-c_blocks // MERGE)
         found = found.groupBy("qb", F.expr(f"cb div {MERGE}").cast("int").alias("to")).applyInPandas(merged, lists)
-    short = found.mapInPandas(unpack, "query_id long, vec_id long")
-    by = Window.partitionBy("query_id")
-    q = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    short = found.mapInPandas(unpack, "query long, row long")
+    q = rows.filter(F.col("vec_id") % every == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = short.join(rows, "vec_id").join(q, "query_id").select("query_id", "vec_id", exact.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = short.join(rows, "row").join(q, "query").select("query", "query_id", "row", "vec_id", exact.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _pairs(pdf: pd.DataFrame) -> bytes:
+    return np.ascontiguousarray(pdf[["vec_id", "row"]].to_numpy(np.int64)).tobytes()
 
 
 def op2_additive_ann(spark, sf_dir: str) -> DataFrame:

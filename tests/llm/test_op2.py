@@ -56,9 +56,30 @@ def test_edges(spark):
     rows = [(0, v, 1, None), (1, v, 1, None), (2, v, None, None), (3, None, 1, None), (4, [0.0, 0.0], 1, None), (5, [float("nan"), 1.0], 1, None),
             (6, [None, 1.0], 1, None), (7, [1.0], 1, None), (None, v, 1, None), (1, v, 1, None), (20, [-1.0, 0.5], 1, None), (8, [float("inf"), 1.0], 1, None)]
     got = op2.nearest(spark.createDataFrame(rows, DDL)).collect()
-    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got) if r.query_id == 0] == [(1, 1, 5.0), (2, 2, 5.0), (3, 20, 0.0)]
-    assert [r.vec_id for r in sorted(got) if r.query_id == 20] == [0, 1, 2]
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got) if r.query_id == 0] == [(1, 1, 5.0), (2, 1, 5.0), (3, 2, 5.0), (4, 20, 0.0)]
+    assert [r.vec_id for r in sorted(got) if r.query_id == 20] == [0, 1, 1, 2]
     assert op2.nearest(spark.createDataFrame([], DDL)).count() == 0
     same = spark.createDataFrame([(i, v, 0, None) for i in range(700)], DDL)
     first = [r.vec_id for r in sorted(op2.nearest(same, code_block=64).collect()) if r.query_id == 0]
     assert first == list(range(1, 21))
+
+
+def test_extreme_finite_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    x[0] = 3e38
+    x[20] *= 1e-200
+    x[7] = 1e-200
+    x[8] = 1e150
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op2.nearest(df, code_block=64).collect()
+    assert sorted({r.query_id for r in got}) == list(range(0, 400, 20)) and len(got) == 20 * 20
+    assert recall(got, brute(np.arange(400), x)) >= 0.9
+    few = spark.createDataFrame([(0, [3e38, 3e38]), *[(i, [float(i), 1.0]) for i in range(1, 30)]], DDL.split(", label")[0])
+    assert [r.vec_id for r in sorted(op2.nearest(few).collect()) if r.query_id == 0] == list(range(29, 9, -1))
+
+
+def test_rows_of_one_vec_id_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [2.0, 3.0])]
+    got = sorted(map(tuple, op2.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == [(20, 1, 3, 2.0), (20, 1, 3, 3.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)]
