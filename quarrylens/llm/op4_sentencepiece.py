@@ -4,11 +4,12 @@ The model's protobuf is read field by field; normaliser, metaspace marker, score
 (BPE) and byte fallback are rebuilt as a `tokenizers.Tokenizer`. Where no piece holds a marker after another
 character, no merge or best path can cross the start of a run of markers, so a text is cut there exactly: each
 distinct segment is encoded once per worker, in multithreaded batches, compared with the original library (`parity`)
-and decoded again (`round_trip`): both hold for a text where they hold for all its segments. `decode` reads whole texts.
+and decoded again (`round_trip`): both hold for a text where they hold for all its segments. Under a model that changes
+the text first, or puts no marker before it, whole texts are compared instead. `decode` reads whole texts.
 
 Defined results: a null or empty text has no tokens and round-trips; a text holding the marker character itself
-decodes to blanks there (round_trip false); repeated rows are encoded alike; columns other than doc_id and text are
-ignored. Long texts are cut at segment starts and worked through SLICE characters at a time. No shuffle takes place.
+decodes to blanks there (round_trip false); repeated rows are encoded alike; unknown characters become the unknown piece,
+neighbours one, and do not round-trip; columns other than doc_id and text are ignored; an empty table gives an empty result. Long texts are cut at segment starts and worked through SLICE characters at a time. No shuffle takes place.
 """
 
 from __future__ import annotations
@@ -77,8 +78,9 @@ class PieceModel:
 
     @cached_property
     def splits(self) -> bool:
-        """No piece holds a marker after another character."""
-        return self.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, UNUSED))
+        """The marker is a piece, so unknown characters never join over it, and no piece holds one after another character."""
+        pieces = [p for p, _, kind in self.pieces if kind in (NORMAL, UNUSED)]
+        return self.escape_whitespaces and MARK in pieces and not any(MARK in p.lstrip(MARK) for p in pieces)
 
     @property
     def plain(self) -> bool:
@@ -158,7 +160,11 @@ class Codec:
             import sentencepiece
 
             self.check = sentencepiece.SentencePieceProcessor(model_proto=data)
+        # only with a marker before each text and without changes to it can the library encode a segment by itself
+        self.by_segment = self.check is not None and self.model.plain and self.model.add_dummy_prefix
+        if self.by_segment:
             self.glued = [i for i, p in enumerate(self.model.pieces) if p[0] == MARK]
+        self.unknown = next((i for i, p in enumerate(self.model.pieces) if p[2] == UNKNOWN), None)
         self.bytes_of = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in self.model.pieces], np.int64)
         self._forget()
 
@@ -172,14 +178,14 @@ class Codec:
     def _learn(self, segments: list[str]) -> None:
         """Encode segments not met before, compare with the original library and decode them again."""
         joined = [s for s in segments if s[0] == MARK != s[-1]] if self.model.splits else []
-        if joined:
-            self._store(joined, *self._together(joined))
         rest = [s for s in segments if s[0] != MARK or s[-1] == MARK] if joined else segments
+        if joined:
+            rest += self._together(joined)
         if rest:
             got = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
             decoded = self.tok.decode_batch(got, skip_special_tokens=False)
             back = [d == self._plain(s) for d, s in zip(decoded, rest, strict=True)]
-            same = self._compare(rest, got) if self.check else [True] * len(got)
+            same = self._compare(rest, got) if self.by_segment else [True] * len(got)
             self._store(rest, np.fromiter((i for x in got for i in x), np.int32), np.cumsum(np.fromiter(map(len, got), np.int64, len(got))), same, back)
 
     def _store(self, segments: list[str], ids: np.ndarray, ends: np.ndarray, same, back) -> None:
@@ -197,44 +203,43 @@ class Codec:
     def _plain(self, segment: str) -> str:
         return (segment[1:] if self.model.add_dummy_prefix and segment[0] == MARK else segment).replace(MARK, " ")
 
-    def _together(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Segments that start with a marker, encoded as running text: a cut before each is exact, so nothing changes.
+    def _together(self, segments: list[str]) -> list[str]:
+        """Encode segments that start with a marker as running text: a cut before each is exact, so nothing changes.
 
-        Ids of all and where each segment's end, found by the bytes that the pieces stand for.
+        Where each segment's ids end is told by the bytes that the pieces stand for. Runs with an unknown piece, which
+        stands for any bytes, come back to be encoded one by one, as do runs that the library or decoding disagree with.
         """
-        groups = [segments[i : i + RUN] for i in range(0, len(segments), RUN)]
-        texts = ["".join(g) for g in groups]
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(got), np.int32)
-        covered = np.cumsum(self.bytes_of[ids])
-        want = np.cumsum(np.fromiter((len(s.encode()) for s in segments), np.int64, len(segments)))
-        ends = np.searchsorted(covered, want) + 1
-        if not np.array_equal(covered[ends - 1], want):
-            raise ValueError("a piece reaches over the start of a segment")
-        back, same = np.ones(len(segments), bool), np.ones(len(segments), bool)
-        prefix = self.model.add_dummy_prefix
-        plain = [t[prefix:].replace(MARK, " ") for t in texts]
-        lib = self.check.encode(plain, num_threads=1) if self.check and prefix and self.model.plain else None
-        for k, (x, d, t) in enumerate(zip(got, self.tok.decode_batch(got, skip_special_tokens=False), plain, strict=True)):
-            if d != t or lib is not None and lib[k] != x:  # one by one, to see which
-                one = [e.ids for e in self.tok.encode_batch_fast(groups[k], add_special_tokens=False)]
-                at = slice(k * RUN, k * RUN + len(one))
-                back[at] = [y == self._plain(s) for y, s in zip(self.tok.decode_batch(one, skip_special_tokens=False), groups[k], strict=True)]
-                same[at] = self._compare(groups[k], one) if self.check else True
-        if self.check and lib is None:
-            same[:] = self._compare(segments, [ids[a:z].tolist() for a, z in zip([0, *ends[:-1]], ends, strict=True)])
-        return ids, ends, same, back
+        back, again = [], []
+        for at in range(0, len(segments), RUN * 64):
+            groups = [segments[i : i + RUN] for i in range(at, min(at + RUN * 64, len(segments)), RUN)]
+            texts = ["".join(g) for g in groups]
+            got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            plain = [t[self.model.add_dummy_prefix :].replace(MARK, " ") for t in texts]
+            lib = self.check.encode(plain, num_threads=1) if self.by_segment else got
+            good = [d == t and x == y for x, y, d, t in zip(got, lib, self.tok.decode_batch(got, skip_special_tokens=False), plain, strict=True)]
+            good = [g and not (self.unknown is not None and self.unknown in x) for g, x in zip(good, got, strict=True)]
+            again += [s for g, ok in zip(groups, good, strict=True) if not ok for s in g]
+            back = [s for g, ok in zip(groups, good, strict=True) if ok for s in g]
+            if not back:
+                continue
+            ids = np.fromiter(chain.from_iterable(x for x, ok in zip(got, good, strict=True) if ok), np.int32)
+            covered = np.cumsum(self.bytes_of[ids])
+            want = np.cumsum(np.fromiter((len(s.encode()) for s in back), np.int64, len(back)))
+            ends = np.searchsorted(covered, want) + 1
+            if not np.array_equal(covered[ends - 1], want):
+                raise ValueError("a piece reaches over the start of a segment")
+            self._store(back, ids, ends, True, True)
+        return again
 
     def _compare(self, segments: list[str], got: list[list[int]]) -> list[bool]:
         # the library puts a marker of its own before each text: a segment that starts with one stands for itself
-        whole = self.model.add_dummy_prefix and self.model.plain
-        own = [s[1:] if whole and s.startswith(MARK) else s for s in segments]
+        own = [s[1:] if s.startswith(MARK) else s for s in segments]
         want = self.check.encode([s.replace(MARK, " ") for s in own], num_threads=1)
         same = []
         for s, o, a, b in zip(segments, own, got, want, strict=True):
-            if whole and o and s is not o or not self.model.add_dummy_prefix:
+            if o and s is not o:
                 same.append(a == b)
-            elif whole and s == MARK:
+            elif s == MARK:
                 same.append(a == self.glued)
             else:  # a segment without its marker can't be handed to the library alone
                 same.append(self.tok.encode(MARK + s, add_special_tokens=False).ids == b if s else not a)
@@ -274,7 +279,10 @@ class Codec:
         first = np.concatenate([[0], np.cumsum(counts)])
         bad = np.concatenate([[[0, 0]], np.cumsum(np.column_stack([~self.same[k], ~self.back[k]]), axis=0)])
         wrong = bad[first[1:]] - bad[first[:-1]]
-        return ids, ends[first], wrong[:, 0] == 0, (wrong[:, 1] == 0) & np.array([MARK not in t for t in texts], bool)
+        same = wrong[:, 0] == 0
+        if self.check and not self.by_segment:  # whole texts with the library
+            same = np.array([ids[a:z].tolist() == want for a, z, want in zip(ends[first], ends[first[1:]], self.check.encode(texts, num_threads=1), strict=False)], bool)
+        return ids, ends[first], same, (wrong[:, 1] == 0) & np.array([MARK not in t and (self.model.plain or self.normal.normalize_str(t) == t) for t in texts], bool)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)

@@ -51,17 +51,45 @@ def test_slices_change_nothing(codec, monkeypatch):
     assert codec.encode([text])[0].tolist() == whole
 
 
-def test_unigram_model_is_rebuilt():
-    def field(n, kind, payload):
-        head = bytes([n << 3 | kind])
-        return head + (bytes([len(payload)]) + payload if kind == 2 else payload)
+def field(n, kind, payload):
+    head = bytes([n << 3 | kind])
+    return head + (bytes([len(payload)]) + payload if kind == 2 else payload)
+
+
+def piece(p, score, kind):
+    return field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+
+
+def unigram(*pieces, trim=False):
+    data = b"".join([piece("<unk>", 0, 2), *(piece(p, s, 1) for p, s in pieces)])
+    return data + field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(4, 0, b"\x01" if trim else b"\x00"))
+
 
-    def piece(p, score, kind):
-        return field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+PIECES = [("▁a", -1), ("b", -2), ("▁ab", -2.5), ("▁", -3), ("a", -3)]
 
-    data = b"".join([piece("<unk>", 0, 2), piece("▁a", -1, 1), piece("b", -2, 1), piece("▁ab", -2.5, 1), piece("▁", -3, 1), piece("a", -3, 1)])
-    data += field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(4, 0, b"\x00"))
+
+def test_unigram_model_is_rebuilt():
+    data = unigram(*PIECES)
     m = op4.parse_model(data)
     assert m.model_type == op4.UNIGRAM and m.pieces[3][0] == "▁ab" and m.splits
     c = op4.Codec(data, verify=False)
     assert [m.pieces[i][0] for i in c.encode(["ab a bb"])[0]] == ["▁ab", "▁a", "▁", "b", "b"]
+
+
+@pytest.mark.parametrize("trim", (False, True))
+@pytest.mark.parametrize("verify", (False, True))
+def test_unknown_characters(trim, verify):
+    data = unigram(*PIECES, trim=trim)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["ab z a", "zz", "a zzb a ab", "", "  a  b ", "z", "ab " * 900 + "q"]
+    c = op4.Codec(data, verify=verify)
+    flat, at, same, back = c.encode(texts)
+    assert [flat[x:y].tolist() for x, y in zip(at, at[1:])] == [sp.encode(t) for t in texts] and same.all()
+    assert back.tolist() == [False, False, False, True, not trim, False, False]
+
+
+def test_parity_sees_a_difference():
+    for trim in (False, True):
+        c = op4.Codec(unigram(*PIECES, trim=trim))
+        c.check = sentencepiece.SentencePieceProcessor(model_proto=unigram(("▁a", -1), ("b", -2), ("▁ab", -9), ("▁", -3), ("a", -3), trim=trim))
+        assert c.encode(["ab a", "a b"])[2].tolist() == [False, True]
