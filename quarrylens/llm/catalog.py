@@ -28,4 +28,6 @@ QUERIES = {
 ORACLES = {
     "op1_line_quality": op1.oracle(),
     "op5_jaccard_join": op5.oracle(),
+    "op6_suffix_dedup": op6.oracle(),
+    "op8_debruijn_dedup": op8.oracle(),
 }

@@ -1,15 +1,17 @@
 """Removal of repeated 100-byte strings by a sparse, range-partitioned suffix array.
 
 Windows of 100 bytes are represented by content-defined anchors (see `repeats`). The suffixes that start at repeated
-anchors, with the text before them, are range-partitioned by their leading bytes at splitters taken from a sample of
-the documents. Each bucket sorts its suffixes, and the reversed texts before them, by multikey quicksort over 8-byte
-tokens; longest common prefixes of neighbours in the two orders tell which windows are equal, byte for byte, and the
-earliest of them stays. Leading bytes that would fill a bucket (as the sample shows) are compared across buckets: each
-of their windows goes by a 128-bit hash to a bucket of its own.
+anchors, with the text before them, are range-partitioned by their leading bytes at splitters taken from a sample that
+grows with the corpus; where the splitters are fewer than the buckets, a range is dealt on by the bytes that follow.
+Each bucket sorts its suffixes, and the reversed texts before them, by multikey quicksort over 8-byte tokens; longest
+common prefixes of neighbours in the two orders tell which windows are equal, byte for byte, and the earliest of them
+stays. Equal windows have equal leading bytes, so none is cut off from its like by a boundary between buckets.
 
 The operator returns removed byte spans; `clean` applies them. Defined results: a null text counts as empty; texts
-shorter than 100 bytes lose nothing; rows with one doc_id are ordered by their texts, and equal rows count as successive
-documents; a null doc_id comes first. Equal contexts leave a chunk of texts once, so copies do not pile up anywhere.
+shorter than 100 bytes lose nothing; rows with one doc_id are ordered by a 64-bit hash of their texts (xxHash, seed 42),
+and equal rows count as successive documents; a null doc_id comes first; other columns are ignored (`clean` hands them
+on, whatever their names); an empty table gives an empty result. Equal contexts leave a task once, but for earlier ones
+met later, so copies do not pile up anywhere.
 """
 
 from __future__ import annotations
@@ -19,21 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw, renamed, table
-from .repeats import CHUNK, NO_ID, Corpus, Shape, by_bucket, column, marked, per_text
+from .common import renamed, table
+from .repeats import CHUNK, NO_ID, Chunk, Contexts, Corpus, Shape, around, by_bucket, chunks_of, column, grouped, per_text
 
 WIDTH, GRAM = 100, 16
 SHAPE = Shape(WIDTH, GRAM)
-SAMPLE_DOCS = 2000
-HOT_SHARE = 32
-_HEAD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc", pa.binary()), ("dup", pa.binary()), ("at", pa.binary()), ("left", pa.binary()), ("size", pa.binary()), ("data", pa.binary())])
-_DDL = "bucket int, kind int, doc binary, dup binary, at binary, left binary, size binary, data binary"
-ITEM, WHOLE, HASHED = 0, 1, 2
+_HEAD = pa.schema([("bucket", pa.int64()), ("gid", pa.int64()), ("sub", pa.int32()), *[(c, pa.binary()) for c in ("items", "data")]])
+_DDL = "bucket long, gid long, sub int, items binary, data binary"
+#: An item: a row of its chunk and `size` bytes of its text from `at` on, with the anchor `left` bytes in.
+ITEM = np.dtype([("d", "<i8"), ("h", "<i8"), ("row", "<i4"), ("at", "<i4"), ("left", "<i2"), ("size", "<i2")])
+SPAN = np.dtype([("sub", "<i4"), ("row", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
 
 def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +92,12 @@ def suffix_order(matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, n
     return order, lcp
 
 
-def repeated_windows(doc, dup, at, left, size, data) -> Iterator[tuple[int, int]]:
-    """(item, window start inside it) of every window that an earlier item holds too.
+def repeated_windows(rank, left, size, data) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(item, window start inside it) of every window that an earlier item holds too; `rank` lists the items from the earliest on.
 
-    An item is `size` bytes of a document from `at` on, with its anchor `left` bytes in.
+    An item is `size` bytes of a document, with its anchor `left` bytes in.
     """
-    n = len(doc)
-    rank = np.lexsort((at + left, dup, doc))
+    n = len(left)
     ends = np.cumsum(size)
     begin = ends - size
     buf = np.frombuffer(data, np.uint8)
@@ -127,167 +126,107 @@ def repeated_windows(doc, dup, at, left, size, data) -> Iterator[tuple[int, int]
         yield idx[again], left[idx[again]] - a
 
 
-def sample_splitters(docs: DataFrame, buckets: int, most: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters of the leading bytes for even buckets, and the hot leads, from `most` documents at most."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(most).toLocalIterator()
-    leads, part, size = [np.empty(0, np.uint64)], [], 0
-
-    def take():
-        s = SHAPE.read(part)
-        leads.append(s.leads(SHAPE.anchors(s)[1]))
-
-    for r in rows:
-        part.append((r.text or "").encode())
-        size += len(part[-1])
-        if size > CHUNK:
-            take()
-            part, size = [], 0
-    if part:
-        take()
-    x = np.sort(np.concatenate(leads))
-    if not len(x):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    values, counts = np.unique(x, return_counts=True)
-    hot = values[counts >= max(HOT_SHARE, len(x) // (8 * buckets))]
-    x = x[~np.isin(x, hot)]
-    cuts = x[np.linspace(0, len(x) - 1, buckets + 1).astype(int)[1:-1]] if len(x) else x
-    return np.unique(cuts), hot
-
-
-def _rows(bucket: np.ndarray, kind: int, doc, dup, at, left, size, data: list[bytes]) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(bucket, kind="stable")
-    for to, i in per_text(bucket[order], order):
-        yield pa.RecordBatch.from_pydict(
-            {
-                "bucket": [to], "kind": [kind], "doc": [doc[i].astype(np.int64).tobytes()], "dup": [dup[i].astype(np.int32).tobytes()], "at": [at[i].astype(np.int64).tobytes()],
-                "left": [left[i].astype(np.int16).tobytes()], "size": [size[i].astype(np.int32).tobytes()], "data": [b"".join([data[k] for k in i])],
-            }, schema=_HEAD)
-
-
-def _send(buckets: int, splitters: np.ndarray, hot: np.ndarray):
+def range_buckets(leads: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
+    """Splitters of the leading bytes for even ranges, and how many buckets each range is dealt over."""
+    cuts = np.unique(leads[np.linspace(0, len(leads) - 1, min(buckets, len(leads)) + 1).astype(int)[1:-1]]) if len(leads) else leads
+    return cuts, -(-buckets // (len(cuts) + 1))
+
+
+def _send(corpus: Corpus, buckets: int):
+    hot, (splitters, deal) = corpus.hot, range_buckets(corpus.leads, buckets)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", CHUNK):
-            s = SHAPE.read(raw(b.column("text")))
-            text, p, first, last = SHAPE.anchors(s)
-            if not len(p):
+        contexts = Contexts()
+        for c in chunks_of(batches):
+            if (got := around(c, SHAPE, hot)) is None:
                 continue
-            keep = np.flatnonzero(marked(b, s, text, p))
-            text, p, first, last = text[keep], p[keep], first[keep], last[keep]
-            doc = b.column("d").to_numpy(zero_copy_only=False)[text]
-            dup = b.column("dup").to_numpy(zero_copy_only=False)[text]
-            at, left, size = first - s.starts[text], p - first, last - first + WIDTH
-            data = [s.cut(x, x + n) for x, n in zip(first.tolist(), size.tolist(), strict=True)]
-            seen: set[tuple[bytes, int]] = set()
-            fresh = np.zeros(len(p), bool)
-            for i in np.lexsort((at, dup, doc)).tolist():  # equal contexts: the earliest goes on, the others are repeats
-                if (k := (data[i], int(left[i]))) not in seen:
-                    seen.add(k)
-                    fresh[i] = True
+            s, text, p, first, last = got
+            items = np.zeros(len(p), ITEM)
+            items["d"], items["h"], items["row"] = c.numbers("d")[text], c.numbers("h")[text], text
+            items["at"], items["left"], items["size"] = first - s.starts[text], p - first, last - first + WIDTH
+            data = [s.cut(x, x + n) for x, n in zip(first.tolist(), items["size"].tolist(), strict=True)]
+            fresh = np.ones(len(p), bool)
+            # rows of a chunk are in order, and so are their anchors
+            for i, (d, h, row, at, left, _) in enumerate(items.tolist()):  # equal contexts: the earliest goes on, the others are repeats
+                fresh[i] = contexts.earlier((data[i], left), (d, h, c.gid, c.sub, row, at)) is None
             gone = np.flatnonzero(~fresh)
-            yield from _rows_of(gone, doc[gone] % buckets, WHOLE, doc, dup, at, left, size, None)
-            lead = s.leads(p)
-            is_hot = np.isin(lead, hot)
-            cold = np.flatnonzero(fresh & ~is_hot)
-            yield from _rows_of(cold, np.searchsorted(splitters, lead[cold], "right"), ITEM, doc, dup, at, left, size, data)
-            yield from _hot_windows(np.flatnonzero(fresh & is_hot), buckets, doc, dup, at, left, size, data)
+            if len(gone):
+                yield _record(c.gid % buckets, c, items[gone], None)
+            i = np.flatnonzero(fresh)
+            to = np.searchsorted(splitters, s.leads(p[i]), "right").astype(np.int64)
+            if deal > 1:
+                to = to * deal + (s.again(p[i]) % np.uint64(deal)).astype(np.int64)
+            by = np.argsort(to, kind="stable")
+            for bucket, k in per_text(to[by], i[by]):
+                yield _record(bucket, c, items[k], b"".join([data[x] for x in k]))
 
     return step
 
 
-def _rows_of(i: np.ndarray, bucket: np.ndarray, kind: int, doc, dup, at, left, size, data) -> Iterator[pa.RecordBatch]:
-    if len(i):
-        yield from _rows(bucket, kind, doc[i], dup[i], at[i], left[i], size[i], [data[k] for k in i] if data is not None else [b""] * len(i))
-
-
-def _hot_windows(items: np.ndarray, buckets: int, doc, dup, at, left, size, data) -> Iterator[pa.RecordBatch]:
-    """Each window of these items by its hash, the earliest of equals in this chunk; the others are repeats."""
-    first: dict[bytes, int] = {}
-    d, u, a, h, gone = [], [], [], [], []
-    for i in items[np.lexsort((at[items], dup[items], doc[items]))].tolist():
-        for x in range(int(size[i]) - WIDTH + 1):
-            key = xxhash.xxh3_128_digest(data[i][x : x + WIDTH])
-            row = (int(doc[i]), int(dup[i]), int(at[i]) + x)
-            if key in first:
-                gone.append(row)
-                continue
-            first[key] = 1
-            d.append(row[0])
-            u.append(row[1])
-            a.append(row[2])
-            h.append(key)
-    if h:
-        to = np.frombuffer(b"".join(h), np.uint64)[::2] % np.uint64(buckets)
-        zero = np.zeros(len(h), np.int64)
-        yield from _rows(to.astype(np.int64), HASHED, np.array(d), np.array(u), np.array(a), zero, zero, h)
-    if gone:
-        g = np.array(gone)
-        yield from _rows(g[:, 0] % buckets, WHOLE, g[:, 0], g[:, 1], g[:, 2], np.zeros(len(g), np.int64), np.full(len(g), WIDTH), [b""] * len(g))
+def _record(bucket: int, c: Chunk, items: np.ndarray, data: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": [bucket], "gid": [c.gid], "sub": [c.sub], "items": [items.tobytes()], "data": [data]}, schema=_HEAD)
 
 
 def _compare(_, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = []  # doc, dup, start, end
-    for kind in (WHOLE, ITEM, HASHED):
-        rows = [b.filter(pc.equal(b.column("kind"), kind)) for b in held]
-        doc, dup, at = column(rows, "doc", np.int64), column(rows, "dup", np.int32), column(rows, "at", np.int64)
-        if not len(doc):
-            continue
-        if kind == WHOLE:
-            found.append((doc, dup, at, at + column(rows, "size", np.int32)))
-        elif kind == HASHED:
-            h = np.frombuffer(b"".join(x for b in rows for x in b.column("data").to_pylist()), np.uint64).reshape(-1, 2)
-            o = np.lexsort((at, dup, doc, h[:, 1], h[:, 0]))
-            again = o[1:][(h[o[1:]] == h[o[:-1]]).all(axis=1)]
-            found.append((doc[again], dup[again], at[again], at[again] + WIDTH))
-        else:
-            data = b"".join(x for b in rows for x in b.column("data").to_pylist())
-            for i, x in repeated_windows(doc, dup, at, column(rows, "left", np.int16).astype(np.int64), column(rows, "size", np.int32).astype(np.int64), data):
-                found.append((doc[i], dup[i], at[i] + x, at[i] + x + WIDTH))
-    if not found:
+    items = column(held, "items", ITEM)
+    each = [len(x) // ITEM.itemsize for b in held for x in b.column("items").to_pylist()]
+    gid = np.repeat(np.concatenate([b.column("gid").to_numpy() for b in held]), each)
+    sub = np.repeat(np.concatenate([b.column("sub").to_numpy() for b in held]), each)
+    data = [x for b in held for x in b.column("data").to_pylist()]
+    known = np.repeat(np.array([x is None for x in data]), each)  # repeats as they stand
+    found = [(np.flatnonzero(known), items["at"][known].astype(np.int64), (items["at"] + items["size"])[known].astype(np.int64))]
+    rest = np.flatnonzero(~known)
+    if len(rest):
+        x = items[rest]
+        rank = np.lexsort((x["at"], x["row"], sub[rest], gid[rest], x["h"], x["d"]))
+        for i, start in repeated_windows(rank, x["left"].astype(np.int64), x["size"].astype(np.int64), b"".join([x for x in data if x is not None])):
+            at = x["at"][i] + start
+            found.append((rest[i], at, at + WIDTH))
+    i, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(i):
         return
-    doc, dup, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, dup, doc))
-    doc, dup, start, end = merge(doc[order], dup[order].astype(np.int64), start[order], end[order])
-    ids, spans = [], []
-    for d, u, s, e in per_text(doc, dup, start, end):
-        ids.append(d)
-        spans.append(np.column_stack([u, s, e]).astype(np.int64).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], ["d", "spans"])
-
-
-def merge(doc, dup, start, end):
-    """Unite overlapping and touching spans of one row; the input is sorted."""
-    if not len(doc):
-        return doc, dup, start, end
-    row = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (dup[1:] != dup[:-1]))])
-    top = np.maximum.accumulate(end + row * (1 << 44)) - row * (1 << 44)  # furthest end so far in the row
-    new = np.ones(len(doc), bool)
+    order = np.lexsort((start, items["row"][i], sub[i], gid[i]))
+    i, start, end = i[order], start[order], end[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (gid[i[1:]] != gid[i[:-1]]) | (sub[i[1:]] != sub[i[:-1]]) | (items["row"][i[1:]] != items["row"][i[:-1]])
+    at, start, end = merge(np.cumsum(new) - 1, start, end)
+    spans = np.zeros(len(at), SPAN)
+    i = i[at]
+    spans["sub"], spans["row"], spans["start"], spans["end"] = sub[i], items["row"][i], start, end
+    yield grouped(gid[i], spans)
+
+
+def merge(row, start, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unite overlapping and touching spans of one row: the first of each and its start and end. Rows are numbered from 0, the input is sorted."""
+    if not len(row):
+        return row, start, end
+    step = int(end.max()) + 1
+    top = np.maximum.accumulate(end + row * step) - row * step  # furthest end so far in the row
+    new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (start[1:] > top[:-1])
     at = np.flatnonzero(new)
-    return doc[at], dup[at], start[at], top[np.append(at[1:], len(doc)) - 1]
+    return at, start[at], top[np.append(at[1:], len(row)) - 1]
 
 
-def spans_of(lists: list[bytes] | None, dup: int) -> np.ndarray:
-    """Maximal removed spans (start, end) of one row."""
-    if not lists:
-        return np.empty((0, 2), np.int64)
-    s = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 3)
-    s = s[s[:, 0] == dup]
-    s = s[np.argsort(s[:, 1], kind="stable")]
-    zero = np.zeros(len(s), np.int64)
-    _, _, a, z = merge(zero, zero, s[:, 1], s[:, 2])
-    return np.column_stack([a, z])
+def spans_of(c: Chunk) -> list[np.ndarray]:
+    """Maximal removed spans (start, end) of each row of a chunk."""
+    out = [np.empty((0, 2), np.int64)] * c.batch.num_rows
+    s = np.concatenate([np.frombuffer(b, SPAN) for b in c.lists]) if c.lists else np.empty(0, SPAN)
+    s = s[s["sub"] == c.sub]
+    s = s[np.lexsort((s["start"], s["row"]))]
+    for row, x in per_text(s["row"], s):
+        _, a, z = merge(np.zeros(len(x), np.int64), x["start"].astype(np.int64), x["end"].astype(np.int64))
+        out[row] = np.column_stack([a, z])
+    return out
 
 
 def removed_spans(docs: DataFrame, *others: str) -> DataFrame:
-    """The documents (d, dup, text, and `rest` with other columns) with `spans`, binaries that spans_of reads; null where nothing goes."""
-    corpus = Corpus(docs, *others)
-    buckets = corpus.buckets
-    splitters, hot = sample_splitters(docs, buckets)
-    around = corpus.with_lists(corpus.repeated(SHAPE), "inner").select("d", "dup", "text", "marks")
-    items = around.mapInArrow(_send(buckets, splitters, hot), _DDL)
-    spans = items.repartition(corpus.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(_compare), "d long, spans binary")
-    return corpus.with_lists(spans.groupBy("d").agg(F.collect_list("spans").alias("spans")), "left").select(*corpus.columns, "spans")
+    """The documents (gid, d, h, text, and `rest` with other columns) with `lists`, of which spans_of reads the removed spans."""
+    corpus = Corpus(docs, SHAPE, *others)
+    around_ = corpus.with_lists(corpus.repeated()).select("gid", "d", "h", "text", "lists")
+    items = around_.mapInArrow(_send(corpus, corpus.buckets), _DDL)
+    spans = items.repartition(corpus.parts, "bucket").sortWithinPartitions("bucket").mapInArrow(by_bucket(_compare), "gid long, found binary")
+    return corpus.with_lists(spans.groupBy("gid").agg(F.collect_list("found").alias("lists")))
 
 
 def kept_bytes(text: bytes, spans: np.ndarray) -> bytes:
@@ -316,10 +255,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def digest(docs: DataFrame) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", CHUNK):
+        for c in chunks_of(batches):
             rows = []
-            for d, u, t, lists in zip(b.column("d").to_pylist(), b.column("dup").to_pylist(), raw(b.column("text")), b.column("spans").to_pylist(), strict=True):
-                s = spans_of(lists, u)
+            for d, t, s in zip(c.numbers("d").tolist(), c.texts(), spans_of(c), strict=True):
                 rows.append((None if d == NO_ID else d, len(t), int((s[:, 1] - s[:, 0]).sum()), len(s), hashlib.sha256(kept_bytes(t, s)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
@@ -330,19 +268,18 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents without their repeated strings, cut at whole characters; those left empty go. Same columns."""
     names, docs = docs.columns, renamed(docs, "doc_id", "text", "n_chars")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = removed_spans(docs, *others) if others else removed_spans(docs)
+    spans = removed_spans(docs, *others)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", CHUNK):
-            out, keep = [], []
-            for u, t, lists in zip(b.column("dup").to_pylist(), raw(b.column("text")), b.column("spans").to_pylist(), strict=True):
-                out.append(kept_bytes(t, whole_characters(t, spans_of(lists, u))).decode("utf-8", "replace"))
-                keep.append(bool(out[-1]) or not t)
+        for c in chunks_of(batches):
+            texts = c.texts()
+            out = [kept_bytes(t, whole_characters(t, s)).decode("utf-8", "replace") for t, s in zip(texts, spans_of(c), strict=True)]
+            keep = [bool(x) or not t for x, t in zip(out, texts, strict=True)]
+            b = c.batch.drop_columns(["lists"])
             i = b.schema.get_field_index("text")
-            b = b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type)).filter(pa.array(keep, pa.bool_()))
-            yield b.select([x for x in b.schema.names if x != "spans"])
+            yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type)).filter(pa.array(keep, pa.bool_()))
 
-    new = spans.mapInArrow(step, spans.drop("spans").schema)
+    new = spans.mapInArrow(step, spans.drop("lists").schema)
     whole = {"doc_id": F.when(F.col("d") != NO_ID, F.col("d")).cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
     if "n_chars" in others:
         whole["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -351,3 +288,17 @@ def clean(docs: DataFrame) -> DataFrame:
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def oracle() -> str:
+    """The same in SQL, by the first start of every window; for tables whose doc_ids differ."""
+    return f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id::BIGINT AS doc_id, hex(coalesce(text, '')) AS x FROM documents),
+win AS (SELECT r, i, substring(x, 2 * i + 1, {2 * WIDTH}) AS g FROM (SELECT r, x, unnest(range(0, len(x) // 2 - {WIDTH - 1})) AS i FROM d WHERE len(x) >= {2 * WIDTH})),
+late AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY r, i) AS n FROM win) WHERE n > 1),
+edge AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {WIDTH}, true) AS new FROM late),
+span AS (SELECT r, min(i) AS a, max(i) + {WIDTH} AS z FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM edge) GROUP BY r, k),
+cut AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS was FROM span),
+kept AS (SELECT r, sum(z - a) AS gone, count(*) AS n, max(z) AS last, string_agg(substring(any_x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS head FROM (SELECT cut.*, d.x AS any_x FROM cut JOIN d USING (r)) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE head || substring(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""

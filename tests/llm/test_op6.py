@@ -5,16 +5,18 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from quarrylens.llm import op6_suffix_dedup as op6
+from quarrylens.llm import repeats
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, d string, spans string"
 
 
 def brute(rows):
-    """rows: (doc_id, text); the result by row, in the order of (doc_id, text)."""
+    """rows: (doc_id, text); the result by row, in the order of (doc_id, hash of the text)."""
     seen, out = set(), []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64))):
         b = (text or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 99):
@@ -58,15 +60,35 @@ def test_equals_brute_force(spark, seed):
     assert sorted(map(tuple, op6.digest(df).collect()), key=str) == brute(rows)
 
 
-def test_hot_leads_go_across_buckets(spark, monkeypatch):
-    rows = corpus(3)
-    monkeypatch.setattr(op6, "HOT_SHARE", 2)
-    monkeypatch.setattr(op6, "sample_splitters", lambda docs, buckets: (lambda s: (s[0], np.union1d(s[1], s[0])))(SAMPLE(docs, buckets)))
+@pytest.mark.parametrize("leads", [200_000, 3])
+def test_hot_grams_and_few_splitters(spark, monkeypatch, leads):
+    rows = corpus(3) + [(700 + i, f"licence {i} " + "all rights are reserved and nobody may copy this text without the written consent of its owner. " * 2) for i in range(40)]
+    monkeypatch.setattr(repeats, "HOT_SHARE", 2)
+    monkeypatch.setattr(repeats, "LEADS_MOST", leads)
     df = spark.createDataFrame([(d, t, None, None, None, "x", "y") for d, t in rows], DDL)
+    assert len(repeats.profile(df, op6.SHAPE, 1000, 1)[0]) > 10
     assert sorted(map(tuple, op6.digest(df).collect()), key=str) == brute(rows)
 
 
-SAMPLE = op6.sample_splitters
+def test_small_chunks_and_forgetful_tasks(spark, monkeypatch):
+    rows = corpus(4) + [(None, "no id " * 40 + str(i)) for i in range(60)] + [(5, "one id " * 40 + str(i)) for i in range(60)]
+    for name, value in (("CHUNK", 700), ("SEEN_SLOTS", 4)):
+        monkeypatch.setattr(repeats, name, value)
+    monkeypatch.setattr(repeats.chunks_of, "__defaults__", (700,))
+    monkeypatch.setattr(repeats.Contexts.__init__, "__defaults__", (3,))
+    df = spark.createDataFrame([(d, t, None, None, None, "x", "y") for d, t in rows], DDL)
+    assert sorted(map(tuple, op6.digest(df).collect()), key=str) == brute(rows)
+
+
+def test_chunks_depend_on_the_rows_only():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (3, 0, 9, 30, 0, 2, 2, 2, 8, 1, 0, 0, 10, 10)]
+    gids = [1] * 9 + [4] * 5
+    whole = pa.RecordBatch.from_pydict({"gid": gids, "text": texts})
+    cut = lambda k: [(c.gid, c.sub, [len(x) for x in c.texts()]) for c in repeats.chunks_of(iter([whole.slice(i, k) for i in range(0, 14, k)]), 10)]
+    assert cut(14) == cut(1) == cut(3) == cut(5)
+    assert sum(len(x[2]) for x in cut(14)) == 14 and all(sum(x[2]) <= 10 or len(x[2]) == 1 for x in cut(14))
 
 
 def test_edges(spark):

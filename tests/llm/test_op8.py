@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quarrylens.llm import op8_debruijn_dedup as op8
+from quarrylens.llm import repeats
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, d string, paths string"
 
@@ -55,14 +56,37 @@ def test_equals_brute_force(spark, seed):
     assert got(spark.createDataFrame([(d, t, None, None, None, "x", "y") for d, t in rows], DDL)) == brute(rows)
 
 
-def test_hot_anchors_send_single_windows(spark, monkeypatch):
-    rows = corpus(3)
-    monkeypatch.setattr(op8, "HOT_SHARE", 2)
+def test_hot_grams_and_small_chunks(spark, monkeypatch):
+    rows = corpus(3) + [(None, "no id " * 20 + f"x{i}") for i in range(60)] + [(700 + i, "a licence line that stands in very many documents of the corpus word for word as it is") for i in range(40)]
+    monkeypatch.setattr(repeats, "HOT_SHARE", 2)
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    monkeypatch.setattr(repeats.chunks_of, "__defaults__", (700,))
+    monkeypatch.setattr(repeats.Contexts.__init__, "__defaults__", (3,))
     df = spark.createDataFrame([(d, t, None, None, None, "x", "y") for d, t in rows], DDL)
-    assert len(op8.hot_anchors(df, 1000)) > 10
+    assert len(repeats.profile(df, op8.SHAPE, 1000, 1)[0]) > 10
     assert got(df) == brute(rows)
 
 
+def test_equal_hashes_of_different_windows():
+    rows = corpus(5)
+    data, starts = repeats.join_texts([t.encode() for _, t in rows])
+    lo, hi, first = repeats.words(data, starts)
+    at = np.flatnonzero(op8.inside_texts(first, 13))
+    number, head = op8.edge_numbers(data, lo, hi, at, 13, np.zeros(len(at), np.uint64))
+    text = [tuple(data[lo[x] : hi[x]].tobytes() for x in range(a, a + 13)) for a in at.tolist()]
+    assert len(set(text)) == len(head) and all(text[i] == text[head[k]] for i, k in enumerate(number.tolist()))
+
+
+def test_unbranched_paths():
+    # a -> b -> c -> d, c -> e, a ring x -> y -> z -> x, and p -> q -> r where q belongs to another bucket
+    names = "abcdexyzpqr"
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("c", "e"), ("y", "z"), ("z", "x"), ("x", "y"), ("p", "q"), ("q", "r")]
+    left, right = (np.array([names.index(e[k]) for e in edges]) for k in (0, 1))
+    own = np.array([n != "q" for n in names])
+    path, step = op8.unbranched(left, right, own)
+    assert path.tolist() == [0, 0, 2, 3, 4, 4, 4, 7, 8] and step.tolist() == [0, 1, 0, 0, 0, 1, 2, 0, 0]
+
+
 def test_paths_name_their_sources(spark):
     p = [f"p{i}" for i in range(200)]
     rows = [(1, " ".join(["x"] * 3 + p)), (2, " ".join(["y"] * 5 + p[20:150] + ["z"])), (3, " ".join(p[:40] + ["q"] + p[41:90]))]
