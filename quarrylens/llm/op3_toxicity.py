@@ -1,17 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon look-up maps each word to a class: insult or threat (with a weight), target, negation, reported speech,
-or plain, and marks clause ends. Target, negation and reported-speech transducers rewrite insults and threats that
-stand in their reach ("you ... idiot", "not an idiot", "he said: idiot"). These three are composed into one machine,
-which reads the classes that the lexicon, a look-up of single words, gives; its output labels are summed per document, clause by clause, and a logistic model turns the sums into a score.
+A lexicon maps each word to a class: insult or threat (with a weight), intent ("will"), harm ("break") and body ("neck"),
+target, negation, reported speech, or plain, and marks clause ends. Five transducers are composed into one machine:
+insults (those that pile up in a clause weigh more), threats (a threat word, more after an intent; or harm done to a
+body, which no single word of it is), targets, negation and reported speech, which mark and reweigh what stands in
+their reach ("you ... idiot", "will ... hurt", "not an idiot", "he said: idiot"). Arc weights multiply along the path.
 
-Insult words and word stems and their weights are learned from labelled rows on the learning side of the split (at
-most `per_label` rows of each label, smallest hashes first): half of them give the lexicon, the other half the
-logistic weights. A short list of general words stands behind the learned ones.
+A clause is matched if the machine writes an insult or a threat in it. Its weight is that of its path; where nothing but
+bare words matched, without target, pile, intent or harm, it is BARE of that. All features are sums over matched
+clauses, which a logistic model turns into a score.
+
+Insult and threat words, insult word stems and their weights are learned from labelled rows on the learning side of the split (at
+most `per_label` rows of each label, twice as many of label 0, of at most TRAIN_BYTES bytes, smallest hashes first): half of them give
+the lexicon, the other half the logistic weights. A learned word is a threat where it mostly follows an intent, else an
+insult; words of the other classes keep them. A short list of general words stands behind the learned ones.
 
 Defined results: null and empty texts score as a text without matches; without labelled rows the built-in words and
 weights are used; repeated rows score alike; a null doc_id is neither learned from nor held out; labels that are null
-are not learned from. Whole texts are read, in bounded batches, and scoring needs no shuffle.
+are not learned from; other columns are ignored; an empty table gives an empty result. Whole texts are scored, in
+bounded batches, and scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -30,19 +37,23 @@ from pyspark.sql import functions as F
 from .common import chunks, raw, table, to_batch
 from .op7_language_id import remainder
 
-PER_LABEL = 3000
+PER_LABEL, TRAIN_BYTES = 3000, 1 << 15
+BARE = 0.6
 STEM = (3, 8)
 DDL = "doc_id long, held_out boolean, score double, predicted int"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 EDGES = "\"'“”‘’«»„()[]{}<>.,;:!?…¡¿*#$%&|_-"
 STOPS = (".", "!", "?", ";", "…")
 
-PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT, END, INTENT, HARM, BODY = range(10)
 WORDS = {
     INSULT: "idiot moron stupid scum trash loser worthless pathetic disgusting clown".split(),
     THREAT: "kill hurt destroy burn stab shoot töten tuer matar".split(),
     TARGET: "you your yours they them he she his her we us du dein ihr euch tu ton ta vous votre tú usted vuestro".split(),
     NEGATION: "not never no none nor without nicht kein keine nie sans jamais nunca sin ninguno".split(),
+    INTENT: "will gonna going shall should must werde wirst soll vais vas devrais voy vas debería".split(),
+    HARM: "break cut smash rip watch crush bash slit breche brechen schlage casser romper cortar".split(),
+    BODY: "neck throat back bones face skull legs kneecaps hals knochen gesicht cou gorge cuello garganta cara".split(),
     REPORT: "said says say told claims claimed wrote quoted called sagte sagt schrieb dit dijo dice".split(),
 }
 
@@ -72,24 +83,52 @@ def _kinds(flags: str) -> list[str]:
     return out
 
 
+QUIET = ("O", "Y", "N", "R")
+
+
+def insult_machine(pile: float = 1.25) -> Transducer:
+    """Insults after the first of their clause weigh more."""
+    arcs = {}
+    for s in (0, 1):
+        arcs |= {(s, x): (s, x, 1.0) for x in (*QUIET, "T", "M", "K", "B")}
+        arcs[s, "E"] = (0, "E", 1.0)
+        arcs[s, "I"] = (1, "I", pile if s else 1.0)
+    return Transducer(arcs, 2)
+
+
+def threat_machine(reach: int = 3, intent: float = 1.5) -> Transducer:
+    """Threat words weigh more within `reach` words of an intent (M); a body (B) within `reach` words of harm (K) is a threat too."""
+    arcs, n = {}, reach + 1
+    for m in range(n):
+        for k in range(n):
+            s, down = m * n + k, max(0, m - 1) * n + max(0, k - 1)
+            arcs |= {(s, x): (down, x, 1.0) for x in (*QUIET, "I")}
+            arcs[s, "E"] = (0, "E", 1.0)
+            arcs[s, "M"] = (reach * n + max(0, k - 1), "O", 1.0)
+            arcs[s, "K"] = (max(0, m - 1) * n + reach, "O", 1.0)
+            arcs[s, "T"] = (down, "T", intent if m else 1.0)
+            arcs[s, "B"] = (down, "T", intent) if k else (down, "O", 1.0)
+    return Transducer(arcs, n * n)
+
+
 def window_machine(trigger: str, flag: str, reach: int | None, before: str, factor: float) -> Transducer:
     """Mark insults (I) and threats (T) that follow `trigger` within `reach` words of the clause (None: to its end)."""
     hot = [f"{k}{x}" for k in "IT" for x in _kinds(before)]
-    quiet = [x for x in ("O", "Y", "N", "R") if x != trigger]
     top = reach or 1
     arcs = {}
     for s in range(top + 1):
         down = s if reach is None else max(0, s - 1)
         arcs[s, trigger] = (top, trigger, 1.0)
         arcs[s, "E"] = (0, "E", 1.0)
-        for x in quiet:
-            arcs[s, x] = (down, x, 1.0)
+        for x in QUIET:
+            if x != trigger:
+                arcs[s, x] = (down, x, 1.0)
         for x in hot:
             arcs[s, x] = (down, x + flag if s else x, factor if s else 1.0)
     return Transducer(arcs, top + 1)
 
 
-SYMBOLS = {PLAIN: "O", INSULT: "I", THREAT: "T", TARGET: "Y", NEGATION: "N", REPORT: "R", END: "E"}
+SYMBOLS = {PLAIN: "O", INSULT: "I", THREAT: "T", TARGET: "Y", NEGATION: "N", REPORT: "R", END: "E", INTENT: "M", HARM: "K", BODY: "B"}
 OUTPUTS = [f"{k}{x}" for k in "IT" for x in _kinds("ynr")]
 
 
@@ -97,7 +136,7 @@ def grammar() -> Transducer:
     target = window_machine("Y", "y", 4, "", 1.5)
     negation = window_machine("N", "n", 3, "y", 0.7)
     report = window_machine("R", "r", None, "yn", 0.8)
-    return target.then(negation).then(report)
+    return insult_machine().then(threat_machine()).then(target).then(negation).then(report)
 
 
 @dataclass
@@ -121,7 +160,7 @@ class Lexicon:
 
     @classmethod
     def seeds(cls) -> Lexicon:
-        return cls({w: (kind, 2.0 if kind in (INSULT, THREAT) else 0.0) for kind, ws in WORDS.items() for w in ws})
+        return cls({w: (kind, 2.0 if kind in (INSULT, THREAT, BODY) else 0.0) for kind, ws in WORDS.items() for w in ws})
 
 
 class Scorer:
@@ -155,37 +194,35 @@ class Scorer:
         if len(self.known) > 500_000:
             self.known.clear()
         got = list(map(self.known.__getitem__, words))
-        sums = np.zeros(len(OUTPUTS))
-        clause_best = best = 0.0
-        hits = clauses = 0
+        sums = dict.fromkeys("ITynrb", 0.0)  # of matched clauses: with insult, threat, target, negation, report; bare ones
+        weights = []
         if any(w > 0 for _, w, _ in got):
-            state, n, clause = 0, len(SYMBOLS), 0.0
+            state, n, clause, marks, bare = 0, len(SYMBOLS), 0.0, set(), True
             nxt, out, factor = self.next, self.out, self.factor
-            for kind, weight, end in got:
+            for kind, weight, end in [*got, (PLAIN, 0.0, True)]:
                 k = state * n + kind
                 state = nxt[k]
                 if out[k] >= 0:
-                    w = weight * factor[k]
-                    sums[out[k]] += w
-                    clause += w
-                    best = max(best, w)
-                    hits += 1
+                    clause += weight * factor[k]
+                    marks.update(OUTPUTS[out[k]])
+                    bare &= factor[k] == 1.0 and "y" not in marks
                 if end:
                     state = nxt[state * n + END]
-                    clauses += clause > 0
-                    clause_best, clause = max(clause_best, clause), 0.0
-            clauses += clause > 0
-            clause_best = max(clause_best, clause)
-        total, size = sums.sum(), max(1, len(words))
-        flag = lambda f: sum(v for o, v in zip(OUTPUTS, sums, strict=True) if f in o)
+                    if clause > 0:
+                        clause *= BARE if bare else 1.0
+                        weights.append(clause)
+                        for m in marks | ({"b"} if bare else set()):
+                            sums[m] += clause
+                    clause, marks, bare = 0.0, set(), True
+        total, best, clauses, size = sum(weights), max(weights, default=0.0), len(weights), max(1, len(words))
         per = 100 / (size + 20)
         return np.array([
-            np.log1p(total), np.log1p(total * per), np.log1p(clause_best), best, np.log1p(hits), np.log1p(clauses), float(hits > 0),
-            flag("T") * per, flag("y") * per, flag("n") * per, flag("r") * per, np.log1p(hits * per),
+            np.log1p(total), np.log1p(total * per), np.log1p(best), best, np.log1p(clauses), total / max(1, clauses), float(clauses > 0),
+            sums["T"] * per, sums["y"] * per, sums["n"] * per, sums["r"] * per, np.log1p(clauses * per), np.log1p(sums["b"] * per),
         ])
 
 
-N_FEATURES = 12
+N_FEATURES = 13
 
 
 @dataclass
@@ -237,6 +274,19 @@ def _count(texts: list[bytes], patterns: Callable[[str], list[str]], least_docs:
     return all_docs, all_occ, n
 
 
+def _after_intent(texts: list[bytes], words: set[str], reach: int = 3) -> set[str]:
+    """Those of the words that stand within `reach` words of an intent in more than half of their occurrences."""
+    intent, near, all_ = set(WORDS[INTENT]), Counter(), Counter()
+    for t in texts:
+        left = 0
+        for w in _tokens(t):
+            if w in words:
+                all_[w] += 1
+                near[w] += left > 0
+            left = reach if w in intent else left - 1
+    return {w for w in words if 2 * near[w] > all_[w]}
+
+
 def learn_lexicon(bad: list[bytes], good: list[bytes], least_docs: int = 4, least_odds: float = 1.2) -> Lexicon:
     """Words and stems that mark toxic rows: log-odds of their rate among all words, in `least_docs` toxic rows at least.
 
@@ -268,11 +318,15 @@ def learn_lexicon(bad: list[bytes], good: list[bytes], least_docs: int = 4, leas
         by_docs = np.log((docs[p] + 0.5) / (len(bad) + 1)) - np.log((docs_good[p] + 2.0) / (len(good) + 1))
         odds[p] = float(min(by_words, by_docs))
     out = Lexicon.seeds()
+    fixed = {w for w, (kind, _) in out.exact.items() if kind not in (INSULT, THREAT)}
+    threats = _after_intent(bad, {p[:-1] for p in odds if p.endswith("$") and odds[p] >= least_odds})
     for p in sorted(odds, key=len):
         if odds[p] < least_odds:
             continue
         if p.endswith("$"):
-            out.exact[p[:-1]] = (INSULT, min(odds[p], 6.0))
+            if p[:-1] not in fixed:
+                kind = THREAT if p[:-1] in threats or out.exact.get(p[:-1], (INSULT,))[0] == THREAT else INSULT
+                out.exact[p[:-1]] = (kind, min(odds[p], 6.0))
             continue
         shorter = next((out.stems[p[:n]] for n in range(len(p) - 1, STEM[0] - 1, -1) if p[:n] in out.stems), None)
         if shorter is None or abs(odds[p] - shorter) > 0.7:
@@ -316,7 +370,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         part = own.filter(F.col("toxic") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(share * per_label)
         picked = part if picked is None else picked.unionByName(part)
     # 3 * per_label rows of two numbers at most
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text is not null").join(F.broadcast(picked), "doc_id").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
+    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * per_label).collect()
     rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) % 1000003), r.doc_id, r.text))
     return train([r.text.encode() for r in rows], [r.toxic for r in rows])
 

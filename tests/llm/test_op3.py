@@ -29,6 +29,56 @@ def test_composed_machine_reads_context():
     assert op3.Transducer(hand, 3).then(op3.Transducer({(0, "Y"): (0, "Z", 2.0)}, 1)).arcs[0, "Y"] == (2, "Z", 2.0)
 
 
+def test_threats_of_several_words():
+    g = op3.grammar()
+    assert run(g, "MOT") == (["O", "O", "T"], 1.5) and run(g, "MOOOT") == (["O", "O", "O", "O", "T"], 1.0)
+    assert run(g, "KYB")[0] == ["O", "Y", "Ty"] and run(g, "B")[0] == ["O"] and run(g, "KOOOB")[0][-1] == "O" and run(g, "KEB")[0][-1] == "O"
+    assert run(g, "IOI") == (["I", "O", "I"], 1.25)
+    s = op3.Scorer(op3.Lexicon.seeds())
+    assert s.features(b"i will break your neck .")[7] > 0 == s.features(b"my neck and my back .")[7]
+
+
+def slow_features(text):
+    """Matched clauses of a text by reading each clause by itself."""
+    lex, g, out = op3.Lexicon.seeds(), op3.grammar(), []
+    clause = []
+    for token in [*text.split(), b"."]:
+        kind, weight, end = lex.look(token)
+        clause.append((op3.SYMBOLS[kind], weight))
+        if end:
+            state, total, bare, target = 0, 0.0, True, False
+            for x, w in clause:
+                state, y, f = g.arcs[state, x]
+                if y in op3.OUTPUTS:
+                    total, target = total + w * f, target or "y" in y
+                    bare = bare and f == 1.0 and not target
+            out += [total * (op3.BARE if bare else 1.0)] if total else []
+            clause = []
+    return sorted(out)
+
+
+def test_clauses_by_brute_force():
+    rng = np.random.default_rng(1)
+    vocab = [w for ws in op3.WORDS.values() for w in ws] + ["calm", "word", "more", "."] * 12
+    s = op3.Scorer(op3.Lexicon.seeds())
+    for _ in range(60):
+        text = " ".join(rng.choice(vocab, rng.integers(0, 60))).encode()
+        want, got = slow_features(text), s.features(text)
+        assert np.allclose(got[[0, 3, 4, 5]], [np.log1p(sum(want)), max(want, default=0), np.log1p(len(want)), sum(want) / max(1, len(want))])
+
+
+def test_a_bare_word_counts_less_than_a_clause_with_context():
+    s = op3.Scorer(op3.Lexicon.seeds())
+    assert s.features(b"the idiot .")[0] < s.features(b"you idiot .")[0]
+
+
+def test_learning_keeps_other_classes_and_finds_threats():
+    bad = [b"they will zap him and you grubface will zap her " * 3] * 9
+    good = [b"quiet words of the day " * 20] * 9
+    exact = op3.learn_lexicon(bad, good).exact
+    assert exact["zap"][0] == op3.THREAT and exact["grubface"][0] == op3.INSULT and exact["you"][0] == op3.TARGET and exact["will"][0] == op3.INTENT
+
+
 def test_features_see_clauses_not_words():
     s = op3.Scorer(op3.Lexicon.seeds())
     plain, negated = s.features(b"you are an idiot ."), s.features(b"he is not an idiot .")
