@@ -11,7 +11,7 @@ bare words matched, without target, pile, intent or harm, it is BARE of that. Al
 clauses, which a logistic model turns into a score.
 
 Insult and threat words, insult word stems and their weights are learned from labelled rows on the learning side of the split (at
-most `per_label` rows of each label, twice as many of label 0, of at most TRAIN_BYTES bytes, smallest hashes first): half of them give
+most `per_label` rows of each label, twice as many of label 0, and TRAIN_BYTES bytes, smallest hashes first): half of them give
 the lexicon, the other half the logistic weights. A learned word is a threat where it mostly follows an intent, else an
 insult; words of the other classes keep them. A short list of general words stands behind the learned ones.
 
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import chunks, raw, table, to_batch
 from .op7_language_id import remainder
 
-PER_LABEL, TRAIN_BYTES = 3000, 1 << 15
-BARE = 0.6
+PER_LABEL, TRAIN_BYTES = 3000, 128 << 20
+BARE, SURE = 0.6, 2.0
 STEM = (3, 8)
 DDL = "doc_id long, held_out boolean, score double, predicted int"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -195,7 +195,7 @@ class Scorer:
             self.known.clear()
         got = list(map(self.known.__getitem__, words))
         sums = dict.fromkeys("ITynrb", 0.0)  # of matched clauses: with insult, threat, target, negation, report; bare ones
-        weights = []
+        weights, strong, sure = [], 0.0, 0.0  # strong: what path weights have over SURE; sure: paths of such weight
         if any(w > 0 for _, w, _ in got):
             state, n, clause, marks, bare = 0, len(SYMBOLS), 0.0, set(), True
             nxt, out, factor = self.next, self.out, self.factor
@@ -203,7 +203,9 @@ class Scorer:
                 k = state * n + kind
                 state = nxt[k]
                 if out[k] >= 0:
-                    clause += weight * factor[k]
+                    clause += (w := weight * factor[k])
+                    strong += max(0.0, w - SURE)
+                    sure += w > SURE
                     marks.update(OUTPUTS[out[k]])
                     bare &= factor[k] == 1.0 and "y" not in marks
                 if end:
@@ -218,11 +220,11 @@ class Scorer:
         per = 100 / (size + 20)
         return np.array([
             np.log1p(total), np.log1p(total * per), np.log1p(best), best, np.log1p(clauses), total / max(1, clauses), float(clauses > 0),
-            sums["T"] * per, sums["y"] * per, sums["n"] * per, sums["r"] * per, np.log1p(clauses * per), np.log1p(sums["b"] * per),
+            sums["T"] * per, sums["y"] * per, sums["n"] * per, sums["r"] * per, np.log1p(clauses * per), np.log1p(sums["b"] * per), np.log1p(strong), np.log1p(strong * per), np.log1p(sure), np.log1p(sure * per),
         ])
 
 
-N_FEATURES = 13
+N_FEATURES = 17
 
 
 @dataclass
@@ -369,9 +371,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     for k, share in ((1, 1), (0, 2)):
         part = own.filter(F.col("toxic") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(share * per_label)
         picked = part if picked is None else picked.unionByName(part)
-    # 3 * per_label rows of two numbers at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * per_label).collect()
+    # 3 * per_label rows of a few numbers at most; only documents that fit the bound are fetched
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(picked), "doc_id")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(3 * per_label).collect()
+    taken, total, ids = 0, 0, set()
+    for r in sizes:
+        if total + r.n <= TRAIN_BYTES:
+            total, taken = total + r.n, taken + 1
+            ids.add(r.doc_id)
+    few = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "doc_id long")
+    rows = texts.join(F.broadcast(few), "doc_id", "left_semi").filter(F.octet_length("text") <= TRAIN_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).limit(taken).collect()
     rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) % 1000003), r.doc_id, r.text))
     return train([r.text.encode() for r in rows], [r.toxic for r in rows])
 
