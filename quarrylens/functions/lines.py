@@ -22,20 +22,38 @@ def total_lines(text: C) -> Column:
     return F.size(lines_of(text)).cast("long")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used: lambdas share no common subexpressions."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _count(text: C) -> Column:
+    """Number of lines, from the line ends alone."""
+    t = col(text)
+    return (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + F.when((t == "") | t.endswith("\n"), 0).otherwise(1)).cast("long")
+
+
+def _trimmed_lines(text: C) -> Column:
+    """The lines without blanks at their edges, trimmed in one pass over the text."""
+    return F.split(F.regexp_replace(col(text), r"(?Umd)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""), "\n")
+
+
 def hash_comment_counts(text: C) -> Column:
     """struct(total, code, comment) for `#` languages: a code line that holds a `#` counts as both."""
-    t = F.transform(lines_of(text), trimmed)
-    code = F.size(F.filter(t, lambda x: (x != "") & ~x.startswith("#")))
-    comment = F.size(F.filter(t, lambda x: x.contains("#")))
-    return F.struct(total_lines(text).alias("total"), code.cast("long").alias("code"), comment.cast("long").alias("comment"))
+
+    def sums(t: Column) -> Column:
+        code = F.size(F.filter(t, lambda x: (x != "") & ~x.startswith("#")))
+        comment = F.size(F.filter(t, lambda x: x.contains("#")))
+        return F.struct(_count(text).alias("total"), code.cast("long").alias("code"), comment.cast("long").alias("comment"))
+
+    return _let(_trimmed_lines(text), sums)
 
 
 def block_comment_counts(text: C, blank_in_block: bool = True) -> Column:
     """struct(total, code, comment) for languages with `//` and `/* */`; blank lines in a block count if so told."""
     zero = F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("comment"), F.lit(False).alias("block"))
 
-    def step(s: Column, line: Column) -> Column:
-        t = trimmed(line)
+    def step(s: Column, t: Column) -> Column:
         blank = t == ""
         inside = s["block"]
         opens = t.startswith("/*")
@@ -44,8 +62,9 @@ def block_comment_counts(text: C, blank_in_block: bool = True) -> Column:
         block = F.when(blank, inside).when(inside, ~t.contains("*/")).otherwise(opens & ~t.contains("*/"))
         return F.struct((s["code"] + is_code.cast("long")).alias("code"), (s["comment"] + is_comment.cast("long")).alias("comment"), block.alias("block"))
 
-    folded = F.aggregate(lines_of(text), zero, step)
-    return F.struct(total_lines(text).alias("total"), folded["code"].alias("code"), folded["comment"].alias("comment"))
+    lines = F.slice(_trimmed_lines(text), F.lit(1), F.greatest(_count(text), F.lit(0)).cast("int"))
+    folded = F.aggregate(lines, zero, step, lambda s: F.struct(_count(text).alias("total"), s["code"].alias("code"), s["comment"].alias("comment")))
+    return folded
 
 
 def counts(text: C, lang: C) -> Column:

@@ -152,7 +152,8 @@ def content_hash(s: C) -> Column:
 def calls(line: C, function: str) -> Column:
     """Whether the line calls the function: its name before a parenthesis and not the end of a longer name."""
     quoted = function.replace(".", r"\.")
-    return col(line).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){quoted}\(")
+    found = col(line).contains(function + "(")  # a plain search first: the pattern is tried where it can match
+    return found & col(line).rlike(rf"(^|[^\p{{L}}\p{{N}}_]){quoted}\(")
 
 
 def string_arg(line: C) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,10 @@ def findings(files: DataFrame, key: Sequence[str], text: str, calls: dict = CALL
     dunder = line.contains("__import__") & line.contains("(")
     by_name = F.when(module, "importlib.import_module").when(dunder, "__import__")
     hits.append(F.when(module | dunder, F.struct(F.lit("dynamic_import").alias("category"), by_name.alias("function"), S.string_arg(line).alias("target"))))
-    lines = files.select(*key, F.posexplode(L.lines_of(text)).alias("__pos", "__line"))
+    # most lines hold none of the names: one search leaves them out before the patterns are tried
+    words = sorted({f.split(".")[-1] for functions in calls.values() for f in functions} | {"import_module", "__import__"})
+    any_of = lambda c: reduce(or_, [c.contains(w) for w in words])
+    lines = files.select(*key, F.posexplode(L.lines_of(text)).alias("__pos", "__line")).filter(any_of(line))
     code = L.trimmed(line)
     lines = lines.filter((code != "") & ~code.startswith("#"))
     found = lines.select(*key, (F.col("__pos") + 1).cast("long").alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("f"))
