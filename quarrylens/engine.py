@@ -77,11 +77,11 @@ class Analysis:
 
     @cached_property
     def structure_edges(self) -> DataFrame:
-        """DefinedIn (class or function to file) and Inherits (class to class of that name) edges."""
+        """DefinedIn (class or function to file) and Inherits (class to the class that its base names) edges."""
         d = self.classes.select(F.col("class_id").alias("src"), F.lit("class").alias("src_kind"), F.col("file_id").alias("dst"), F.lit("file").alias("dst_kind"), F.lit("DefinedIn").alias("kind"))
         f = self.functions.select(F.col("function_id").alias("src"), F.lit("function").alias("src_kind"), F.col("file_id").alias("dst"), F.lit("file").alias("dst_kind"), F.lit("DefinedIn").alias("kind"))
-        base = self.classes.select(F.col("class_id").alias("src"), F.explode("bases").alias("b")).withColumn("name", F.element_at(F.split("b", r"\."), -1))
-        inh = base.join(self.classes.select(F.col("class_id").alias("dst"), "name"), "name").select("src", F.lit("class").alias("src_kind"), "dst", F.lit("class").alias("dst_kind"), F.lit("Inherits").alias("kind"))
+        inh = graph.inherits(self.classes, self.imports.drop("path"), self.files, self.compat)
+        inh = inh.select("src", F.lit("class").alias("src_kind"), "dst", F.lit("class").alias("dst_kind"), F.lit("Inherits").alias("kind"))
         return d.unionByName(f).unionByName(inh)
 
     @cached_property
@@ -141,7 +141,7 @@ class Analysis:
 
     def diagnostics(self, open_files: DataFrame) -> DataFrame:
         """Findings for open files (path)."""
-        ring = self.cycles.select(F.xxhash64("cycle").alias("cycle_id"), F.posexplode("cycle").alias("pos", "file_id"))
+        ring = self.cycles.select(F.array_join("cycle", "-").alias("cycle_id"), F.posexplode("cycle").alias("pos", "file_id"))
         ring = ring.join(self.files.select("file_id", "path"), "file_id").select("cycle_id", "pos", "path")
         return G.findings(self.files, self.classes, self.file_metrics, ring, open_files)
 

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..session import cut
 
 
 def number(df: DataFrame, name: str, *order) -> DataFrame:
     """Dense numbers from 0 in the given order, without one task that holds all rows.
 
-    Rows are range-partitioned in that order; counts of the partitions before are added to the number inside.
+    Rows are range-partitioned in that order; counts of the partitions before are added to the number inside. The
+    partitioned rows are written once: a second evaluation would draw another sample and so other ranges.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))  # a row for each partition

@@ -262,3 +262,26 @@ def filter_files(files: DataFrame, patterns: Iterable[str] = (), module: str = "
     for p in patterns[1:]:
         keep = keep | S.glob_match(p, module)
     return files.filter(keep)
+
+
+def inherits(classes: DataFrame, imports: DataFrame, files: DataFrame, compat: bool = False) -> DataFrame:
+    """(src, dst): each class and the classes that its bases name.
+
+    A base is looked up among the classes of its own file, else among the names that the file imports from files of the
+    project, else, by its last part, among the classes whose name no other class of the project has.
+    """
+    from .resolve import import_edges
+
+    own = classes.select(F.col("class_id").alias("src"), "file_id", F.posexplode("bases").alias("nth", "base"))
+    own = own.withColumn("name", F.element_at(F.split("base", r"\."), -1))
+    all_ = classes.select(F.col("class_id").alias("dst"), F.col("file_id").alias("in_file"), F.col("name").alias("class_name"))
+    key = ["src", "nth"]
+    here = own.join(all_, (F.col("file_id") == F.col("in_file")) & (F.col("name") == F.col("class_name")))
+    open_ = own.join(here.select(*key).distinct(), key, "left_anti")
+    names = imports.withColumn("n", F.explode("names")).withColumn("as_name", F.coalesce("n.alias", "n.name")).withColumn("its_name", F.col("n.name"))
+    names = import_edges(names.drop("names", "n"), files, compat, ("as_name", "its_name")).withColumnsRenamed({"src": "importer", "dst": "imported"}).distinct()
+    there = open_.join(names, (F.col("file_id") == F.col("importer")) & (F.col("name") == F.col("as_name"))).join(all_, (F.col("imported") == F.col("in_file")) & (F.col("its_name") == F.col("class_name")))
+    left = open_.join(there.select(*key).distinct(), key, "left_anti")
+    single = classes.groupBy(F.col("name").alias("class_name")).agg(F.max("class_id").alias("dst"), F.count("*").alias("same")).filter("same = 1")
+    by_name = left.join(single, F.col("name") == F.col("class_name"))
+    return here.select("src", "dst").unionByName(there.select("src", "dst")).unionByName(by_name.select("src", "dst")).filter("src <> dst").distinct()

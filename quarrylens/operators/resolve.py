@@ -60,10 +60,13 @@ def target_module(module_name: Column, module: Column, kind: Column, level: Colu
     return F.when(kind == "Relative", whole).otherwise(module)
 
 
-def import_edges(imports: DataFrame, files: DataFrame, compat: bool = False) -> DataFrame:
-    """(src, dst) of imports that name a known module; self edges go, repeated ones stay; of one name the last file counts."""
+def import_edges(imports: DataFrame, files: DataFrame, compat: bool = False, keep: Iterable[str] = ()) -> DataFrame:
+    """(src, dst) of imports that name a known module; self edges go, repeated ones stay; of one name the last file counts.
+
+    `keep`: columns of the imports to hand on.
+    """
     last = Window.partitionBy("module_name").orderBy(F.desc("file_id"))
     names = files.withColumn("__r", F.row_number().over(last)).filter("__r = 1").select(F.col("module_name").alias("target"), F.col("file_id").alias("dst"))
     me = files.select("file_id", "module_name", F.col("path").rlike(r"(^|/)__init__\.py$").alias("__pkg"))
     own = imports.join(me, "file_id").withColumn("target", target_module(F.col("module_name"), F.col("module"), F.col("kind"), F.coalesce("level", F.lit(0)), F.col("__pkg"), compat))
-    return own.join(names, "target").filter("file_id <> dst").select(F.col("file_id").alias("src"), "dst")
+    return own.join(names, "target").filter("file_id <> dst").select(F.col("file_id").alias("src"), "dst", *keep)

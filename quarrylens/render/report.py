@@ -25,19 +25,34 @@ return rows.filter(e=>[e.name,e.description||'',e.module].some(s=>s.toLowerCase(
 """
 
 
+# Headings and labels of the Markdown report.
+_TITLE, _STATISTICS, _MODULES, _CLASSES = "# ", "## Project Statistics", "## Modules", "## Classes"
+_FILES, _N_CLASSES, _N_FUNCTIONS, _LINES, _TYPE = "- **Files:** ", "- **Classes:** ", "- **Functions:** ", "- **Lines of Code:** ", "- **Type:** "
+_ITEM, _BASES = "### ", "Inherits from: "
+
+
+def markdown_rows(a: Analysis) -> DataFrame:
+    """Lines of the report's modules and classes: part ('module' or 'class'), sort key, place and line."""
+    text = lambda *parts: F.concat(*[F.col(x) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+    m = a.modules.select(F.lit("module").alias("part"), F.struct(F.split("path", "/").alias("path"), F.lit(0).cast("long").alias("id")).alias("key"), F.array(
+        text(_ITEM, "module"), F.lit(""), F.concat(F.lit(_FILES), F.col("file_count").cast("string")), text(_TYPE, "module_type"), F.lit("")).alias("lines"))
+    bases = F.when(F.size("bases") > 0, F.array(F.concat(F.lit(_BASES), F.array_join("bases", ", ")), F.lit(""))).otherwise(F.array())
+    doc = F.when(F.length("docstring") > 0, F.array(F.col("docstring"), F.lit(""))).otherwise(F.array())
+    c = a.classes.select(F.lit("class").alias("part"), F.struct(F.array().cast("array<string>").alias("path"), F.col("class_id").alias("id")).alias("key"), F.concat(F.array(text(_ITEM, "name"), F.lit("")), bases, doc).alias("lines"))
+    return m.unionByName(c).select("part", "key", F.posexplode("lines").alias("place", "line"))
+
+
 def markdown(a: Analysis, name: str | None = None) -> str:
     s = a.stats.first()
-    out = [f"# {name or a.config.project.name}", "", "## Project Statistics", "", f"- **Files:** {s.files}", f"- **Classes:** {s.classes}", f"- **Functions:** {s.functions}", f"- **Lines of Code:** {s.code_lines}", "", "## Modules", ""]
-    for m in a.modules.orderBy(F.split("path", "/")).toLocalIterator():
-        out += [f"### {m.module}", "", f"- **Files:** {m.file_count}", f"- **Type:** {m.module_type}", ""]
-    out += ["## Classes", ""]
-    for c in a.classes.orderBy("class_id").toLocalIterator():
-        out += [f"### {c.name}", ""]
-        if c.bases:
-            out += [f"Inherits from: {', '.join(c.bases)}", ""]
-        if c.docstring:
-            out += [c.docstring, ""]
-    return "\n".join(out) + "\n"
+    out = [_TITLE + (name or a.config.project.name), "", _STATISTICS, "", f"{_FILES}{s.files}", f"{_N_CLASSES}{s.classes}", f"{_N_FUNCTIONS}{s.functions}", f"{_LINES}{s.code_lines}", "", _MODULES, ""]
+    rows = markdown_rows(a).orderBy(F.col("part") == "class", "key", "place")
+    last = "module"
+    for r in rows.toLocalIterator():
+        if r.part != last:
+            out += [_CLASSES, ""]
+            last = r.part
+        out.append(r.line)
+    return "\n".join(out if last == "class" else [*out, _CLASSES, ""]) + "\n"
 
 
 def graph_json(a: Analysis) -> DataFrame:

@@ -232,11 +232,7 @@ def rust(text: str) -> dict:
         end = body[1] if body else s.masked.find(";", m.end())
         bases = {"enum": ["Enum"], "trait": ["Trait"]}.get(m[1], [])
         methods = [_rs_fn(s, k, k[2]) for k in _RS_FN.finditer(s.masked, body[0], body[1]) if s.depth[k.start(2)] == 1] if m[1] == "trait" and body else []
-        attrs = []
-        if m[1] == "struct" and body:
-            for k in re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(\w+)\s*:\s*([^,\n]+)", re.M).finditer(s.masked, body[0] + 1, body[1]):
-                attrs.append(M.attribute(k[1], s.line(k.start(1)), k[2].strip()))
-        out["classes"].append(M.klass(m[2], s.line(m.start(2)), s.line(end), bases, methods, attrs, s.doc(m.start()), _rs_attrs(s, m.start(2))))
+        out["classes"].append(M.klass(m[2], s.line(m.start(2)), s.line(end), bases, methods, [], s.doc(m.start()), _rs_attrs(s, m.start(2))))
     for m in s.find(_RS_IMPL):
         head = re.sub(r"\bwhere\b.*", "", m[1], flags=re.S).strip()
         trait, _, kind = head.rpartition(" for ")
@@ -376,7 +372,7 @@ _C_INCLUDE = re.compile(r"^[ \t]*#[ \t]*include[ \t]*([<\"])([^>\"\n]+)[>\"]", r
 _C_FUNC = re.compile(r"(?:^|(?<=[{};]))[ \t]*((?:[\w:<>,*&~\[\] \t]|\boperator\b[^\s\w(]+)+?[\s*&])?((?:\w+::)*~?\w+|(?:\w+::)*operator\s*[^\s\w(]+)[ \t]*\(", re.M)
 _C_TYPE = re.compile(r"(?:^|(?<=[{};]))[ \t]*(typedef\s+)?(struct|enum class|enum struct|enum|union|class)\s+(\w+)?\s*(?:final\s*)?(?::\s*([^{;]+))?\{", re.M)
 _C_TYPEDEF = re.compile(r"^[ \t]*typedef\s+([^;{}]+?)\s*\b(\w+)\s*;", re.M)
-_C_GLOBAL = re.compile(r"^[ \t]*((?:(?:static|const|extern|volatile|unsigned|signed|long|short|constexpr|inline)\s+)*[A-Za-z_][\w:<>]*(?:\s*\*+)?)\s+\**(\w+)(?:\[[^\]]*\])*\s*(?:=\s*([^;{]+|\{[^;]*\}))?;", re.M)
+_C_GLOBAL = re.compile(r"(?:^|(?<=[{};]))[ \t]*((?:(?:static|const|extern|volatile|unsigned|signed|long|short|constexpr|inline)\s+)*[A-Za-z_][\w:<>]*(?:\s*\*+)?)\s+\**(\w+)(?:\[[^\]]*\])*\s*(?:=\s*([^;{]+|\{[^;]*\}))?;", re.M)
 _NAMESPACE = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:inline\s+)?namespace\s+([\w:]+)\s*\{", re.M)
 _NOT_NAMES = {"if", "for", "while", "switch", "return", "sizeof", "catch", "else", "do", "new", "delete", "throw", "defined", "alignas", "decltype", "static_assert"}
 

@@ -205,3 +205,14 @@ def test_command_line(spark, root, tmp_path, capsys):
     assert cli.main(["export", str(root), "-f", "dot", "-o", str(tmp_path / "g.dot")]) == 0 and (tmp_path / "g.dot").read_text().startswith("digraph")
     assert cli.main(["analyze", str(root / "none")]) == 1
     assert cli.main(["version"]) == 0
+
+
+def test_numbers_are_dense_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylens.operators.entities import number
+
+    df = spark.range(0, 60_000, 1, 16).select((F.col("id") * 7919 % 60_013).alias("k"))
+    assert number(df, "n", F.col("k")).select(F.count("*"), F.max("n"), F.countDistinct("n")).first()[:] == (60_000, 59_999, 60_000)
+    rank = {r.k: r.n for r in number(df, "n", F.col("k")).collect()}
+    assert [rank[k] for k in sorted(rank)] == list(range(60_000))
