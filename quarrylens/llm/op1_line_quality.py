@@ -30,6 +30,9 @@ PHRASES = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "log in",
     "privacy policy", "read more", "share this", "sign in", "sign up", "skip to content", "subscribe to",
     "terms of service", "terms of use", "you may also like",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "jetzt anmelden", "mehr erfahren", "newsletter abonnieren", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "cliquez ici", "en savoir plus", "lire la suite", "politique de confidentialité", "tous droits réservés", "s'abonner à la newsletter",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "leer más", "política de privacidad", "saltar al contenido", "suscríbete a", "todos los derechos reservados",
 )
 WINDOW = 5
 
@@ -184,7 +187,7 @@ def _count(text: str, chars: str) -> str:
 
 
 def oracle(rules: LineRules = LineRules()) -> str:
-    phrases = " OR ".join(f"contains(low, '{p}')" for p in rules.phrases)
+    phrases = " OR ".join(f"contains(low, '{_q(p)}')" for p in rules.phrases)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
