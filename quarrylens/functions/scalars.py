@@ -177,7 +177,8 @@ def class_detail(doc: C) -> Column:
 
 
 def url_path(s: C) -> Column:
-    return F.url_decode(F.replace(F.element_at(F.split(col(s), r"\?"), 1), F.lit("+"), F.lit("%2B")))
+    path = F.element_at(F.split(col(s), r"\?"), 1)
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)  # a malformed % stays as it is
 
 
 def content_type(path: C) -> Column:
@@ -253,6 +254,23 @@ def inherits_from(bases: C, base: str) -> Column:
     return F.exists(col(bases), lambda b: (b == base) | b.endswith("." + base))
 
 
+def is_method(class_id: C) -> Column:
+    return col(class_id).isNotNull()
+
+
+def is_empty(classes: C, functions: C, constants: C) -> Column:
+    """Whether a parsed file declares nothing; imports alone do not count."""
+    return (F.size(col(classes)) == 0) & (F.size(col(functions)) == 0) & (F.size(col(constants)) == 0)
+
+
+def public_methods(methods: C) -> Column:
+    return F.filter(col(methods), lambda m: is_public(m["name"]))
+
+
+def special_methods(methods: C) -> Column:
+    return F.filter(col(methods), lambda m: is_special(m["name"]))
+
+
 def is_test(name: C, decorators: C) -> Column:
     return col(name).startswith("test_") | F.exists(col(decorators), lambda d: d.contains("test"))
 

@@ -265,6 +265,17 @@ def diagnostics(spark, sf_dir):
     return out.withColumn("related", F.array_join("related", ","))
 
 
+@query("published_diagnostics", """SELECT 'src/o' || o_orderkey || '.py' AS path, (CASE WHEN o_orderkey % 40 > 20 THEN 1 ELSE 0 END)::INT AS count FROM orders WHERE o_orderkey % 2 = 0""")
+def published_diagnostics(spark, sf_dir):
+    k = F.col("o_orderkey")
+    f = read(spark, sf_dir, "orders").select(k.alias("file_id"), F.concat(F.lit("src/o"), k, F.lit(".py")).alias("path"), F.lit("doc").alias("docstring"))
+    c = f.select("file_id", F.lit("C").alias("name"), F.lit(1).alias("line_start"), F.lit("doc").alias("docstring")).limit(0)
+    m = f.select("file_id", (F.col("file_id") % 40).alias("complexity"), F.lit(0).cast("long").alias("function_count"))
+    ring = f.select(F.col("file_id").alias("cycle_id"), F.col("file_id").alias("pos"), "path").limit(0)
+    asked = f.filter("file_id % 2 = 0")
+    return T.published_diagnostics(G.findings(f, c, m, ring, asked), asked).select("path", "count")
+
+
 # cache: an earlier scan lacks every fifth document, has other times for every second and other texts for every third
 _CACHE = "c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS mtime, CASE WHEN doc_id % 3 = 0 THEN '' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 > 0)"
 

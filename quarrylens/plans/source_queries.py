@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..engine import Analysis
+from ..functions import scalars as S
+from ..operators import symbols as Y
 from ..render import report
 from ..sources import parsers
 from .registry import query, read
@@ -204,3 +206,40 @@ def project_json(spark, sf_dir):
 UNION ALL SELECT '- **Type:** Generic', 'module' FROM f GROUP BY b UNION ALL SELECT '### C' || k, 'class' FROM f UNION ALL SELECT 'Inherits from: C' || nk, 'class' FROM f WHERE nk IS NOT NULL UNION ALL SELECT 'Class ' || k || '.', 'class' FROM f)""")
 def project_markdown(spark, sf_dir):
     return report.markdown_rows(project(spark, sf_dir)).filter("line <> ''").select("line", "part")
+
+
+@query("project_predicates", f"""WITH {_P} SELECT path, false AS is_empty, 'get' AS public_methods, '' AS special_methods, 'os' AS first_import, true AS inherits FROM f WHERE nk IS NOT NULL
+UNION ALL SELECT path, false, 'get', '', 'os', false FROM f WHERE nk IS NULL""")
+def project_predicates(spark, sf_dir):
+    names = lambda xs: F.array_join(F.transform(xs, lambda m: m["name"]), ",")
+    c = F.element_at("classes", 1)
+    return project(spark, sf_dir).parsed.select(
+        "path", S.is_empty("classes", "functions", "constants").alias("is_empty"), names(S.public_methods(c["methods"])).alias("public_methods"), names(S.special_methods(c["methods"])).alias("special_methods"),
+        F.element_at("imports", 1)["module"].alias("first_import"), F.exists(c["bases"], lambda b: b.startswith("C")).alias("inherits"))
+
+
+@query("imported_names", f"WITH {_P} SELECT path, CASE WHEN nk IS NULL THEN 'sys' ELSE 'C' || nk END AS used FROM f UNION ALL SELECT path, 'os' FROM f")
+def imported_names(spark, sf_dir):
+    n = project(spark, sf_dir).imports.select("path", F.explode("names").alias("n"))
+    return n.select("path", S.used_name("n.alias", "n.name").alias("used"))
+
+
+@query("method_flags", f"WITH {_P} SELECT 'get' AS name, true AS is_method, false AS is_test, count(*)::BIGINT AS n FROM f UNION ALL SELECT 'run', false, false, count(*) FROM f")
+def method_flags(spark, sf_dir):
+    f = project(spark, sf_dir).functions.select(F.element_at(F.split("name", "_"), 1).alias("name"), S.is_method("class_id").alias("is_method"), S.is_test("name", "decorators").alias("is_test"))
+    return f.groupBy("name", "is_method", "is_test").agg(F.count("*").alias("n"))
+
+
+@query("hover_module", f"""WITH {_P} SELECT path, '## Module: ' || module_name || chr(10) || chr(10) || '| Property | Value |' || chr(10) || '|----------|-------|' || chr(10) || '| Language | Python |' || chr(10)
+ || '| Dependencies | ' || CASE WHEN nk IS NULL THEN 0 ELSE 1 END || ' |' || chr(10) || '| Classes | 1 |' || chr(10) || '| Functions | 1 |' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Module ' || k || '.' AS text FROM f""")
+def hover_module(spark, sf_dir):
+    a = project(spark, sf_dir)
+    count = lambda df, name: df.groupBy("file_id").agg(F.count("*").alias(name))
+    d = a.edges.groupBy(F.col("src").alias("file_id")).agg(F.count("*").alias("dependencies"))
+    m = a.files.join(d, "file_id", "left").join(count(a.classes, "n_classes"), "file_id", "left").join(count(a.functions.filter(~S.is_method("class_id")), "n_functions"), "file_id", "left").fillna(0, ["dependencies"])
+    return m.select("path", Y.hover_module("module_name", "language", "dependencies", "n_classes", "n_functions", "docstring").alias("text"))
+
+
+@query("project_summary", f"""WITH {_P} SELECT 'Analyzed ' || count(*) || ' files: ' || count(*) || ' classes, ' || 2 * count(*) || ' functions, ' || count(nk) || ' imports' AS line FROM f""")
+def project_summary(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in report.console_summary(project(spark, sf_dir)).split("\n")], "line string")

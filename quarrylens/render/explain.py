@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Llm
 from ..engine import Analysis
+from ..errors import ConfigError
 from ..functions import scalars as S
 
 
@@ -35,6 +40,28 @@ def requests(a: Analysis) -> DataFrame:
     return module.unionByName(klass).unionByName(func)
 
 
+def provider_of(llm: Llm, timeout: float = 60.0) -> Callable[[str], str] | None:
+    """The provider that the configuration names, as a function from prompt to text; None where explanations are off."""
+    if not llm.enabled:
+        return None
+    if llm.provider == "openai":
+        key = llm.api_key or os.environ.get("OPENAI_API_KEY")
+        if not key:
+            raise ConfigError("OpenAI API key not configured")
+        url, head = f"{llm.api_url or 'https://api.openai.com/v1'}/chat/completions", {"Authorization": f"Bearer {key}"}
+        body, text = lambda p: {"model": llm.model, "messages": [{"role": "user", "content": p}]}, lambda r: r["choices"][0]["message"]["content"]
+    else:
+        url, head = f"{llm.api_url or 'http://localhost:11434'}/api/generate", {}
+        body, text = lambda p: {"model": llm.model, "prompt": p, "stream": False}, lambda r: r["response"]
+
+    def ask(prompt: str) -> str:
+        request = urllib.request.Request(url, json.dumps(body(prompt)).encode(), {"Content-Type": "application/json", **head})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return text(json.load(answer))
+
+    return ask
+
+
 def explain(asked: DataFrame, provider: Callable[[str], str] | None = None) -> DataFrame:
     """kind, id, text. Equal prompts are asked once; any error of the provider gives the template's text."""
     if provider is None:

@@ -17,11 +17,14 @@ from ..operators import diagrams as D
 
 _PAGE = Template("""<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>$title</title><link rel="stylesheet" href="${up}assets/style.css"></head>
-<body><nav><a href="${up}index.html">$project</a></nav><main>$body</main><script src="${up}assets/search.js"></script></body></html>
+<body><nav><a href="${up}index.html">$project</a> <input id="search" data-up="${up}" placeholder="Search"><ul id="found"></ul></nav><main>$body</main><script src="${up}assets/search.js"></script></body></html>
 """)
 _STYLE = "body{font-family:sans-serif;margin:2rem auto;max-width:60rem}nav{border-bottom:1px solid #ccc;padding-bottom:.5rem}table{border-collapse:collapse}td,th{padding:.2rem .8rem;text-align:left}code{background:#f4f4f4}"
-_SEARCH = """async function find(q){q=q.trim().toLowerCase();if(!q)return[];const r=await fetch('search.json');const rows=await r.json();
+_SEARCH = """async function find(q){q=q.trim().toLowerCase();if(!q)return[];const r=await fetch(box.dataset.up+'search.json');const rows=await r.json();
 return rows.filter(e=>[e.name,e.description||'',e.module].some(s=>s.toLowerCase().includes(q))).slice(0,10)}
+const box=document.getElementById('search'),list=document.getElementById('found');
+box.addEventListener('input',async()=>{const rows=await find(box.value);list.replaceChildren(...rows.map(e=>{const li=document.createElement('li'),a=document.createElement('a');
+a.href=box.dataset.up+e.path;a.textContent=e.kind+' '+e.name;li.append(a);return li}))});
 """
 
 

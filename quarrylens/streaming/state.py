@@ -46,15 +46,25 @@ def follow_open_state(events: DataFrame, table_path: str, checkpoint: str, publi
 
 
 def _snapshot(spark, table_path: str, before: int) -> DataFrame | None:
+    """The newest snapshot of an earlier batch that was written to its end."""
     for k in range(before - 1, -1, -1):
-        try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/batch={k}/_SUCCESS")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return spark.read.parquet(f"{table_path}/batch={k}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
     return None
 
 
+def published_diagnostics(findings: DataFrame, open_files: DataFrame) -> DataFrame:
+    """One row for each open file: path and its findings in the order of their lines; files without any get an empty list.
+
+    findings: path, severity, code, line, message, related; each message goes out whole and replaces the one before.
+    """
+    item = F.struct("line", "code", "severity", "message", "related")
+    some = findings.filter("code is not null").groupBy("path").agg(F.sort_array(F.collect_list(item)).alias("diagnostics"))
+    out = open_files.select("path").distinct().join(some, "path", "left")
+    return out.select("path", F.coalesce(F.size("diagnostics"), F.lit(0)).alias("count"), F.coalesce(F.to_json("diagnostics"), F.lit("[]")).alias("diagnostics"))
+
+
 def reanalyse_on_save(files: DataFrame, analyse: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Hand the files of each micro-batch (a binaryFile stream) to `analyse`, newest version of a path only."""
 
