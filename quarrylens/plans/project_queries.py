@@ -75,14 +75,18 @@ i AS (SELECT f.file_id, f.path, CASE WHEN f.file_id % 5 = 0 THEN 'os.path' WHEN
   CASE WHEN f.file_id % 5 = 2 THEN 'Relative' ELSE 'From' END AS kind, 1 + f.file_id % 2 AS level FROM f JOIN f n ON n.file_id = f.file_id + 1)"""
 
 
-def page_files(spark, sf_dir):
-    base = F.replace("base", F.lit("."), F.lit("_"))
-    p = paths(spark, sf_dir).select("page_id", base.alias("base"))
+def page_files(spark, sf_dir, base="base"):
+    p = paths(spark, sf_dir).select("page_id", F.expr(base).alias("base"))
     return p.select(F.col("page_id").alias("file_id"), F.concat("base", F.when(F.col("page_id") % 2 == 0, ".py").otherwise("/__init__.py")).alias("path"), "base")
 
 
+def importable_files(spark, sf_dir):
+    """The same under names without dots, which an import can spell."""
+    return page_files(spark, sf_dir, "replace(base, '.', '_')")
+
+
 def page_imports(spark, sf_dir):
-    f = page_files(spark, sf_dir)
+    f = importable_files(spark, sf_dir)
     nx = f.select((F.col("file_id") - 1).alias("file_id"), F.col("base").alias("next"))
     k = F.col("file_id") % 5
     leaf = F.element_at(F.split(F.when(F.col("file_id") % 3 == 0, F.col("base")).otherwise(F.col("next")), "/"), -1)
@@ -100,18 +104,18 @@ res AS (SELECT file_id, module, found, tp, kind, CASE WHEN kind = 'Relative' THE
 
 @query("import_resolution", f"WITH {_CLASSIFIED} SELECT file_id, module, import_type, CASE WHEN import_type = 'Local' THEN replace(tp, '/', '.') WHEN kind = 'Relative' THEN NULL ELSE module END AS resolved_module, CASE WHEN import_type = 'Local' THEN found END AS resolved_path FROM res")
 def import_resolution(spark, sf_dir):
-    r = R.classify(page_imports(spark, sf_dir), page_files(spark, sf_dir))
+    r = R.classify(page_imports(spark, sf_dir), importable_files(spark, sf_dir))
     return r.select("file_id", "module", "import_type", "resolved_module", "resolved_path")
 
 
 @query("local_imports", f"WITH {_CLASSIFIED} SELECT file_id, module FROM res WHERE import_type = 'Local'")
 def local_imports(spark, sf_dir):
-    return R.classify(page_imports(spark, sf_dir), page_files(spark, sf_dir)).filter("import_type = 'Local'").select("file_id", "module")
+    return R.classify(page_imports(spark, sf_dir), importable_files(spark, sf_dir)).filter("import_type = 'Local'").select("file_id", "module")
 
 
 @query("import_metrics", f"WITH {_CLASSIFIED} SELECT file_id, count(*)::BIGINT AS imports_total, (count(*) FILTER (import_type = 'Stdlib'))::BIGINT AS imports_stdlib, (count(*) FILTER (import_type = 'ThirdParty'))::BIGINT AS imports_third_party, (count(*) FILTER (import_type = 'Local'))::BIGINT AS imports_local, (count(*) FILTER (import_type = 'Unknown'))::BIGINT AS imports_unknown FROM res GROUP BY file_id")
 def import_metrics(spark, sf_dir):
-    return M.import_metrics(R.classify(page_imports(spark, sf_dir), page_files(spark, sf_dir)))
+    return M.import_metrics(R.classify(page_imports(spark, sf_dir), importable_files(spark, sf_dir)))
 
 
 @query("import_edges", "SELECT a.l_partkey AS src, b.p_partkey AS dst FROM lineitem a JOIN part b ON b.p_partkey = a.l_suppkey WHERE a.l_partkey <> b.p_partkey AND b.p_partkey = (SELECT max(p_partkey) FROM part c WHERE c.p_partkey = b.p_partkey)")
