@@ -12,6 +12,9 @@ from . import op7_language_id as op7
 from . import op8_debruijn_dedup as op8
 from . import op9_mixing as op9
 from . import op10_sharding as op10
+from . import op11_merkle_manifest as op11
+from . import op12_prefix_trie as op12
+from . import op13_pivot_search as op13
 
 QUERIES = {
     "op1_line_quality": op1.op1_line_quality,
@@ -24,10 +27,16 @@ QUERIES = {
     "op8_debruijn_dedup": op8.op8_debruijn_dedup,
     "op9_mixing": op9.op9_mixing,
     "op10_sharding": op10.op10_sharding,
+    "op11_merkle_manifest": op11.op11_merkle_manifest,
+    "op12_prefix_trie": op12.op12_prefix_trie,
+    "op13_pivot_search": op13.op13_pivot_search,
 }
 ORACLES = {
     "op1_line_quality": op1.oracle(),
     "op5_jaccard_join": op5.oracle(),
     "op6_suffix_dedup": op6.oracle(),
     "op8_debruijn_dedup": op8.oracle(),
+    "op11_merkle_manifest": op11.oracle(),
+    "op12_prefix_trie": op12.oracle(),
+    "op13_pivot_search": op13.oracle(),
 }

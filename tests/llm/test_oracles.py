@@ -11,7 +11,8 @@ from quarrylens.llm.catalog import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got = QUERIES[name](spark, sf)
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
