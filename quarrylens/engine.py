@@ -16,7 +16,7 @@ from .operators import cache as K
 from .operators import diagnostics as G
 from .operators import dynamic as D
 from .operators import entities as E
-from .operators import graph, metrics, modules, resolve, symbols
+from .operators import graph, metrics, modules, reach, resolve, symbols
 from .session import cut
 from .sources import parsers, scan
 
@@ -147,7 +147,7 @@ class Analysis:
 
     def transitive_imports(self, paths: DataFrame, max_depth: int | None = None) -> DataFrame:
         start = self.files.join(paths.select("path"), "path", "left_semi")
-        return graph.transitive_imports(self.edges.select("src", "dst"), start, max_depth or self.config.analysis.max_depth)
+        return reach.transitive_imports(self.edges.select("src", "dst"), start, max_depth or self.config.analysis.max_depth)
 
     VIEWS = (
         "files", "classes", "functions", "imports", "constants", "attributes", "resolved_imports", "edges", "modules", "module_files", "file_metrics", "module_metrics",

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import cut
+from .rings import cycles, strong_components  # noqa: F401
 
 
 def stats(files: DataFrame, classes: DataFrame, functions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -39,207 +38,6 @@ def dependency_count(edges: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("file_id").join(out, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("dependency_count"))
 
 
-def transitive_imports(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(start, file_id, depth) of all files reached from each start in at most max_depth steps, the start left out.
-
-    Level by level for all starts at once: one equi-join finds the next frontier, an anti-join drops what was seen.
-    """
-    edges = edges.select("src", "dst").distinct()
-    seen = cut(starts.select(F.col("file_id").alias("start"), "file_id", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, F.col("file_id") == F.col("src")).select("start", F.col("dst").alias("file_id")).distinct()
-        new = step.join(seen, ["start", "file_id"], "left_anti").withColumn("depth", F.lit(depth))
-        if depth < max_depth:  # the last level, the largest, is read once only and not written here
-            new = frontier = cut(new)
-            if frontier.isEmpty():
-                break
-        seen = seen.unionByName(new)
-    return seen.filter("depth > 0")
-
-
-def _grow(start: DataFrame, step) -> DataFrame:
-    """Repeat step until nothing is new; rows are distinct."""
-    known = frontier = cut(start)
-    while True:
-        frontier = cut(step(frontier).join(known, known.columns, "left_anti").distinct())
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier)
-
-
-def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
-    """Each file takes the largest colour among its own and those of the files that lead to it."""
-    best = edges.join(colours, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("m"))
-    return colours.join(best, "v", "left").select("v", F.greatest("c", F.coalesce("m", "c")).alias("c"))
-
-
-#: Up to so many edges what trimming leaves is solved in one task; beyond, by colouring over the cluster.
-LOCAL_EDGES = 200_000
-
-
-def _local_components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strongly connected components by two depth-first passes, the second over turned edges."""
-    ahead: dict[int, list[int]] = {}
-    behind: dict[int, list[int]] = {}
-    for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-        ahead.setdefault(a, []).append(b)
-        behind.setdefault(b, []).append(a)
-    done, order = set(), []
-    for root in sorted({*ahead, *behind}):
-        if root in done:
-            continue
-        done.add(root)
-        todo = [(root, iter(ahead.get(root, ())))]
-        while todo:
-            node, rest = todo[-1]
-            nxt = next((x for x in rest if x not in done), None)
-            if nxt is None:
-                order.append(node)
-                todo.pop()
-            else:
-                done.add(nxt)
-                todo.append((nxt, iter(ahead.get(nxt, ()))))
-    comp: dict[int, int] = {}
-    for root in reversed(order):
-        if root in comp:
-            continue
-        comp[root], todo = root, [root]
-        while todo:
-            for x in behind.get(todo.pop(), ()):
-                if x not in comp:
-                    comp[x] = root
-                    todo.append(x)
-    return pd.DataFrame({"v": list(comp), "c": list(comp.values())})
-
-
-def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(file_id, component) of files on a cycle with another file: strongly connected components of two or more.
-
-    Trim files without a way in or out. If few edges are left (they are counted), one task solves them. Else colour
-    every file with the largest id that reaches it; what the colour's root can be reached from, within the colour, is a
-    component; repeat on the rest.
-    """
-    left = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    found = None
-    while True:
-        before = -1
-        while (n := left.count()) != before and n:
-            before = n
-            ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-            left = cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
-        if not n:
-            break
-        if n <= local_edges:
-            few = left.select(F.lit(0).alias("all"), F.col("src").cast("long"), F.col("dst").cast("long")).groupBy("all").applyInPandas(_local_components, "v long, c long")
-            found = few if found is None else found.unionByName(few)
-            break
-        nodes = left.select(F.col("src").alias("v")).unionByName(left.select(F.col("dst").alias("v"))).distinct()
-        colours, changed = cut(nodes.withColumn("c", F.col("v"))), 1
-        while changed:
-            new = _spread(left, _spread(left, colours))  # two steps for each write
-            new = cut(new.join(colours.withColumnRenamed("c", "old"), "v"))
-            changed = new.filter("c > old").count()
-            colours = new.select("v", "c")
-        inside = cut(
-            left.join(colours.withColumnsRenamed({"v": "src", "c": "cs"}), "src").join(colours.withColumnsRenamed({"v": "dst", "c": "cd"}), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c"))
-        )
-        into = inside.select(F.col("dst").alias("v"), "c", "src")
-        back = lambda f, into=into: f.join(into, ["v", "c"]).select(F.col("src").alias("v"), "c")
-        member = _grow(colours.filter("v = c"), back)
-        found = member if found is None else found.unionByName(member)
-        gone = member.select("v")
-        left = cut(left.join(gone, F.col("src") == F.col("v"), "left_anti").join(gone, F.col("dst") == F.col("v"), "left_anti"))
-    if found is None:
-        return edges.sparkSession.createDataFrame([], "file_id long, component long")
-    size = found.groupBy("c").agg(F.min("v").alias("component"), F.count("*").alias("n")).filter("n > 1")
-    return found.join(size, "c").select(F.col("v").cast("long").alias("file_id"), F.col("component").cast("long").alias("component"))
-
-
-#: Components of up to so many edges are searched in one task each; larger ones over the cluster, with the same result.
-LOCAL_CYCLE_EDGES = 2_000
-
-
-def _parents(root: int, ahead: dict[int, list[int]]) -> dict[int, int]:
-    """Breadth-first tree; of several files one step nearer to the root the least is the parent."""
-    parent, level = {root: root}, [root]
-    while level:
-        new = {}
-        for a in sorted(level):
-            for b in ahead.get(a, ()):
-                if b not in parent:
-                    new.setdefault(b, a)
-        parent |= new
-        level = list(new)
-    return parent
-
-
-def _cycles(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The cycles of one component, as cycles() has them."""
-    root, ahead, behind = int(pdf["component"].iloc[0]), {}, {}
-    pairs = sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
-    for a, b in pairs:
-        ahead.setdefault(a, []).append(b)
-        behind.setdefault(b, []).append(a)
-    down, up = _parents(root, ahead), _parents(root, behind)
-
-    def path(tree: dict[int, int], x: int) -> list[int]:
-        nodes = [x]
-        while nodes[-1] != root:
-            nodes.append(tree[nodes[-1]])
-        return nodes
-
-    rings = set()
-    for a, b in pairs:
-        out, back = path(down, a)[::-1], path(up, b)
-        place = {x: i for i, x in enumerate(out)}
-        k = next(i for i, x in enumerate(back) if x in place)
-        ring = back[: k + 1] + out[place[back[k]] + 1 :]
-        k = ring.index(min(ring))
-        rings.add(tuple(ring[k:] + ring[:k]))
-    return pd.DataFrame({"component": [root] * len(rings), "cycle": [list(c) for c in sorted(rings)]})
-
-
-def _tree(inner: DataFrame, name: str) -> DataFrame:
-    """(v, <name>): the files from the component's least one to v, level by level over all components at once."""
-    seen = frontier = cut(inner.select(F.col("component").alias("v"), F.array("component").alias(name)).distinct())
-    while True:
-        step = inner.join(frontier, F.col("src") == F.col("v")).select("src", F.col("dst").alias("v"), name).join(seen.select("v"), "v", "left_anti")
-        frontier = cut(step.groupBy("v").agg(F.min_by(name, "src").alias(name)).select("v", F.concat(name, F.array("v")).alias(name)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-
-
-def _spread_cycles(inner: DataFrame) -> DataFrame:
-    """As _cycles, by joins: no task holds a component."""
-    turned = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "component")
-    out, up = _tree(inner, "out").withColumnRenamed("v", "src"), _tree(turned, "up").withColumnRenamed("v", "dst")
-    both = inner.join(out, "src").join(up, "dst").select("component", "out", F.reverse("up").alias("back"))
-    at = lambda xs, x: F.array_position(xs, x).cast("int")
-    meet = both.withColumn("x", F.element_at(F.filter("back", lambda x: F.array_contains("out", x)), 1))
-    ring = meet.select("component", F.concat(F.slice("back", F.lit(1), at("back", F.col("x"))), F.slice("out", at("out", F.col("x")) + 1, F.size("out"))).alias("ring"))
-    k = at("ring", F.array_min("ring"))
-    return ring.select("component", F.concat(F.slice("ring", k, F.size("ring")), F.slice("ring", F.lit(1), k - 1)).alias("cycle")).distinct()
-
-
-def cycles(edges: DataFrame, local_edges: int = LOCAL_CYCLE_EDGES) -> DataFrame:
-    """(component, cycle): canonical import cycles, one for each import inside a strongly connected component.
-
-    The import a -> b is closed by the breadth-first path from b to the component's least file and on from there to a,
-    cut short where the two first meet. Cycles start at their least id; equal ones are given once. So every import that
-    is on a cycle is in one of the result, and there are at most as many cycles as imports.
-    """
-    comp = strong_components(edges)
-    side = lambda k: comp.select(F.col("file_id").alias(k), F.col("component").alias(f"c_{k}"))
-    inner = edges.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst and src <> dst")
-    inner = cut(inner.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("c_src").alias("component")))
-    large = cut(inner.groupBy("component").count().filter(F.col("count") > local_edges).select("component"))
-    those = F.broadcast(large)  # a row for each local_edges edges at most; no component is gathered to be split off
-    few = inner.join(those, "component", "left_anti").groupBy("component").applyInPandas(_cycles, "component long, cycle array<long>")
-    return few if large.isEmpty() else few.unionByName(_spread_cycles(inner.join(those, "component", "left_semi").select("src", "dst", "component")))
-
-
 def module_edges(edges: DataFrame, module_of: DataFrame) -> DataFrame:
     """Distinct pairs of different modules with an import from the one to the other; module_of: file_id, module."""
     both = labelled(edges, module_of, "module")

@@ -24,16 +24,35 @@ def build(files: DataFrame, classes: DataFrame, functions: DataFrame) -> DataFra
     return c.unionByName(f)
 
 
+def _cells(start: str, end: str) -> Column:
+    """The fewest aligned power-of-two ranges (level, cell) that cover the lines from start to end: two a level at most."""
+    a, b = f"cast({start} as long)", f"(cast({end} as long) + 1)"
+    lo, hi = f"(-shiftright(-{a}, k))", f"shiftright({b}, k)"  # first whole cell of the level, and the one behind the last
+    one = lambda odd, cell: f"if({lo} < {hi} and {odd} % 2 <> 0, struct(k as level, {cell} as cell), null)"
+    each = f"transform(sequence(0, {_LEVEL.format(a=a, b=b)}), k -> array({one(lo, lo)}, {one(hi, hi + ' - 1')}))"
+    return F.expr(f"if({a} < {b}, filter(flatten({each}), c -> c is not null), null)")
+
+
+#: Levels that a range from a to before b can need.
+_LEVEL = "cast(ceil(log2(greatest({b} - {a}, 1) + 1)) as int)"
+
+
 def at_position(probes: DataFrame, symbols: DataFrame, *probe_key: str) -> DataFrame:
     """The innermost symbol at (path, line): methods before classes before functions, then by order in the file.
 
-    An equi-join on path with the span as residual; probes without a symbol keep a row (the module answers for them).
+    An interval structure: each symbol's lines are cut into aligned power-of-two cells, a cell keeps only its first
+    symbol, and a line asks its cell of each level. So the work is symbols and probes times levels, however many symbols of
+    a file overlap. Positions asked often are looked up once. Probes without a symbol keep a row (the module answers for them).
     """
-    s = symbols.select(F.col("path").alias("__p"), "name", "kind", F.col("line").alias("start"), "end_line", "ordinal")
-    hit = probes.join(s, (F.col("path") == F.col("__p")) & F.col("line").between(F.col("start"), F.col("end_line")), "left").drop("__p")
     rank = S.choose(F.col("kind"), {v: (k,) for k, v in PRIORITY.items()}, 9)
-    w = Window.partitionBy(*probe_key).orderBy(rank, "ordinal", "start", "name")
-    return hit.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select(*probe_key, "path", F.col("line"), F.coalesce("kind", F.lit("module")).alias("kind"), "name", "start", "end_line")
+    item = F.struct(rank.alias("rank"), "ordinal", F.col("line").alias("start"), "name", "kind", "end_line")
+    cells = symbols.filter("path is not null").select("path", item.alias("s"), F.explode(_cells("line", "end_line")).alias("c")).groupBy("path", "c.level", "c.cell").agg(F.min("s").alias("s"))
+    top = symbols.agg(F.max(F.expr(_LEVEL.format(a="cast(line as long)", b="(cast(end_line as long) + 1)")))).first()[0] or 0
+    lines = probes.filter("path is not null and line is not null").select("path", "line").distinct()
+    asked = lines.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("cell", F.expr("shiftright(cast(line as long), level)"))
+    found = asked.join(cells, ["path", "level", "cell"]).groupBy("path", "line").agg(F.min("s").alias("s"))
+    out = probes.select(*probe_key, "path", "line").join(found, ["path", "line"], "left")
+    return out.select(*probe_key, "path", "line", F.coalesce("s.kind", F.lit("module")).alias("kind"), "s.name", "s.start", "s.end_line")
 
 
 def definitions(names: DataFrame, symbols: DataFrame) -> DataFrame:

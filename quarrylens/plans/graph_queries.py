@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import names as N
 from ..operators import diagrams as D
 from ..operators import graph as G
+from ..operators import reach as R
 from .registry import query, read
 
 EDGES_SQL = """edges AS (SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
@@ -64,7 +65,22 @@ def dependency_count(spark, sf_dir):
 SELECT start, file_id, min(depth)::INT AS depth FROM r WHERE start <> file_id GROUP BY start, file_id""")
 def transitive_imports(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return G.transitive_imports(e, e.select(F.col("src").alias("file_id")), 3)
+    return R.transitive_imports(e, e.select(F.col("src").alias("file_id")), 3)
+
+
+@query("import_reach", f"""WITH RECURSIVE {EDGES_SQL}, r(start, file_id) AS (SELECT DISTINCT src, src FROM edges WHERE src % 20 = 0 UNION SELECT start, dst FROM r JOIN edges ON src = file_id)
+SELECT * FROM r WHERE start <> file_id""")
+def import_reach(spark, sf_dir):
+    """Search: what each part with a number divisible by 20 reaches, in any number of steps."""
+    e = edges(spark, sf_dir)
+    return R.transitive_imports(e, e.select(F.col("src").alias("file_id")).filter("file_id % 20 = 0"), None).select("start", "file_id")
+
+
+@query("dependents", f"""WITH RECURSIVE {EDGES_SQL}, d AS (SELECT DISTINCT src, dst FROM edges), r(start, file_id, depth) AS (SELECT DISTINCT src, src, 0 FROM d UNION SELECT start, dst, depth + 1 FROM r JOIN d ON src = file_id WHERE depth < 2)
+SELECT file_id, count(DISTINCT start)::BIGINT AS dependents FROM r WHERE start <> file_id GROUP BY file_id""")
+def dependents(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return R.reach_counts(e, e.select(F.col("src").alias("file_id")), 2)
 
 
 @query("cyclic_members", f"""WITH RECURSIVE {EDGES_SQL}, r(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM r JOIN edges ON src = b),
@@ -74,7 +90,21 @@ def cyclic_members(spark, sf_dir):
     return G.strong_components(edges(spark, sf_dir))
 
 
-@query("canonical_cycles")
+def _tree_sql(name: str, a: str, b: str) -> str:
+    """Breadth-first levels from each component's least file over inner edges a -> b, parents (the least of those one step nearer) and ways."""
+    return f"""{name}_d(v, component, d) USING KEY (v) AS (SELECT DISTINCT component, component, 0 FROM inn
+  UNION SELECT i.{b}, any_value(i.component), min(x.d + 1) FROM {name}_d x JOIN inn i ON i.{a} = x.v WHERE i.{b} NOT IN (SELECT v FROM recurring.{name}_d) GROUP BY i.{b}),
+{name}_p AS (SELECT i.{b} AS v, min(i.{a}) AS p FROM inn i JOIN {name}_d x ON x.v = i.{a} JOIN {name}_d y ON y.v = i.{b} AND y.d = x.d + 1 GROUP BY i.{b}),
+{name}(v, way) AS (SELECT DISTINCT component, [component] FROM inn UNION ALL SELECT q.v, list_append(way, q.v) FROM {name} t JOIN {name}_p q ON q.p = t.v)"""
+
+
+@query("canonical_cycles", f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON src = b),
+comp AS (SELECT x.a AS v, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a),
+inn AS (SELECT src, dst, a.component FROM e JOIN comp a ON a.v = src JOIN comp b ON b.v = dst AND b.component = a.component), {_tree_sql("o", "src", "dst")}, {_tree_sql("u", "dst", "src")},
+w AS (SELECT component, o.way AS there, list_reverse(u.way) AS back FROM inn JOIN o ON o.v = src JOIN u ON u.v = dst),
+m AS (SELECT *, list_filter(back, lambda z: list_contains(there, z))[1] AS x FROM w),
+g AS (SELECT DISTINCT component, list_concat(back[1:list_position(back, x)], there[list_position(there, x) + 1:]) AS ring FROM m)
+SELECT DISTINCT component, array_to_string(list_concat(ring[list_position(ring, list_min(ring)):], ring[1:list_position(ring, list_min(ring)) - 1]), '->') AS cycle FROM g""")
 def canonical_cycles(spark, sf_dir):
     return G.cycles(edges(spark, sf_dir)).select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), "->").alias("cycle"))
 

@@ -13,7 +13,9 @@ from ..operators import diagnostics as G
 from ..operators import metrics as M
 from ..operators import modules as O
 from ..operators import resolve as R
+from ..operators import search as X
 from ..operators import symbols as Y
+from ..session import shared_folder
 from ..streaming import state as T
 from .graph_queries import EDGES_SQL, edges
 from .registry import query, read
@@ -192,6 +194,27 @@ def workspace_symbols(spark, sf_dir):
     return Y.workspace_symbols(read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), "RING").withColumnRenamed("name", "p_name")
 
 
+_NAMES = "nm AS (SELECT 'p' || p_partkey AS id, p_name AS name FROM part UNION ALL SELECT 'c' || c_custkey, c_name FROM customer UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier)"
+
+
+@query("symbol_search", f"""WITH {_NAMES}, q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(substr(p_name, 1 + (p_partkey % 5)::INT, 1 + (p_partkey % 7)::INT)) ELSE substr(p_name, 1 + (p_partkey % 5)::INT, 1 + (p_partkey % 7)::INT) END AS query FROM part
+ UNION SELECT DISTINCT substr(s_name, 5 + (s_suppkey % 12)::INT, 6) FROM supplier UNION SELECT DISTINCT n_name FROM nation)
+SELECT query, id, name FROM q JOIN nm ON contains(lower(name), lower(query)) WHERE query <> ''""")
+def symbol_search(spark, sf_dir):
+    """A batch of queries against an index of the names of parts, customers and suppliers."""
+    t = lambda name: read(spark, sf_dir, name)
+    names = t("part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    names = names.unionByName(t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name")))
+    names = names.unionByName(t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    k = F.col("p_partkey")
+    piece = F.substring("p_name", (k % 5 + 1).cast("int"), (k % 7 + 1).cast("int"))
+    asked = t("part").select(F.when(k % 3 == 0, F.upper(piece)).otherwise(piece).alias("query"))
+    asked = asked.unionByName(t("supplier").select(F.substring("s_name", (F.col("s_suppkey") % 12 + 5).cast("int"), F.lit(6)).alias("query"))).unionByName(t("nation").select(F.col("n_name").alias("query")))
+    index = shared_folder(spark, "symbol-index")
+    X.build(names, index)
+    return X.lookup(spark, index, asked, names)
+
+
 @query("definition_lookup", """WITH s AS (SELECT p_name AS name, p_partkey AS seq FROM part), q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS query FROM part),
 e AS (SELECT query, max(seq) AS seq FROM q JOIN s ON query = name GROUP BY query),
 l AS (SELECT query, min(seq) AS seq FROM q JOIN s ON lower(query) = lower(name) WHERE query NOT IN (SELECT query FROM e) GROUP BY query)
@@ -251,33 +274,58 @@ def hover_text(spark, sf_dir):
 
 
 # diagnostics: orders are files; open ones have an even key; rings of three successive orders are cycles
-@query("diagnostics", """WITH f AS (SELECT o_orderkey AS file_id, 'src/o' || o_orderkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN '  ' WHEN o_orderstatus = 'O' THEN o_orderpriority END AS doc, (o_orderkey % 40)::BIGINT AS cx, (o_orderkey % 25)::BIGINT AS fc FROM orders),
+_FINDINGS = """f AS (SELECT o_orderkey AS file_id, 'src/o' || o_orderkey || '.py' AS path, CASE WHEN o_orderstatus = 'F' THEN '  ' WHEN o_orderstatus = 'O' THEN o_orderpriority END AS doc, (o_orderkey % 40)::BIGINT AS cx, (o_orderkey % 25)::BIGINT AS fc FROM orders),
 op AS (SELECT path FROM f WHERE file_id % 2 = 0), rg AS (SELECT file_id // 3 AS cid, string_agg('o' || file_id || '.py', ' -> ' ORDER BY file_id) AS d, list(path ORDER BY file_id) AS ps FROM f GROUP BY 1),
 fd AS (SELECT f.path, 'ERROR' AS severity, 'circular-dependency' AS code, 0 AS line, 'Circular dependency detected: ' || d AS message, array_to_string(list_filter(ps, lambda x: x <> f.path), ',') AS related FROM f JOIN rg ON cid = file_id // 3
  UNION ALL SELECT path, 'HINT', 'missing-module-docs', 0, 'Module is missing documentation', '' FROM f WHERE trim(coalesce(doc, '')) = ''
  UNION ALL SELECT path, 'HINT', 'missing-class-docs', greatest(l_linenumber - 1, 0), 'Class ''p' || l_partkey || ''' is missing documentation', '' FROM lineitem JOIN f ON file_id = l_orderkey WHERE l_returnflag = 'R'
  UNION ALL SELECT path, 'WARNING', 'high-complexity', 0, 'High complexity detected (complexity: ' || cx || ', threshold: 20). Consider splitting this module.', '' FROM f WHERE cx > 20
- UNION ALL SELECT path, 'WARNING', 'too-many-functions', 0, 'Too many functions in module (' || fc || ' functions, threshold: 15). Consider splitting this module.', '' FROM f WHERE fc > 15)
-SELECT path, severity, code, line::INT AS line, message, related FROM op LEFT JOIN fd USING (path)""")
-def diagnostics(spark, sf_dir):
+ UNION ALL SELECT path, 'WARNING', 'too-many-functions', 0, 'Too many functions in module (' || fc || ' functions, threshold: 15). Consider splitting this module.', '' FROM f WHERE fc > 15)"""
+
+
+def order_findings(spark, sf_dir, paths=None):
+    """Findings of the orders with an even key, or of those named by `paths`."""
     st, k = F.col("o_orderstatus"), F.col("o_orderkey")
     f = read(spark, sf_dir, "orders").select(k.alias("file_id"), F.concat(F.lit("src/o"), k, F.lit(".py")).alias("path"), F.when(st == "F", "  ").when(st == "O", F.col("o_orderpriority")).alias("docstring"))
     c = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit("p"), "l_partkey").alias("name"), F.col("l_linenumber").alias("line_start"), F.when(F.col("l_returnflag") != "R", "doc").alias("docstring"))
     m = f.select("file_id", (F.col("file_id") % 40).alias("complexity"), (F.col("file_id") % 25).alias("function_count"))
     ring = f.select(F.expr("file_id div 3").alias("cycle_id"), F.col("file_id").alias("pos"), "path")
-    out = G.findings(f, c, m, ring, f.filter("file_id % 2 = 0"))
-    return out.withColumn("related", F.array_join("related", ","))
+    asked = f.filter("file_id % 2 = 0") if paths is None else f.join(paths.select("path").distinct(), "path", "left_semi")
+    return G.findings(f, c, m, ring, asked), asked
+
+
+@query("diagnostics", f"WITH {_FINDINGS} SELECT path, severity, code, line::INT AS line, message, related FROM op LEFT JOIN fd USING (path)")
+def diagnostics(spark, sf_dir):
+    return order_findings(spark, sf_dir)[0].withColumn("related", F.array_join("related", ","))
 
 
-@query("published_diagnostics", """SELECT 'src/o' || o_orderkey || '.py' AS path, (CASE WHEN o_orderkey % 40 > 20 THEN 1 ELSE 0 END)::INT AS count FROM orders WHERE o_orderkey % 2 = 0""")
+@query("published_diagnostics", f"""WITH {_FINDINGS} SELECT path, count(code)::INT AS count, coalesce(string_agg(code || '@' || line || ':' || severity, ',' ORDER BY line, code, severity, message), '') AS items, coalesce(sum(length(message)), 0)::BIGINT AS chars FROM op LEFT JOIN fd USING (path) GROUP BY path""")
 def published_diagnostics(spark, sf_dir):
-    k = F.col("o_orderkey")
-    f = read(spark, sf_dir, "orders").select(k.alias("file_id"), F.concat(F.lit("src/o"), k, F.lit(".py")).alias("path"), F.lit("doc").alias("docstring"))
-    c = f.select("file_id", F.lit("C").alias("name"), F.lit(1).alias("line_start"), F.lit("doc").alias("docstring")).limit(0)
-    m = f.select("file_id", (F.col("file_id") % 40).alias("complexity"), F.lit(0).cast("long").alias("function_count"))
-    ring = f.select(F.col("file_id").alias("cycle_id"), F.col("file_id").alias("pos"), "path").limit(0)
-    asked = f.filter("file_id % 2 = 0")
-    return T.published_diagnostics(G.findings(f, c, m, ring, asked), asked).select("path", "count")
+    found, asked = order_findings(spark, sf_dir)
+    return _opened(T.published_diagnostics(found, asked))
+
+
+def _opened(sent):
+    """Messages read again from their JSON."""
+    d = F.from_json("diagnostics", "array<struct<line int, code string, severity string, message string, related array<string>>>")
+    item = F.transform(d, lambda x: F.concat(x["code"], F.lit("@"), x["line"].cast("string"), F.lit(":"), x["severity"]))
+    chars = F.aggregate(d, F.lit(0).cast("long"), lambda s, x: s + F.char_length(x["message"]))
+    return sent.select("path", "count", F.array_join(item, ",").alias("items"), chars.alias("chars"))
+
+
+# events open, change and close ('error') the file of the order with the user's number; the last one counts
+@query("publications", f"""WITH {_FINDINGS}, ev AS (SELECT 'src/o' || user_id || '.py' AS path, max_by(event_type, (ts, event_id)) <> 'error' AS is_open FROM events GROUP BY 1)
+SELECT ev.path, (CASE WHEN is_open THEN count(code) ELSE 0 END)::INT AS count, CASE WHEN is_open THEN coalesce(string_agg(code || '@' || line || ':' || severity, ',' ORDER BY line, code, severity, message), '') ELSE '' END AS items,
+ (CASE WHEN is_open THEN coalesce(sum(length(message)), 0) ELSE 0 END)::BIGINT AS chars FROM ev LEFT JOIN fd USING (path) GROUP BY ev.path, is_open""")
+def publications(spark, sf_dir):
+    """What clients have after all events: the batch form of T.publish_stream."""
+    e = file_events(read(spark, sf_dir, "events"))
+    newest = T.open_state(e, close="error").join(e.groupBy("path").agg(F.max(F.struct("ts", "seq")).alias("at")), "path").select("path", "at.ts", "at.seq", "event", "is_open")
+    return _opened(T.publications(newest, lambda paths: order_findings(spark, sf_dir, paths)[0]))
+
+
+def file_events(events):
+    return events.select(F.concat(F.lit("src/o"), "user_id", F.lit(".py")).alias("path"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("event"))
 
 
 # cache: an earlier scan lacks every fifth document, has other times for every second and other texts for every third

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to the checkpoint folder and go on from there: iterations keep a short lineage."""
     checkpoint_dir(df.sparkSession)

@@ -39,14 +39,11 @@ def assert_cycles(pairs, found):
     assert seen == {(a, b) for a, b in edges if a in reach.get(b, ())}
 
 
-@pytest.mark.parametrize("local", (0, 4, 1000))
-def test_cycles_have_every_cyclic_import(spark, local):
+def test_cycles_have_every_cyclic_import(spark):
     rnd = random.Random(5)
     pairs = [(rnd.randrange(9), rnd.randrange(9)) for _ in range(20)] + [(20, 21), (21, 22), (22, 20), (22, 23), (30, 31), (31, 30), (31, 31)]
     frame = spark.createDataFrame(pairs, "src long, dst long")
-    got = sorted(r.cycle for r in G.cycles(frame, local).collect())
-    assert_cycles(pairs, got)
-    assert got == sorted(r.cycle for r in G.cycles(frame, 10**9).collect())
+    assert_cycles(pairs, [r.cycle for r in G.cycles(frame).collect()])
 
 
 def test_canonical_cycles_of_all_orders(spark, sf, duck):
