@@ -3,8 +3,9 @@
 A document is the set of its 5-word shingles. Band and row counts are chosen for a target recall at the threshold.
 Rows with equal sets collapse to one representative: the row with the least (doc_id, hash of its text). These are
 shuffled on their band hashes and verified on full shingle sets: pairs at or above the threshold are links. Groups
-that bands connect are verified whole if they fit a block (BLOCK_DOCS, BLOCK_SHINGLES); in larger ones only the pairs
-that share a band meet, in the group of that band, cut into blocks, and count in the first band that they share. Each
+that bands connect are verified together if they fit a block (BLOCK_DOCS, BLOCK_SHINGLES); in larger ones the sets
+that share a band meet in the group of that band, cut into blocks, and a pair counts in the first band that it shares. In both
+a pair is a link if it shares a band and reaches the threshold, so the result does not depend on sizes of groups or blocks. Each
 pair of blocks is a task of its own that keeps counts and a spanning forest only: pairs are never written out.
 Representatives without a band neighbour never travel.
 
@@ -188,6 +189,9 @@ def _verify(threshold: float):
     def group(key: tuple, weights: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         _, i, j, band = key
         yes = linked(sets, threshold)
+        if band < 0:  # a group verified whole: as everywhere, only sets that share a band are candidates
+            a, b = np.nonzero(yes)
+            yes[a, b] = (bands[a] == bands[b]).any(axis=1)
         if i != j:  # inside a block, the pair (i, i) decides
             yes &= blocks[:, None] != blocks[None]
         for earlier in range(band):  # counted there
@@ -277,7 +281,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, block_docs: int,
     if members is None:
         return sk, own(F.lit(0).cast("long"), F.col("rep").alias("root")), rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").select(_row_key().alias("rep"), "text")
-    texts = texts.join(members, "rep").dropDuplicates(["rep"])  # rows with one key have one text
+    texts = texts.dropDuplicates(["rep"]).join(members, "rep")  # rows with one key have one text: copies go before the shuffle
     grams = texts.select("rep", "weight", "keys", "dest", "text").mapInArrow(_grams, f"rep binary, weight long, keys array<long>, dest {_DEST}, grams binary")
     grams = grams.select("rep", "weight", "keys", "grams", F.explode("dest").alias("d")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("d.blocks")).cast("int"))
     pairs = grams.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("d.blocks") - 1))).select(
@@ -307,13 +311,17 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class, the one with the least (doc_id, hash of the text); same columns. Rows without doc_id stay."""
+    """One document of each class, the one with the least (doc_id, hash of the text); same columns. Rows without doc_id stay.
+
+    Of rows with one doc_id and text the one whose other columns have the least hash stays, however the rows are partitioned.
+    """
     names, docs = docs.columns, renamed(docs, "doc_id", "text")
     _, sets, _ = _classes(docs.select("doc_id", "text"), threshold, 0.9998, BLOCK_DOCS, BLOCK_SHINGLES)
     heads = sets.filter("rep = root").select(F.col("rep").alias("key"))
-    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.filter("doc_id is not null").select("whole", _row_key().alias("key"))
-    one = keyed.join(heads, "key", "left_semi").dropDuplicates(["key"]).select("whole")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.md5(F.to_json(F.struct(*others))).alias("other"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = rows.filter("doc_id is not null").select("whole", "other", _row_key().alias("key"))
+    one = keyed.join(heads, "key", "left_semi").groupBy("key").agg(F.min_by("whole", "other").alias("whole")).select("whole")
     return one.unionByName(rows.filter("doc_id is null").select("whole")).select("whole.*").toDF(*names)
 
 

@@ -129,3 +129,23 @@ def test_hot_keys_are_spread(spark):
     assert sorted(r.v for r in spread_join(many, one, "k", "n", 5000).collect()) == list(range(5000))
     hub = spark.createDataFrame([(0, i) for i in range(1, 3000)], "a long, b long")
     assert {r.root for r in components(hub).collect()} == {0}
+
+
+def test_links_do_not_depend_on_group_sizes(spark):
+    """A weak banding, so that many pairs above the threshold share no band: whole groups and blocks still agree."""
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[i : i + 60]) for i in range(40)]
+    texts = chain + near_texts(40, seed=5)
+    ids = list(range(len(texts)))
+    whole = run(spark, ids, texts, recall=0.5, block_docs=10**9)
+    assert run(spark, ids, texts, recall=0.5, block_docs=2) == whole
+    assert sum(n for _, n in whole.values()) < sum(n for _, n in brute(ids, texts).values())
+
+
+def test_keep_one_is_the_same_under_any_partitioning(spark):
+    rows = [(i % 4, "a b c d e f " + "x " * (i % 2), i, None if i % 3 else f"t{i}") for i in range(200)]
+    kept = set()
+    for n in (1, 3, 7):
+        random.Random(n).shuffle(rows)
+        kept.add(tuple(sorted(map(tuple, op5.keep_one(spark.createDataFrame(rows, "doc_id long, text string, tag int, other string").repartition(n)).collect()))))
+    assert len(kept) == 1
