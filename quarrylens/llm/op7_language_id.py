@@ -1,13 +1,13 @@
 """Language identification by a byte convolutional network, trained in numpy.
 
 Filters two, three and four bytes wide slide over byte embeddings, a window keeps the largest answer of each filter,
-and a softmax names the language. Training takes at most `per_lang` rows of each language, chosen by hash; labels are
-read only from rows on the learning side of the split. Every text is then cut into windows of WINDOW bytes that
+and a softmax names the language. Training takes whole texts, at most `per_lang` of each language and `lang_bytes` of them
+together, chosen by hash, and at most `langs` languages, the most frequent; labels are read only from rows on the learning side of the split. Every text is then cut into windows of WINDOW bytes that
 overlap by three bytes, so that no byte group is missed, and the windows' log-probabilities are averaged by length.
 
 Defined results: a null text and a text without a letter are `und` with score 0; without learnable rows every text is
 `und`; with one language only, that one; repeated rows are predicted alike, each for itself; a null doc_id is neither
-learned from nor held out. Long texts are read window by window in bounded batches. Predicting needs no shuffle.
+learned from nor held out; other columns are ignored; an empty table gives no rows. Long texts are read window by window in bounded batches. Predicting needs no shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import chunks, raw, table, to_batch
 
@@ -26,7 +27,7 @@ WINDOW = 512
 WIDTHS = ((2, 8), (3, 12), (4, 12))  # (bytes, filters)
 SPAN, DIM = 4, 8
 FILTERS = sum(n for _, n in WIDTHS)
-PER_LANG = 600
+PER_LANG, LANG_BYTES, LANGS = 600, 600_000, 256
 SEED = 11
 DDL = "doc_id long, held_out boolean, lang_pred string, score double"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -87,16 +88,15 @@ class ByteNet:
 
 
 def train(texts: list[bytes], labels: list[str], epochs: int = 10, batch: int = 64, seed: int = SEED) -> ByteNet:
-    """Fit on up to three windows of each text with Adam."""
+    """Fit on all windows of the texts with Adam."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
     xs, ys = [], []
     for t, y in zip(texts, labels, strict=True):
-        w, sizes = windows(t)
-        full = np.flatnonzero(sizes > 8)
-        for i in full[np.linspace(0, len(full) - 1, min(3, len(full))).astype(int)] if len(full) else []:
-            xs.append(w[i])
-            ys.append(langs.index(y))
+        if t:
+            w, _ = windows(t)
+            xs.extend(w)
+            ys += [langs.index(y)] * len(w)
     net = ByteNet.start(langs, rng)
     if not xs or len(langs) < 2:
         return net
@@ -140,17 +140,27 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % mod
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteNet | None:
-    """Learn from at most about `per_lang` rows of each language, chosen by a hash of doc_id; None without rows."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, lang_bytes: int = LANG_BYTES, langs: int = LANGS) -> ByteNet | None:
+    """Learn from rows of the `langs` most frequent languages; None without rows.
+
+    Of each language at most `per_lang` whole texts of `lang_bytes` together, in the order of a hash of doc_id and text; texts
+    above an eighth of these bytes are not learned from, so that no few of them stand for a language.
+    """
     rows = docs.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.filter(unit < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").limit(2 * per_lang * len(counts)).collect()
-    picked.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text.encode() for r in picked], [r.lang for r in picked])
+    # the share of hashes that gives about twice per_lang rows: few rows are ranked, whatever the table's size
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_lang / r["count"]))])
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(SEED)))
+    some = rows.filter(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    sized = some.select("lang", "h", "doc_id", F.octet_length("text").alias("n")).filter(F.col("n") <= lang_bytes // 8)
+    few = sized.withColumn("rank", F.row_number().over(w)).withColumn("bytes", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    few = few.filter((F.col("rank") <= per_lang) & (F.col("bytes") <= lang_bytes)).select("lang", "h", "doc_id")
+    picked = some.join(few, ["lang", "h", "doc_id"], "left_semi").select("doc_id", "text", "lang").collect()
+    picked = sorted({(r.doc_id, r.text, r.lang) for r in picked})
+    return train([t.encode() for _, t, _ in picked], [y for _, _, y in picked])
 
 
 def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
