@@ -12,8 +12,8 @@ as many rounds as targets reach their limit. Documents meet it by a join that sp
 
 Defined results: a null text has size 0; size-0 documents are taken 0 times; rows are told apart by (doc_id, size),
 equal rows are interchangeable, a null doc_id sorts first; an empty table gives an empty result; other columns are ignored.
-Only (doc_id, source index, size) is shuffled, in chunks of about CHUNK rows by hash, so a source with most of the
-rows spreads over many tasks. `repeat` hands on all columns whatever their names; rows that are equal in all of them
+Only (doc_id, source index, size) is shuffled, in chunks of about CHUNK rows by hash; equal rows are counted before, and
+CHUNK of them at most go to a chunk together. So a source, or one row repeated, with most of the rows spreads over many tasks. `repeat` hands on all columns whatever their names; rows that are equal in all of them
 are counted together.
 """
 
@@ -84,6 +84,8 @@ def _round(level: int, width: int, last: bool):
     """Round one chunk; rows that are settled get p null, the one that isn't keeps its fraction and the next level's chunk."""
 
     def step(key, pdf):
+        if "m" in pdf:
+            pdf = pdf.loc[pdf.index.repeat(pdf["m"])]
         pdf = pdf.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="first", kind="stable").reset_index(drop=True)
         seed = (int(key[0]) << 40) ^ (level << 34) ^ int(key[1])
         p, left = pivot(pdf["doc_id"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(np.float64), seed)
@@ -111,6 +113,17 @@ def _sources(sized: DataFrame, most: int, chunk: int) -> DataFrame:
         F.ceil(F.col("n") / chunk).alias("chunks"))
 
 
+def _dealt(sized: DataFrame, sources: DataFrame, total: int, chunk: int) -> DataFrame:
+    """Rows with their source's number and rate, dealt to its chunks; equal rows travel as one with their number m, `chunk` at most."""
+    same = sized.groupBy("key", "doc_id", "row", "size").agg(F.count("*").alias("m"))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / chunk).cast("long") - 1))
+    same = same.withColumn("piece", piece).withColumn("m", F.least(F.lit(chunk), F.col("m") - F.col("piece") * chunk).cast("int"))
+    part = sources.select("key", "src", "base", "f", "n", "chunks")
+    return spread_join(same, part, "key", "n", total).select(
+        "doc_id", "row", "src", "size", F.pmod(F.xxhash64("doc_id", "size", "piece"), F.col("chunks")).alias("chunk"),
+        F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"), F.when(F.col("size") > 0, F.col("f")).otherwise(0.0).alias("p"), "m")
+
+
 def mix(docs: DataFrame, most: int = 3, chunk: int = CHUNK, fan_in: int = FAN_IN, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row, and `row`, a binary column that also tells rows apart."""
     sized = docs.select(
@@ -119,10 +132,7 @@ def mix(docs: DataFrame, most: int = 3, chunk: int = CHUNK, fan_in: int = FAN_IN
     sized = checkpointed(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))))
     sources = checkpointed(_sources(sized, most, chunk))
     totals = sources.agg(F.sum("n"), F.max("chunks")).first()
-    part = sources.select("key", "src", "base", "f", "n", "chunks")
-    level = spread_join(sized.drop("source"), part, "key", "n", totals[0] or 0).select(
-        "doc_id", "row", "src", "size", F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")).alias("chunk"),
-        F.when(F.col("size") > 0, F.col("base")).otherwise(0).alias("copies"), F.when(F.col("size") > 0, F.col("f")).otherwise(0.0).alias("p"))
+    level = _dealt(sized, sources, totals[0] or 0, chunk)
     taken, k, widest = None, 0, totals[1] or 1
     while True:
         last = widest <= 1

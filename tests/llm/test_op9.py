@@ -88,3 +88,17 @@ def test_columns_that_draws_do_not_touch(spark, sf):
       (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents)"""
     got = mix(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "size", "source_size").collect()
     assert sorted(map(tuple, got)) == sorted((a, b, int(c)) for a, b, c in con.execute(sql.replace("\\\\", "\\")).fetchall())
+
+
+def test_equal_rows_are_not_one_chunk(spark):
+    """30,000 rows without doc_id and of one size: chunks stay bounded, the target is met, and the rows come back."""
+    from quarrylens.llm import op9_mixing as op9
+
+    df = spark.range(30_000).selectExpr("cast(null as long) doc_id", "'a b c' text", "'hot' source").unionByName(spark.range(5000).selectExpr("id doc_id", "'x y' text", "'other' source"))
+    got = mix(df).collect()
+    check(got, 2048)
+    assert sum(r.source == "hot" for r in got) == 30_000 and len(got) == 35_000
+    sized = df.selectExpr("doc_id", "cast(null as binary) row", "source", "cast(if(source = 'hot', 3, 2) as long) size", "concat('s', source) key")
+    level = op9._dealt(sized, op9._sources(sized, 3, 2048), 35_000, 2048)
+    rows = level.groupBy("src", "chunk").agg({"m": "sum"}).collect()
+    assert sum(r["sum(m)"] for r in rows) == 35_000 and max(r["sum(m)"] for r in rows) <= 6 * 2048 and len(rows) > 8
