@@ -30,4 +30,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from . import graph_queries, project_queries, source_queries, text_queries, upkeep_queries  # noqa: E402, F401
+from . import code_queries, graph_queries, project_queries, source_queries, text_queries, upkeep_queries  # noqa: E402, F401
