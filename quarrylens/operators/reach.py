@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 from .entities import number
 
 WORD, WORDS = 64, 16
@@ -37,27 +37,27 @@ def _or(rows: DataFrame) -> DataFrame:
 def start_blocks(starts: DataFrame) -> DataFrame:
     """file_id, block and lane (0 to LANES - 1) of each distinct start."""
     ids = number(starts.select(F.col("file_id").cast("long").alias("file_id")).filter("file_id is not null").distinct(), "no", F.col("file_id"))
-    return cut(ids.select("file_id", F.expr(f"no div {LANES}").alias("block"), F.expr(f"cast(no % {LANES} as int)").alias("lane")))
+    return written(ids.select("file_id", F.expr(f"no div {LANES}").alias("block"), F.expr(f"cast(no % {LANES} as int)").alias("lane")))
 
 
 def levels(edges: DataFrame, lanes: DataFrame, max_depth: int | None = None) -> list[DataFrame]:
     """Bits of files first reached at depth 0, 1, ...; until max_depth or until nothing is new. lanes: from start_blocks."""
-    edges = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst").distinct())
+    edges = written(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst").distinct())
     bit = [F.expr(f"if(lane div {WORD} = {i}, shiftleft(1L, lane % {WORD}), 0L)").alias(c) for i, c in enumerate(_W)]
-    out = [cut(lanes.select("file_id", "block", *bit))]
+    out = [written(lanes.select("file_id", "block", *bit))]
     seen = out[0]
     while max_depth is None or len(out) <= max_depth:
         step = _or(out[-1].join(edges, F.col("file_id") == F.col("src")).select(F.col("dst").alias("file_id"), "block", *_W))
         before = _or(seen).withColumnsRenamed({c: f"s_{c}" for c in _W})
         fresh = [F.col(c).bitwiseAND(F.bitwise_not(F.coalesce(f"s_{c}", F.lit(0)))).alias(c) for c in _W]
         # filtered when written: the planner's constraints double with each of the words that a condition goes through
-        new = cut(step.join(before, ["file_id", "block"], "left").select("file_id", "block", *fresh)).filter(_any(_W))
+        new = written(step.join(before, ["file_id", "block"], "left").select("file_id", "block", *fresh)).filter(_any(_W))
         if new.isEmpty():
             break
         out.append(new)
         seen = seen.unionByName(new)
         if len(out) % MERGED == 0:
-            seen = cut(_or(seen))
+            seen = written(_or(seen))
     return out
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 from . import reach
 
 
@@ -32,9 +32,9 @@ def contract(edges: DataFrame, stay: DataFrame | None = None) -> Contracted:
     out = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("o"), F.min("dst").alias("to"))
     into = edges.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("i"))
     mid = out.join(into, "v").filter("o = 1 and i = 1").select("v", "to")
-    mid = cut(mid if stay is None else mid.join(stay.select("v"), "v", "left_anti"))
+    mid = written(mid if stay is None else mid.join(stay.select("v"), "v", "left_anti"))
     start = mid.join(mid.select(F.col("v").alias("to"), F.lit(True).alias("open")), "to", "left")
-    jump = cut(start.select("v", "to", F.col("v").alias("last"), F.lit(1).cast("long").alias("steps"), F.col("v").alias("least"), F.coalesce("open", F.lit(False)).alias("open")))
+    jump = written(start.select("v", "to", F.col("v").alias("last"), F.lit(1).cast("long").alias("steps"), F.col("v").alias("least"), F.coalesce("open", F.lit(False)).alias("open")))
     done, before = jump.filter("not open"), None
     left = jump.filter("open")
     while True:
@@ -42,24 +42,24 @@ def contract(edges: DataFrame, stay: DataFrame | None = None) -> Contracted:
         all_ = left.unionByName(done)
         ahead = all_.select(F.col("v").alias("to"), F.col("to").alias("to2"), F.col("last").alias("last2"), F.col("steps").alias("s2"), F.col("least").alias("l2"), F.col("open").alias("open2"))
         new = left.join(ahead, "to").select("v", F.col("to2").alias("to"), F.col("last2").alias("last"), (F.col("steps") + F.col("s2")).alias("steps"), F.least("least", "l2").alias("least"), F.col("open2").alias("open"), (F.col("l2") < F.col("least")).alias("less"))
-        new = cut(new)
+        new = written(new)
         n = new.agg(F.count_if("open").alias("open"), F.count_if(F.col("open") & F.col("less")).alias("less")).first()
         done, left = done.unionByName(new.filter("not open").drop("less")), new.filter("open").drop("less")
         if not n["open"] or (n["open"] == before and not n["less"]):
             break  # what is still open goes round and round
         before = n["open"]
-    done = cut(done.select("v", "to", "last", "steps"))
+    done = written(done.select("v", "to", "last", "steps"))
     heads = edges.join(mid.select(F.col("v").alias("src")), "src", "left_anti")
     links = heads.join(done.select(F.col("v").alias("dst"), "to", "last", "steps"), "dst", "left")
     links = links.select("src", F.coalesce("to", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("w"), F.when(F.col("to").isNotNull(), F.col("dst")).alias("first"), "last")
-    return Contracted(cut(links), done, left.select("v", "least"))
+    return Contracted(written(links), done, left.select("v", "least"))
 
 
 def _grow(start: DataFrame, step) -> DataFrame:
     """Repeat step until nothing is new; rows are distinct."""
-    known = frontier = cut(start)
+    known = frontier = written(start)
     while True:
-        frontier = cut(step(frontier).join(known, known.columns, "left_anti").distinct())
+        frontier = written(step(frontier).join(known, known.columns, "left_anti").distinct())
         if frontier.isEmpty():
             return known
         known = known.unionByName(frontier)
@@ -77,7 +77,7 @@ def _trim(left: DataFrame) -> tuple[DataFrame, int]:
     while (n := left.count()) != before and n:
         before = n
         ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
+        left = written(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
     return left, n
 
 
@@ -97,7 +97,7 @@ def _by_pivots(edges: DataFrame) -> DataFrame:
     words = reach.WORD_COLUMNS
     both = ahead.join(back.withColumnsRenamed({w: f"b_{w}" for w in words}), ["file_id", "block"])
     lane = _lowest([F.col(w).bitwiseAND(F.col(f"b_{w}")) for w in words])
-    lane = cut(both.select(F.col("file_id").alias("v"), lane.alias("lane"))).filter("lane is not null")
+    lane = written(both.select(F.col("file_id").alias("v"), lane.alias("lane"))).filter("lane is not null")
     return lane.join(lanes.select("lane", F.col("file_id").alias("c")), "lane").select("v", "c")
 
 
@@ -108,30 +108,30 @@ def strong_components(edges: DataFrame) -> DataFrame:
     rest is coloured: every file takes the largest id that reaches it; what the colour's root can be reached from, within
     the colour, is a component; repeat.
     """
-    plain = cut(edges.filter("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
+    plain = written(edges.filter("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct())
     small = contract(plain)
-    left, n = _trim(cut(small.links.filter("src <> dst").select("src", "dst").distinct()))
+    left, n = _trim(written(small.links.filter("src <> dst").select("src", "dst").distinct()))
     parts = [small.links.filter("src = dst").select(F.col("src").alias("v"), F.col("src").alias("c"))]
     if n:
-        parts.append(cut(_by_pivots(left)))
+        parts.append(written(_by_pivots(left)))
         gone = parts[-1].select("v")
-        left, n = _trim(cut(left.join(gone, F.col("src") == F.col("v"), "left_anti").join(gone, F.col("dst") == F.col("v"), "left_anti")))
+        left, n = _trim(written(left.join(gone, F.col("src") == F.col("v"), "left_anti").join(gone, F.col("dst") == F.col("v"), "left_anti")))
     while n:
         nodes = left.select(F.col("src").alias("v")).unionByName(left.select(F.col("dst").alias("v"))).distinct()
-        colours, changed = cut(nodes.withColumn("c", F.col("v"))), 1
+        colours, changed = written(nodes.withColumn("c", F.col("v"))), 1
         while changed:
             new = _spread(left, _spread(left, colours))  # two steps for each write
-            new = cut(new.join(colours.withColumnRenamed("c", "old"), "v"))
+            new = written(new.join(colours.withColumnRenamed("c", "old"), "v"))
             changed = new.filter("c > old").count()
             colours = new.select("v", "c")
-        inside = cut(left.join(colours.withColumnsRenamed({"v": "src", "c": "cs"}), "src").join(colours.withColumnsRenamed({"v": "dst", "c": "cd"}), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        inside = written(left.join(colours.withColumnsRenamed({"v": "src", "c": "cs"}), "src").join(colours.withColumnsRenamed({"v": "dst", "c": "cd"}), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
         into = inside.select(F.col("dst").alias("v"), "c", "src")
         member = _grow(colours.filter("v = c"), lambda f, into=into: f.join(into, ["v", "c"]).select(F.col("src").alias("v"), "c"))
         parts.append(member)
         gone = member.select("v")
-        left, n = _trim(cut(left.join(gone, F.col("src") == F.col("v"), "left_anti").join(gone, F.col("dst") == F.col("v"), "left_anti")))
+        left, n = _trim(written(left.join(gone, F.col("src") == F.col("v"), "left_anti").join(gone, F.col("dst") == F.col("v"), "left_anti")))
     ends = functools.reduce(DataFrame.unionByName, parts[1:] + parts[:1]).groupBy("v").agg(F.max_by("c", F.when(F.col("c") == F.col("v"), 0).otherwise(1)).alias("c"))
-    ends = cut(ends)
+    ends = written(ends)
     side = lambda k: ends.select(F.col("v").alias(k), F.col("c").alias(f"c_{k}"))
     closed = small.links.join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst and last is not null").select("last", F.col("c_src").alias("c"))
     chain = small.inside.join(closed, "last").select("v", "c")
@@ -143,13 +143,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def _distances(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(v, d): length of the shortest way from the roots; only files that came nearer go on."""
-    known = frontier = cut(roots.select("v", F.lit(0).cast("long").alias("d")))
+    known = frontier = written(roots.select("v", F.lit(0).cast("long").alias("d")))
     while True:
         near = frontier.join(links, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        frontier = cut(near.join(known.withColumnRenamed("d", "old"), "v", "left").filter("old is null or d < old").select("v", "d"))
+        frontier = written(near.join(known.withColumnRenamed("d", "old"), "v", "left").filter("old is null or d < old").select("v", "d"))
         if frontier.isEmpty():
             return known
-        known = cut(known.unionByName(frontier).groupBy("v").agg(F.min("d").alias("d")))
+        known = written(known.unionByName(frontier).groupBy("v").agg(F.min("d").alias("d")))
 
 
 def _paths(links: DataFrame, roots: DataFrame, name: str) -> DataFrame:
@@ -162,12 +162,12 @@ def _paths(links: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     near = links.join(d.withColumnsRenamed({"v": "src", "d": "ds"}), "src").join(d.withColumnsRenamed({"v": "dst", "d": "dd"}), "dst").filter("ds + w = dd")
     tree = near.groupBy(F.col("dst").alias("v")).agg(F.min_by(F.struct("src", "c"), F.coalesce("last", "src")).alias("p"))
     one = lambda n, c: F.array(F.struct(n.cast("long").alias("n"), c.cast("long").alias("c")))
-    done = cut(roots.select("v", one(F.col("v"), F.lit(None)).alias("path")))
-    left = cut(tree.select("v", F.col("p.src").alias("up"), one(F.col("v"), F.col("p.c")).alias("path")))
+    done = written(roots.select("v", one(F.col("v"), F.lit(None)).alias("path")))
+    left = written(tree.select("v", F.col("p.src").alias("up"), one(F.col("v"), F.col("p.c")).alias("path")))
     while not left.isEmpty():
         whole = done.select(F.col("v").alias("up"), F.col("path").alias("head"), F.lit(None).cast("long").alias("up2"))
         ahead = whole.unionByName(left.select(F.col("v").alias("up"), F.col("path").alias("head"), F.col("up").alias("up2")))
-        new = cut(left.join(ahead, "up").select("v", F.col("up2").alias("up"), F.concat("head", "path").alias("path")))
+        new = written(left.join(ahead, "up").select("v", F.col("up2").alias("up"), F.concat("head", "path").alias("path")))
         done, left = done.unionByName(new.filter("up is null").select("v", "path")), new.filter("up is not null")
     return done.withColumnRenamed("path", name)
 
@@ -185,11 +185,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     is on a cycle is in one of the result, and there are at most as many cycles as imports. All imports of a chain have one
     cycle: it is found once, as links, and its files are put in at the end.
     """
-    comp = cut(strong_components(edges))
+    comp = written(strong_components(edges))
     side = lambda k: comp.select(F.col("file_id").alias(k), F.col("component").alias(f"c_{k}"))
     plain = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
-    inner = cut(plain.join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst and src <> dst").select("src", "dst"))
-    roots = cut(comp.select(F.col("component").alias("v")).distinct())
+    inner = written(plain.join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst and src <> dst").select("src", "dst"))
+    roots = written(comp.select(F.col("component").alias("v")).distinct())
     small = contract(inner, roots)
     links = small.links.select("src", "dst", "w", "last", F.col("last").alias("c"))
     turned = small.links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.col("first").alias("last"), F.col("last").alias("c"))
@@ -202,7 +202,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     tail = F.slice("out", F.array_position(ids(F.col("out")), F.col("x")).cast("int") + 1, F.size("out"))
     here = F.zip_with(F.concat(F.array("x"), ids(tail)), F.concat(F.transform(tail, lambda t: t["c"]), F.array("close")), lambda n, c: F.struct(n.alias("n"), c.alias("c")))
     ring = meet.select("component", F.concat(there, here).alias("ring"))
-    ring = cut(ring.select("component", _rotated(F.col("ring"), ids(F.col("ring"))).alias("ring")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    ring = written(ring.select("component", _rotated(F.col("ring"), ids(F.col("ring"))).alias("ring")).distinct().withColumn("id", F.monotonically_increasing_id()))
     chains = small.inside.groupBy(F.col("last").alias("c")).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("s"), "v"))), lambda t: t["v"]).alias("files"))
     each = ring.select("id", "component", F.posexplode("ring").alias("k", "x")).select("id", "component", "k", F.col("x.n").alias("n"), F.col("x.c").alias("c")).join(chains, "c", "left")
     part = F.struct("k", F.concat(F.array("n"), F.coalesce("files", F.array().cast("array<bigint>"))).alias("files"))

@@ -31,3 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to the checkpoint folder and go on from there: iterations keep a short lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As cut, by a table in the shared folder: for iterations of many rounds.
+
+    A checkpoint hands what the planner knows of the rows on to the next round, where it is combined anew; after some
+    rounds planning takes longer than running. A table that is read again knows its columns only.
+    """
+    path = shared_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

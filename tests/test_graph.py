@@ -121,7 +121,7 @@ def test_ring_of_100000_files_takes_few_rounds(spark, monkeypatch):
     from quarrylens.operators import rings
 
     cuts = []
-    monkeypatch.setattr(rings, "cut", lambda df, real=rings.cut: cuts.append(1) or real(df))
+    monkeypatch.setattr(rings, "written", lambda df, real=rings.written: cuts.append(1) or real(df))
     n = 100_000
     ids = spark.range(n).selectExpr("(id * 7919) % 100000 as src", "((id + 1) * 7919) % 100000 as dst")
     rows = G.cycles(ids).collect()

@@ -56,8 +56,8 @@ def test_sums_of_measures_and_nulls(spark):
     t = spark.createDataFrame([("a", 1), ("a", 4), (None, 2)], "k string, v int")
     new = spark.createDataFrame([("a", 1), (None, 2), (None, 2)], "k string, v int")
     d = D.difference(t, new)
-    assert rows(d, "k", "v", "sign") == [(None, 2, 1), ("a", 4, -1)]
-    assert rows(D.sums(d, ["k"], total=F.col("v")), "k", "n", "total") == [(None, 1, 2), ("a", -1, -4)]
+    assert rows(d, "k", "v", "sign") == [("a", 4, -1), (None, 2, 1)]
+    assert rows(D.sums(d, ["k"], total=F.col("v")), "k", "n", "total") == [("a", -1, -4), (None, 1, 2)]
 
 
 def findings(spark, paths):
