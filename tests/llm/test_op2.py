@@ -83,3 +83,16 @@ def test_rows_of_one_vec_id_are_rows_of_their_own(spark):
     rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [2.0, 3.0])]
     got = sorted(map(tuple, op2.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
     assert got == [(20, 1, 3, 2.0), (20, 1, 3, 3.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)]
+
+
+def test_no_near_row_is_missed_where_codes_fit_badly(spark):
+    rng = np.random.default_rng(4)
+    even, tied = rng.normal(size=(4000, 256)), rng.integers(0, 2, size=(4000, 16)).astype(float)
+    tied[:, 0] = 1  # few different scores: the smaller vec_id decides
+    for x in (even, tied):
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        want = brute(np.arange(len(x)), x)
+        mine = {}
+        for r in sorted(op2.nearest(df, every=200, code_block=1024).collect()):
+            mine.setdefault(r.query_id, []).append(r.vec_id)
+        assert mine == {q: [v for v, _ in rows] for q, rows in want.items() if q % 200 == 0}
