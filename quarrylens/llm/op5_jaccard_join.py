@@ -3,8 +3,9 @@
 A document is the set of its 5-word shingles. Band and row counts are chosen for a target recall at the threshold.
 Rows with equal sets collapse to one representative: the row with the least (doc_id, hash of its text). These are
 shuffled on their band hashes and verified on full shingle sets: pairs at or above the threshold are links. Groups
-that bands connect are verified together if they fit a block (BLOCK_DOCS, BLOCK_SHINGLES); in larger ones the sets
-that share a band meet in the group of that band, cut into blocks, and a pair counts in the first band that it shares. In both
+that bands connect are verified together if they fit a block (BLOCK_DOCS, BLOCK_SHINGLES), and so are larger ones, cut into blocks,
+whose sets are so alike that meeting band by band would compare and send more; in the others the sets
+that share a band meet in the group of that band, cut into blocks, and a pair counts in the first band that it shares. Everywhere
 a pair is a link if it shares a band and reaches the threshold, so the result does not depend on sizes of groups or blocks. Each
 pair of blocks is a task of its own that keeps counts and a spanning forest only: pairs are never written out.
 Representatives without a band neighbour never travel.
@@ -35,6 +36,8 @@ from .textnp import gram_hashes, inside_texts, join_texts, mix, word_hashes, wor
 SHINGLE = 5
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 RARE = 24
+#: In place of a band: a group verified as a whole, in one block or cut into blocks.
+WHOLE, WHOLE_CUT = -1, -2
 
 
 @dataclass(frozen=True)
@@ -189,7 +192,7 @@ def _verify(threshold: float):
     def group(key: tuple, weights: np.ndarray, blocks: np.ndarray, bands: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         _, i, j, band = key
         yes = linked(sets, threshold)
-        if band < 0:  # a group verified whole: as everywhere, only sets that share a band are candidates
+        if band < 0:  # all sets of a group, not those of one band: as everywhere, only sets that share a band are candidates
             a, b = np.nonzero(yes)
             yes[a, b] = (bands[a] == bands[b]).any(axis=1)
         if i != j:  # inside a block, the pair (i, i) decides
@@ -209,7 +212,7 @@ def _verify(threshold: float):
         reps = [r[0] for r in held]
         weights, blocks = (np.array([r[k] for r in held], np.int64) for k in (1, 2))
         links, roots = group(key, weights, blocks, np.array([r[3] for r in held], np.int64), [np.frombuffer(r[4], np.uint64) for r in held])
-        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array([reps[k] for k in roots]), pa.array(links), pa.array([key[3] >= 0] * len(reps))], schema=_LINKS)
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array([reps[k] for k in roots]), pa.array(links), pa.array([key[3] != WHOLE] * len(reps))], schema=_LINKS)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -249,21 +252,27 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(reps: DataFrame, block_docs: int, block_shingles: int) -> DataFrame | None:
     """rep, weight, band keys and the groups to be verified in of every representative that a band connects to another; None without any."""
     keyed = reps.filter("n > 0").select("rep", "n", F.posexplode("keys").alias("band", "key"))
-    per_key = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1")
+    per_key = keyed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter("c > 1")
     shared = checkpointed(spread_join(keyed, per_key, "key", "c", keyed.count()))
     total = shared.count()
     if not total:
         return None
-    groups = components(shared.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    heads = shared.groupBy("key").agg(F.min("rep").alias("head"), F.first("c").alias("c"))
+    meets = spread_join(shared.select("key", "rep"), heads, "key", "c", total).filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    groups = components(meets.distinct())
     own = checkpointed(groups.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(reps.select("rep", F.col("copies").alias("weight"), "n", "keys"), "rep"))
-    size = checkpointed(own.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select("comp", "m", ((F.col("m") > block_docs) | (F.col("s") > block_shingles)).alias("large")))
+    blocks = F.greatest(F.ceil(F.col("c") / block_docs), F.ceil(F.col("s") / block_shingles))
+    by_bands = shared.join(own.select("rep", "comp"), "rep").groupBy("comp").agg(F.sum("c").alias("meet"), F.sum(blocks).alias("sent"))
+    size = own.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).join(by_bands, "comp")
+    whole = F.greatest(F.ceil(F.col("m") / block_docs), F.ceil(F.col("s") / block_shingles))
+    cut = (whole > 1) & ((F.col("m") * F.col("m") > 2 * F.col("meet")) | (F.col("m") * whole > F.col("sent")))
+    size = checkpointed(size.select("comp", "m", whole.alias("whole"), cut.alias("cut")))
     own = spread_join(own.drop("n"), size, "comp", "m", total)
     dest = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("grp", "band", "blocks"), strict=True)])
-    few = own.filter("not large").select("rep", "weight", "keys", F.array(dest(F.col("comp"), F.lit(-1), F.lit(1))).cast(_DEST).alias("dest"))
-    if size.filter("large").isEmpty():
+    few = own.filter("not cut").select("rep", "weight", "keys", F.array(dest(F.col("comp"), F.when(F.col("whole") > 1, WHOLE_CUT).otherwise(WHOLE), F.col("whole"))).cast(_DEST).alias("dest"))
+    if size.filter("cut").isEmpty():
         return few
-    many = own.filter("large").select("rep", "weight", "keys")
-    blocks = F.greatest(F.ceil(F.col("c") / block_docs), F.ceil(F.col("s") / block_shingles))
+    many = own.filter("cut").select("rep", "weight", "keys")
     to = shared.join(many.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.collect_list(dest(F.unhex(F.hex("key")), F.col("band"), blocks)).alias("dest"))  # one for each band at most
     return few.unionByName(many.join(to.select("rep", F.col("dest").cast(_DEST).alias("dest")), "rep"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarrylens.llm import op5_jaccard_join as op5
 from quarrylens.llm.components import components
@@ -149,3 +150,15 @@ def test_keep_one_is_the_same_under_any_partitioning(spark):
         random.Random(n).shuffle(rows)
         kept.add(tuple(sorted(map(tuple, op5.keep_one(spark.createDataFrame(rows, "doc_id long, text string, tag int, other string").repartition(n)).collect()))))
     assert len(kept) == 1
+
+
+def test_many_near_copies_are_not_sent_for_every_band(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if j != k else f"x{i}" for j, w in enumerate(base)) for i, k in enumerate(rng.integers(0, 300, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sk = op5.sketches(docs, op5.choose_banding()).withColumnRenamed("key", "rep").withColumn("copies", F.lit(1).cast("long"))
+    members = op5._members(sk, 8, 1_000_000)
+    assert members.select(F.explode("dest.blocks").alias("b")).agg(F.sum("b")).first()[0] <= 60 * 8
+    whole, cut = (sorted(map(tuple, op5.near_duplicates(docs, block_docs=n).collect())) for n in (1024, 8))
+    assert whole == cut and {r[2] for r in cut} == {0}
