@@ -57,6 +57,22 @@ def test_bits_are_unpacked_in_bounded_tasks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(0, i, 1) for i in range(1, 200)]
 
 
+@pytest.mark.parametrize("held", (0, 60, 10**6))
+@pytest.mark.parametrize("depth", (3, None))
+def test_balls_and_shuffled_levels_agree(spark, monkeypatch, held, depth):
+    """Two groups of files, a dense and a sparse one: by HELD all, one or no balls are taken apart by levels, and only those."""
+    rnd, real, asked = random.Random(held), R.levels, []
+    monkeypatch.setattr(R, "HELD", held)
+    monkeypatch.setattr(R, "BALL", 20)
+    monkeypatch.setattr(R, "levels", lambda e, lanes, d=None: asked.append(lanes.count()) or real(e, lanes, d))
+    pairs = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(300)] + [(i, i + 1) for i in range(100, 130)] + [(500, 500)]
+    e, s = spark.createDataFrame(pairs * 2, "src long, dst long"), spark.createDataFrame([(x,) for x in {a for a, _ in pairs}], "file_id long")
+    want = plain_reach(pairs, {a for a, _ in pairs}, depth)
+    assert sorted(map(tuple, R.transitive_imports(e, s, depth).collect())) == sorted(want)
+    assert {(r.file_id, r.dependents) for r in R.reach_counts(e, s, depth).collect()} == {(x, sum(y == x for _, y, _ in want)) for _, x, _ in want}
+    assert bool(asked) == (held < 10**6) and (held != 60 or max(asked) < len({a for a, _ in pairs}))
+
+
 def plain_at(probes, symbols):
     rank = {"method": 1, "class": 2, "function": 3}
     out = []
