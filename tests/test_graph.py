@@ -130,3 +130,24 @@ def test_ring_of_100000_files_takes_few_rounds(spark, monkeypatch):
 
 def test_empty_graph(spark):
     assert G.cycles(frame(spark, [])).count() == 0 and G.cycles(frame(spark, [(1, 2), (2, 3), (2, 2)])).count() == 0
+
+
+@pytest.mark.parametrize("held,steps,batch", ((7, 3, "5"), (10**6, 64, "10000")))
+def test_near_files_are_put_together_first(spark, monkeypatch, held, steps, batch):
+    """Groups of neighbouring ids: tasks put them together in pieces of HELD edges, files whose edges are cut over pieces too; few edges are left."""
+    from quarrylens.operators import rings
+
+    monkeypatch.setattr(R, "HELD", held)
+    monkeypatch.setattr(rings, "STEPS", steps)
+    rnd = random.Random(4)
+    pairs = [(100 * c + rnd.randrange(8), 100 * c + rnd.randrange(8)) for c in range(5) for _ in range(24)] + [(100 * c, 100 * c + 100) for c in range(4)] + [(300, 207), (400, 301), (-4, 3), (3, -4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        group, left = rings._shrunk(rings._plain(frame(spark, pairs)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows, comp = group.collect(), plain_components(pairs)
+    of = {r.v: r.c for r in rows}
+    assert len(of) == len(rows) and all(comp[v] == comp[c] for v, c in of.items())
+    want = {(of.get(a, a), of.get(b, b)) for a, b in pairs}
+    assert sorted(map(tuple, left.collect())) == sorted(x for x in want if x[0] != x[1]) and left.count() < len(pairs) / 3
