@@ -122,3 +122,17 @@ def test_search_equals_scan(spark, tmp_path, size, meet):
     assert size > 3 or lists.filter("n > 30").groupBy("gram").agg(F.max(F.size("ids")).alias("m"), F.max("n").alias("n")).filter("m > n / 3").count() == 0
     X.build(n.limit(0), str(tmp_path / "none"))
     assert X.lookup(spark, str(tmp_path / "none"), q, n).count() == 0
+
+
+def test_equal_names_are_searched_once(spark, tmp_path, monkeypatch):
+    """Many ids of few names: the index has each name once, and lists of ids and queries are cut."""
+    monkeypatch.setattr(X, "LIST", 50)
+    monkeypatch.setattr(X, "ASKED", 2)
+    words = ["hot bolt", "Hot bolt", "large ring", "blue ring", None, ""]
+    names = spark.range(3000).select(F.concat(F.lit("p"), "id").alias("id"), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % 6 + 1).cast("int")).alias("name"))
+    q = spark.createDataFrame([(x,) for x in ("bolt", "RING", "r", "e ri", "zz", "t", "", None, "bolt")], "query string")
+    X.build(names, str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index" / "lists")).agg(F.max("n")).first()[0] <= 4
+    got = sorted(map(tuple, X.lookup(spark, str(tmp_path / "index"), q, names).collect()))
+    want = q.distinct().filter("query <> ''").join(names, F.contains(F.lower("name"), F.lower("query"))).select("query", "id", "name")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 500 * (2 + 2 + 2 + 2 + 2)
