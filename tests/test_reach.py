@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylens import session as S
 from quarrylens.operators import reach as R
 from quarrylens.operators import search as X
 from quarrylens.operators import symbols as Y
+from quarrylens.plans import registry
 
 
 def plain_reach(pairs, starts, depth):
@@ -73,6 +78,31 @@ def test_balls_and_shuffled_levels_agree(spark, monkeypatch, held, depth):
     assert bool(asked) == (held < 10**6) and (held != 60 or max(asked) < len({a for a, _ in pairs}))
 
 
+def test_edges_shuffle_what_decides_them(spark, tmp_path):
+    """Ties up to the supplier: the same edges as by the SQL's order, without the supplier in the plan."""
+    rnd = random.Random(5)
+    lines = [(rnd.randrange(40), rnd.choice([None, 1, 2, 3]), rnd.choice([None, *range(9)]), rnd.randrange(4)) for _ in range(600)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    queries = registry.graph_queries
+    got = queries.edges(spark, str(tmp_path))
+    want = duckdb.execute(f"WITH {queries.EDGES_SQL.replace('FROM lineitem', f"FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")} SELECT src, dst FROM edges").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert "l_suppkey" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_leaves_no_shuffle_on_disk(spark):
+    def shuffles():
+        return {p for top in Path(spark.sparkContext._jvm.java.lang.System.getProperty("java.io.tmpdir")).glob("blockmgr-*") for p in top.glob("*/shuffle_*")}
+
+    before, switch = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = S.written(spark.range(20_000).withColumn("k", F.col("id") % 7).repartition(3, "k").groupBy(F.col("id") % 11).agg(F.count("*").alias("n")))
+    for _ in range(100):  # files are removed by another thread
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and got.agg(F.sum("n")).first()[0] == 20_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == switch
+
+
 def plain_at(probes, symbols):
     rank = {"method": 1, "class": 2, "function": 3}
     out = []
