@@ -86,9 +86,14 @@ def _filled(text):
     return F.replace(F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
 
 
+def _spread(spark, parts):
+    """A small file of parts makes many sources: else one task parses them all."""
+    return parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def _files(spark, sf_dir, language):
     extension, text, _ = SOURCES[language]
-    p = read(spark, sf_dir, "part")
+    p = _spread(spark, read(spark, sf_dir, "part").select("p_partkey", "p_size"))
     rel = F.concat(F.lit("src/part"), "p_partkey", F.lit(f".{extension}"))
     return p.select(rel.alias("path"), rel.alias("rel_path"), F.lit(language).alias("language"), _filled(F.lit(text)).alias("content"), F.lit(None).cast("string").alias("error"))
 
@@ -143,7 +148,7 @@ f AS (SELECT *, b || '/m' || k || '.py' AS path, b || '.m' || k AS module_name,
 def project(spark, sf_dir) -> Analysis:
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat(F.lit("brand"), F.replace("p_brand", F.lit("Brand#"), F.lit(""))).alias("b"))
     n = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("nk"), F.col("b").alias("nb"))
-    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # a small file of parts makes many sources: else one task parses them all
+    p = _spread(spark, p)
     head = F.when(F.col("nk").isNull(), F.lit("import sys\n")).otherwise(F.concat(F.lit("from "), "nb", F.lit(".m"), "nk", F.lit(" import C"), "nk", F.lit("\n")))
     base = F.when(F.col("nk").isNull(), F.lit("")).otherwise(F.concat(F.lit("(C"), "nk", F.lit(")")))
     text = F.concat(

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quarrylens.plans import registry
 from quarrylens.sources.parsers import parse_source
 
 PY = '''"""Doc of module."""
@@ -169,3 +172,12 @@ def test_odd_sources_are_never_rejected():
     for lang in ("Python", "JavaScript", "TypeScript", "Rust", "Go", "Java", "C", "Cpp"):
         for text in ("", "{{{", "}}} ((", "\x00", "'unclosed", "/* open", "class", "äöü 漢字 " * 10):
             assert set(parse_source(text, lang)) == {"docstring", "imports", "classes", "functions", "constants"}
+
+
+def test_one_small_file_of_parts_is_parsed_by_all_tasks(spark, sf):
+    """part is one file of a few kB, whatever number of sources it makes."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for language in ("cpp", "python", "rust"):
+        parsed = registry.QUERIES[f"parse_{language}"](spark, sf)
+        used = parsed.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parsed.rdd.getNumPartitions() == tasks and used > 1
