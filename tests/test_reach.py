@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,32 @@ def test_equal_names_are_searched_once(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, X.lookup(spark, str(tmp_path / "index"), q, names).collect()))
     want = q.distinct().filter("query <> ''").join(names, F.contains(F.lower("name"), F.lower("query"))).select("query", "id", "name")
     assert got == sorted(map(tuple, want.collect())) and len(got) == 500 * (2 + 2 + 2 + 2 + 2)
+
+
+def test_packed_imports_keep_every_file():
+    rnd = random.Random(3)
+    ids = [0, 1, 255, 256, 2**16, 2**32, -(2**63), 2**63 - 1, *(rnd.randrange(-(10**6), 10**6) for _ in range(300))]
+    pairs = [(rnd.choice(ids[:40]), rnd.choice(ids)) for _ in range(2000)]
+    batch = R._packed(*(np.array(x, np.int64) for x in zip(*pairs)))
+    row, dst = R._unpacked(batch)
+    assert list(zip(batch["src"].to_numpy()[row].tolist(), dst.tolist())) == sorted(set(pairs))
+    none = R._packed(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(none) == 0 and len(R._unpacked(none)[1]) == 0
+
+
+def test_edges_in_rounds(spark, sf, monkeypatch):
+    queries, names = registry.graph_queries, ("import_reach", "dependents", "transitive_imports")
+    want = [sorted(map(tuple, registry.QUERIES[n](spark, sf).collect())) for n in names]
+    monkeypatch.setattr(queries, "ROUND", 2_500)
+    rounds = queries.edge_rounds(spark, sf)
+    assert len(rounds) == 3 and sorted(tuple(r) for e in rounds for r in e.collect()) == sorted(map(tuple, queries.edges(spark, sf).collect()))
+    assert [sorted(map(tuple, registry.QUERIES[n](spark, sf).collect())) for n in names] == want
+
+
+def test_reach_makes_small_tables(spark, tmp_path):
+    """Files that reach each other: a table of all pairs takes a small part of a byte for each."""
+    rnd, n = random.Random(9), 1500
+    e = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)] + [(rnd.randrange(n), rnd.randrange(n)) for _ in range(8 * n)], "src long, dst long")
+    R.import_reach(e, e.select(F.col("src").alias("file_id"))).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == n * (n - 1)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < n * (n - 1) / 4
